@@ -1,3 +1,4 @@
 """Import side effect: every module that registers queries into the catalog."""
 
 from . import catalog  # noqa: F401
+from . import catalog_questions  # noqa: F401
