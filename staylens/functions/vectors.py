@@ -19,6 +19,13 @@ def l2norm(a: str | Column) -> Column:
 
 
 def normalize(a: str | Column) -> Column:
-    """Unit-length copy of the vector; a zero vector stays zero."""
-    n = l2norm(a)
-    return F.transform(col_(a), lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
+    """Unit-length copy of the vector; a zero vector stays zero.
+
+    The squared norm is folded once and handed to the ``finish`` lambda, so each
+    element is divided by a bound value (O(d) per row, not O(d^2)).
+    """
+    v = col_(a)
+    return F.aggregate(
+        v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"),
+        lambda ss: F.transform(v, lambda x: F.when(ss > 0, x.cast("double") / F.sqrt(ss)).otherwise(F.lit(0.0))),
+    )

@@ -2,3 +2,4 @@
 
 from . import catalog  # noqa: F401
 from . import catalog_questions  # noqa: F401
+from . import catalog_vectors  # noqa: F401
