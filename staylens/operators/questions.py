@@ -480,7 +480,8 @@ def analyse(bk: DataFrame, questions: DataFrame, whole: bool = True, notebook: b
     specs = distinct_specs(spec)
     small = specs.count() <= MAX_BROADCAST_SPECS  # question-side only: no booking scan
     matches = match_specs(specs, booking_cells(bk), small)
-    scopes = spec_scopes(matches)
+    # one row per distinct spec: cached so every branch reuses it instead of re-scanning the cells
+    scopes = spec_scopes(matches).cache()
     if whole:
         st = scope_table(scopes)
         frame = scoped_bookings(bk, st, small)
@@ -513,10 +514,13 @@ def analyse(bk: DataFrame, questions: DataFrame, whole: bool = True, notebook: b
         F.lit(True).alias("is_int"), F.col("m.pos").alias("pos"))
     metrics = long.unionByName(counts)
     if checkpoint:
-        # small (bounded by questions x menu); cutting lineage keeps text plans small
-        # and makes downstream steps restart from the shared checkpoint folder
-        from ..session import ensure_checkpoint_dir
+        # small (bounded by questions x menu): written once to the shared checkpoint
+        # folder and read back, which cuts the lineage (small text plans, restart point)
+        import uuid
 
-        ensure_checkpoint_dir(metrics.sparkSession)
-        metrics = metrics.checkpoint(eager=True)
+        from ..session import shared_path
+
+        path = shared_path(metrics.sparkSession, f"answers-{uuid.uuid4().hex}")
+        metrics.write.parquet(path)
+        metrics = metrics.sparkSession.read.parquet(path)
     return {"spec": spec, "scopes": scopes, "metrics": metrics, "questions": q}

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,15 +107,15 @@ def hashing_encoder(df: DataFrame, text: str, out: str = "embedding", dims: int
 
 def pandas_encoder(df: DataFrame, text: str, encode: Callable, dims: int, out: str = "embedding") -> DataFrame:
     """V1 pluggable: wrap a caller's batch encoder ``list[str] -> array (n, dims)`` in an Arrow pandas UDF."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def _enc(s: pd.Series) -> pd.Series:
-        mat = np.asarray(encode(s.fillna("").tolist()), dtype=np.float32).reshape(len(s), dims)
-        return pd.Series(list(mat))
+        # one Arrow batch at a time; L2-normalised here (a Python UDF cannot feed a lambda)
+        mat = np.asarray(encode(s.fillna("").tolist()), dtype=np.float64).reshape(len(s), dims)
+        norms = np.linalg.norm(mat, axis=1, keepdims=True)
+        mat = np.divide(mat, norms, out=np.zeros_like(mat), where=norms > 0)
+        return pd.Series(list(mat.astype(np.float32)))
 
-    return df.withColumn(out, normalize(_enc(F.col(text))).cast("array<float>"))
+    return df.withColumn(out, _enc(F.col(text)))
 
 
 def refresh_index(index: DataFrame, changed_rows: DataFrame, deleted_ids: DataFrame | None,
