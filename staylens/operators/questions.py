@@ -277,6 +277,30 @@ def spec_scopes(matches: DataFrame) -> DataFrame:
     return matches.groupBy("spec_id").agg(*aggs)
 
 
+def match_candidates(bk: DataFrame, spec: DataFrame, candidates: DataFrame) -> DataFrame:
+    """F15 + F16: per question, its candidate rows (e.g. the top-500 semantic hits) that meet its spec.
+
+    ``candidates`` is (qid, id): at most k rows per question, so the table is
+    bounded by questions x k and is joined to the bookings by id (broadcast when
+    counted small). Returns the same per-spec shape as ``match_specs`` with the
+    qid's spec_id replaced by a per-question id, so scopes stay per question.
+    """
+    small = candidates.count() <= MAX_BROADCAST_SPECS
+    tagged = bk.join(_maybe_broadcast(candidates.select("qid", "id"), small), "id")
+    q = spec.select("qid", *SPEC_COLUMNS).withColumnRenamed("hotel", "hotel_spec")
+    pred = all_of([
+        F.col("year").isNull() | (F.col("arrival_date_year") == F.col("year")),
+        F.col("month").isNull() | (F.lower(F.col("arrival_date_month")) == F.lower(F.col("month"))),
+        F.col("hotel_spec").isNull() | (F.col("hotel") == F.col("hotel_spec")),
+        _spec_predicates(None, None, None, F.col("is_canceled"), F.col("reservation_status"),
+                         F.col("is_repeated_guest"), F.col("total_of_special_requests") > 0,
+                         F.col("required_car_parking_spaces") > 0, F.col("lead_time")),
+    ])
+    rows = tagged.join(F.broadcast(q), "qid").where(pred)
+    return rows.select(F.xxhash64(F.lit("candidates"), F.col("qid")).alias("spec_id"), "qid",
+                       *SCOPE_COLUMNS.values(), F.lit(1).cast("long").alias("n"))
+
+
 # --------------------------------------------------------------------------
 # 5. Analysis frames
 # --------------------------------------------------------------------------
@@ -292,10 +316,20 @@ def scope_table(scopes: DataFrame) -> DataFrame:
     return out.withColumn("scope_id", F.xxhash64("_mask", *[f"_s{i}" for i in range(len(names))]))
 
 
+def _present_masks(keyed: DataFrame, n_masks: int) -> Column:
+    """Literal array of the masks the (small) spec/scope table uses.
+
+    At most ``n_masks`` integers come back to the driver; each booking row is
+    then expanded only once per mask in use (typically 1-3), not ``n_masks`` times.
+    """
+    used = sorted(r[0] for r in keyed.select("_mask").distinct().collect())
+    return F.array(*[F.lit(m) for m in used]) if used else F.array().cast("array<int>")
+
+
 def scoped_bookings(bk: DataFrame, scopes: DataFrame, small: bool = True) -> DataFrame:
     """Bookings tagged with every scope they fall in (``gid`` = scope_id)."""
     distinct = scopes.select("_mask", "_s0", "_s1", "_s2", "_s3", "scope_id").dropDuplicates(["scope_id"])
-    masks = F.explode(F.sequence(F.lit(0), F.lit(15))).alias("_mask")
+    masks = F.explode(_present_masks(distinct, 16)).alias("_mask")
     cols = [F.col(c) for c in SCOPE_COLUMNS.values()]
     expanded = bk.select("*", masks)
     keys = _mask_keys(cols, F.col("_mask"))
@@ -306,7 +340,7 @@ def scoped_bookings(bk: DataFrame, scopes: DataFrame, small: bool = True) -> Dat
 
 def filtered_bookings(bk: DataFrame, specs: DataFrame, small: bool = True) -> DataFrame:
     """bookings tagged with every spec that selects them (``gid`` = spec_id)."""
-    masks = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("_mask")
+    masks = F.explode(_present_masks(specs, 8)).alias("_mask")
     expanded = bk.select("*", masks)
     ek = _mask_keys([F.col("arrival_date_year"), F.lower(F.col("arrival_date_month")), F.col("hotel")], F.col("_mask"))
     expanded = expanded.select("*", *[k.alias(f"_k{i}") for i, k in enumerate(ek)])
@@ -470,16 +504,25 @@ def question_blocks(questions: DataFrame, text: str = "text", notebook: bool = F
 
 
 def analyse(bk: DataFrame, questions: DataFrame, whole: bool = True, notebook: bool = False,
-            approx: bool = False, text: str = "text", checkpoint: bool = True) -> dict[str, DataFrame]:
+            approx: bool = False, text: str = "text", checkpoint: bool = True,
+            candidates: DataFrame | None = None) -> dict[str, DataFrame]:
     """Run F5-F18 and the metric menu for a table of questions.
 
     Returns ``spec`` (qid -> spec_id + spec), ``scopes`` (spec_id -> filtered
     records + scope), ``metrics`` (qid-level long table of triggered metrics).
     """
+    if candidates is not None and not whole:
+        raise ValueError("candidate restriction is supported with the whole-table scope (whole=True)")
     spec = with_spec_id(question_spec(questions, text))
+    if candidates is not None:
+        # each question starts from its own candidate rows -> scopes per question
+        spec = spec.withColumn("spec_id", F.xxhash64(F.lit("candidates"), F.col("qid")))
     specs = distinct_specs(spec)
     small = specs.count() <= MAX_BROADCAST_SPECS  # question-side only: no booking scan
-    matches = match_specs(specs, booking_cells(bk), small)
+    if candidates is not None:
+        matches = match_candidates(bk, spec, candidates)
+    else:
+        matches = match_specs(specs, booking_cells(bk), small)
     # one row per distinct spec: cached so every branch reuses it instead of re-scanning the cells
     scopes = spec_scopes(matches).cache()
     if whole:

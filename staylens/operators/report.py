@@ -238,10 +238,11 @@ def keyword_accuracy(answers: DataFrame, expected: DataFrame) -> DataFrame:
     a question without expected keywords scores 0.
     """
     joined = answers.join(F.broadcast(expected), "question", "left")
-    low = F.lower(F.col("answer"))
-    found = F.size(F.filter(F.coalesce(F.col("keywords"), F.array().cast("array<string>")),
-                            lambda k: F.locate(F.lower(k), low) > 0))
-    return joined.select("question", "answer", F.coalesce(ratio(found, F.size("keywords")), F.lit(0.0)).alias("accuracy"))
+    low = F.lower(F.coalesce(F.col("answer"), F.lit("")))
+    found = F.size(F.filter("keywords", lambda k: low.contains(F.lower(k))))
+    known = F.col("keywords").isNotNull() & (F.size("keywords") > 0)
+    return joined.select("question", "answer",
+                         F.when(known, ratio(found, F.size("keywords"))).otherwise(F.lit(0.0)).alias("accuracy"))
 
 
 def accuracy_summary(scored: DataFrame) -> DataFrame:

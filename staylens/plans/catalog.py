@@ -100,6 +100,16 @@ def q_clean_fill(spark, sf_dir):
                      "is_repeated_guest", "reservation_status")
 
 
+@register("clean_notebook", on_bk(
+    "SELECT id, COALESCE(CAST(agent AS VARCHAR), 'None') AS agent, COALESCE(CAST(company AS VARCHAR), 'None') AS company, "
+    "CASE WHEN COALESCE(country, 'Unknown') = 'EST' THEN 'ESTO' ELSE COALESCE(country, 'Unknown') END AS country, "
+    "COALESCE(children, 0.0) AS children FROM bookings"))
+def q_clean_notebook(spark, sf_dir):
+    """Notebook fill style (agent/company -> 'None' text, country -> 'Unknown', EST -> ESTO)."""
+    df = C.fill_constants(bookings(spark, sf_dir), style="notebook")
+    return df.select("id", "agent", "company", "country", "children")
+
+
 @register("impute", on_bk(f"SELECT id, {r6('adr')} AS adr, country, children FROM imputed"))
 def q_impute(spark, sf_dir):
     """Data-dependent imputation (mean for >30 distinct numeric values, else mode)."""

@@ -34,3 +34,23 @@ def read_bookings_csv(spark: SparkSession, path: str, fields=RAW_FIELDS) -> Data
         src = F.col(f"`{name}`") if name in present else F.lit(None).cast("string")
         cols.append(_typed(src, dtype).alias(name))
     return text.select(*cols)
+
+
+def read_bookings_json(spark: SparkSession, path: str, fields=RAW_FIELDS) -> DataFrame:
+    """A batch payload of bookings (JSON lines or a JSON array file) with the explicit schema.
+
+    Keys outside the schema are ignored by the reader; missing keys become NULL.
+    """
+    schema = T.StructType([T.StructField(n, t, True) for n, t in fields])
+    return spark.read.schema(schema).option("multiLine", _is_array_file(path)).json(path)
+
+
+def _is_array_file(path: str) -> bool:
+    """True when a local payload file starts with '[' (one JSON array); remote paths default to JSON lines."""
+    import os
+
+    if not os.path.isfile(path):
+        return False
+    with open(path, "rb") as fh:
+        head = fh.read(64).lstrip()
+    return head.startswith(b"[")

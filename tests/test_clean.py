@@ -93,3 +93,20 @@ def test_sample_exact_and_repeatable(spark, sf_small):
     c = [r.id for r in C.sample_n(b, 100, 42).collect()]
     assert len(a) == 100 and a == c
     assert C.sample_n(b, 10**6, 42).count() == b.count()
+
+
+def test_json_payload_and_initial_import(spark, tmp_path):
+    import json
+    from staylens.sources import sinks
+    from staylens.sources.csv import read_bookings_json
+    p = tmp_path / "batch.json"
+    p.write_text(json.dumps([{"hotel": "City Hotel", "adr": 90.5, "stays_in_week_nights": 2, "unknown": 1},
+                             {"hotel": "Resort Hotel", "country": "PRT"}]))
+    raw = read_bookings_json(spark, str(p))
+    assert raw.count() == 2 and raw.where("adr = 90.5").count() == 1 and "unknown" not in raw.columns
+    raw = raw.withColumn("id", F.monotonically_increasing_id())
+    out = sinks.initial_import(raw, str(tmp_path / "snap"), str(tmp_path / "log"), "batch.json",
+                               now="2024-01-01 00:00:00")
+    assert out.count() == 2
+    log = spark.read.parquet(str(tmp_path / "log")).first()
+    assert log["operation"] == "initial_import" and log["record_count"] == 2

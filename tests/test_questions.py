@@ -74,3 +74,20 @@ def test_context_text_shape(spark, sf_small):
     assert ctx.startswith("Analysis based on ")
     assert "Hotel types in data:\n- Resort Hotel: " in ctx
     assert "Analysis results:\ntotal_bookings: " in ctx and "cancellation_rate: 0." in ctx
+
+
+def test_candidate_restriction(spark, sf_small):
+    """a question restricted to candidate ids sees only those rows before filtering."""
+    from staylens.plans.catalog import bk
+    b = bk(spark, sf_small).cache()
+    july = b.where("arrival_date_year = 1997 AND arrival_date_month = 'July'").select("id").limit(5)
+    ids = [r.id for r in july.collect()]
+    qs = spark.createDataFrame([(1, "revenue for July 1997")], "qid int, text string")
+    cands = spark.createDataFrame([(1, i) for i in ids + [-1]], "qid int, id long")
+    res = Q.analyse(b, qs, candidates=cands)
+    got = {r["metric"]: r["value"] for r in res["metrics"].where(F.col("key").isNull()).collect()}
+    assert got["filtered_records"] == len(ids)
+    whole = b.where("arrival_date_year = 1997 AND arrival_date_month = 'July'")
+    # the widened scope is the unique year/month/(country/hotel when unique) on the whole table
+    assert got["total_records"] <= whole.count()
+    b.unpersist()
