@@ -249,3 +249,28 @@ def accuracy_summary(scored: DataFrame) -> DataFrame:
     """Mean / min / max accuracy."""
     return scored.agg(F.avg("accuracy").alias("avg_accuracy"), F.min("accuracy").alias("min_accuracy"),
                       F.max("accuracy").alias("max_accuracy"))
+
+
+def result_json(metrics: DataFrame) -> DataFrame:
+    """Every question's triggered metrics as one JSON object (qid, result).
+
+    Scalars become numbers, keyed metrics objects ``{key: value}``, nested
+    metrics ``{sub: {key: value}}`` (the API's dict-of-dicts), NaN -> null.
+    Built with ordered ``collect_list`` per (qid, metric) and per qid.
+    """
+    num = F.when(F.col("value").isNull() | F.isnan("value"), F.lit("null")) \
+        .when(F.col("is_int"), F.col("value").cast("long").cast("string")).otherwise(F.col("value").cast("string"))
+    quoted = lambda c: F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    entry = F.struct(F.col("ord"), F.concat(quoted(F.col("key")), F.lit(": "), num).alias("t"))
+    obj = lambda parts: F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(parts), lambda e: e["t"]), ", "), F.lit("}"))
+    scal = metrics.where(F.col("key").isNull()).select("qid", "metric", "pos", num.alias("j"))
+    flat = metrics.where(F.col("key").isNotNull() & F.col("sub").isNull()).groupBy("qid", "metric") \
+        .agg(F.min("pos").alias("pos"), obj(F.collect_list(entry)).alias("j"))
+    inner = metrics.where(F.col("key").isNotNull() & F.col("sub").isNotNull()).groupBy("qid", "metric", "sub") \
+        .agg(F.min("pos").alias("pos"), obj(F.collect_list(entry)).alias("j"))
+    sub_pos = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in SUB_ORDER]), F.col("sub")), F.lit(0))
+    nested = inner.groupBy("qid", "metric").agg(F.min("pos").alias("pos"), obj(F.collect_list(F.struct(
+        sub_pos.alias("o"), F.concat(quoted(F.col("sub")), F.lit(": "), F.col("j")).alias("t")))).alias("j"))
+    parts = scal.unionByName(flat).unionByName(nested)
+    return parts.groupBy("qid").agg(obj(F.collect_list(F.struct(
+        F.col("pos"), F.concat(quoted(F.col("metric")), F.lit(": "), F.col("j")).alias("t")))).alias("result"))

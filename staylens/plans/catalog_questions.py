@@ -179,3 +179,21 @@ def q_structured_analytics(spark, sf_dir):
     wanted = blocks.join(F.broadcast(metric_block), "block").select(F.col("qid").alias("gid"), "metric")
     return rounded(metrics.join(wanted, ["gid", "metric"]).select(
         F.col("gid").alias("case_id"), "metric", "sub", "key", "value", "ord"))
+
+
+@register("answer_json", None)
+def q_answer_json(spark, sf_dir):
+    """X4 + S7: each fixed question's triggered metrics as one JSON object."""
+    questions = questions_df(spark)
+    res = Q.analyse(bk(spark, sf_dir), questions)
+    return R.result_json(res["metrics"])
+
+
+@register("accuracy_summary", None)
+def q_accuracy_summary(spark, sf_dir):
+    """E1 + E4: mean / min / max keyword accuracy of the template answers."""
+    questions = questions_df(spark)
+    res = Q.analyse(bk(spark, sf_dir), questions)
+    answers = R.template_answer(res["metrics"], questions).join(questions, "qid").select(
+        F.col("text").alias("question"), "answer")
+    return rounded(R.accuracy_summary(R.keyword_accuracy(answers, expected_df(spark))))

@@ -54,3 +54,21 @@ def _is_array_file(path: str) -> bool:
     with open(path, "rb") as fh:
         head = fh.read(64).lstrip()
     return head.startswith(b"[")
+
+
+def read_payload_lines(spark: SparkSession, path: str, fields=RAW_FIELDS) -> tuple[DataFrame, DataFrame]:
+    """A4: a JSON-lines batch of bookings split into (valid rows, invalid rows).
+
+    A row is invalid when it is not a JSON object or names a key outside the
+    schema (the original insert failed on unknown columns); missing keys are
+    NULL. Each line is parsed twice as an expression (as a map for the key
+    check, with the schema for the values); no row leaves the executors.
+    """
+    allowed = F.array(*[F.lit(n) for n, _ in fields])
+    schema = T.StructType([T.StructField(n, t, True) for n, t in fields])
+    text = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    as_map = F.from_json("value", T.MapType(T.StringType(), T.StringType()))
+    checked = text.select("value", F.array_except(F.map_keys(as_map), allowed).alias("unknown"), as_map.isNull().alias("bad"))
+    invalid = checked.where(F.col("bad") | (F.size("unknown") > 0)).select("value", "unknown")
+    valid = checked.where(~F.col("bad") & (F.size("unknown") == 0)).select(F.from_json("value", schema).alias("r")).select("r.*")
+    return valid, invalid

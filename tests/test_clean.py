@@ -110,3 +110,12 @@ def test_json_payload_and_initial_import(spark, tmp_path):
     assert out.count() == 2
     log = spark.read.parquet(str(tmp_path / "log")).first()
     assert log["operation"] == "initial_import" and log["record_count"] == 2
+
+
+def test_payload_lines_split_invalid(spark, tmp_path):
+    from staylens.sources.csv import read_payload_lines
+    p = tmp_path / "b.jsonl"
+    p.write_text('{"hotel": "City Hotel", "adr": 10.5}\n{"hotel": "x", "bogus": 1}\nnot json\n{"country": "PRT"}\n')
+    valid, invalid = read_payload_lines(spark, str(p))
+    assert valid.count() == 2 and invalid.count() == 2
+    assert sorted(r["hotel"] or "-" for r in valid.collect()) == ["-", "City Hotel"]

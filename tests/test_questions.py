@@ -91,3 +91,14 @@ def test_candidate_restriction(spark, sf_small):
     # the widened scope is the unique year/month/(country/hotel when unique) on the whole table
     assert got["total_records"] <= whole.count()
     b.unpersist()
+
+
+def test_result_json_parses(spark, sf_small):
+    import json
+    from staylens.plans.catalog import bk
+    qs = spark.createDataFrame([(1, "cancellation by country and deposit, monthly revenue")], "qid int, text string")
+    res = Q.analyse(bk(spark, sf_small), qs)
+    doc = json.loads(R.result_json(res["metrics"]).first()["result"])
+    assert doc["total_records"] == doc["filtered_records"] > 0
+    assert set(doc["cancellation_by_deposit"]) == {"sum", "count", "rate"}
+    assert len(doc["revenue_by_month"]) <= 12 and isinstance(doc["hotel_distribution"], dict)
