@@ -70,3 +70,20 @@ def test_meal_by_country_zero_cells(spark):
     df = spark.createDataFrame(rows, "country string, meal string")
     got = {(r["country"], r["meal"]): r["n"] for r in M.meal_by_country(df).collect()}
     assert got == {("P", "BB"): 2, ("P", "HB"): 0, ("Q", "BB"): 0, ("Q", "HB"): 1}
+
+
+def test_rank_quantiles_property(spark):
+    """Hypothesis: sorted[int(q*n)] per group equals Python on random inputs."""
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=15, deadline=None)
+    @given(st.lists(st.tuples(st.integers(0, 2), st.integers(-5, 5)), min_size=1, max_size=60))
+    def check(rows):
+        df = spark.createDataFrame([(g, float(v)) for g, v in rows], "g int, t double")
+        got = {r["g"]: (r["n"], r["p90"]) for r in rank_quantiles(df, "t", {"p90": 0.9}, ["g"]).collect()}
+        for g in {g for g, _ in rows}:
+            s = sorted(float(v) for gg, v in rows if gg == g)
+            assert got[g] == (len(s), s[int(0.9 * len(s))])
+
+    check()
