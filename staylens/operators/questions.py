@@ -228,7 +228,8 @@ def _maybe_broadcast(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
-def _spec_predicates(row_year, row_month, row_hotel, is_canceled, status, repeat, has_req, has_park, lead) -> Column:
+def _spec_predicates(is_canceled, status, repeat, has_req, has_park, lead) -> Column:
+    """Residual (non-key) spec predicates on a booking or cell; NULL spec fields mean no constraint."""
     return all_of([
         F.col("want_canceled").isNull() | (is_canceled == F.col("want_canceled")),
         ~F.col("want_checkout") | (status == F.lit("Check-Out")),
@@ -255,7 +256,7 @@ def match_specs(specs: DataFrame, cells: DataFrame, small: bool = True) -> DataF
     ek = _mask_keys([F.col("arrival_date_year"), F.lower(F.col("arrival_date_month")), F.col("hotel")], F.col("_mask"))
     expanded = expanded.select("*", *[k.alias(f"_k{i}") for i, k in enumerate(ek)])
     joined = expanded.join(_maybe_broadcast(specs, small), ["_mask", "_k0", "_k1", "_k2"])
-    pred = _spec_predicates(None, None, None, F.col("is_canceled"), F.col("reservation_status"),
+    pred = _spec_predicates(F.col("is_canceled"), F.col("reservation_status"),
                             F.col("is_repeated_guest"), F.col("has_requests"), F.col("has_parking"), F.col("lead_rep"))
     return joined.where(pred).drop("_mask", "_k0", "_k1", "_k2")
 
@@ -292,7 +293,7 @@ def match_candidates(bk: DataFrame, spec: DataFrame, candidates: DataFrame) -> D
         F.col("year").isNull() | (F.col("arrival_date_year") == F.col("year")),
         F.col("month").isNull() | (F.lower(F.col("arrival_date_month")) == F.lower(F.col("month"))),
         F.col("hotel_spec").isNull() | (F.col("hotel") == F.col("hotel_spec")),
-        _spec_predicates(None, None, None, F.col("is_canceled"), F.col("reservation_status"),
+        _spec_predicates(F.col("is_canceled"), F.col("reservation_status"),
                          F.col("is_repeated_guest"), F.col("total_of_special_requests") > 0,
                          F.col("required_car_parking_spaces") > 0, F.col("lead_time")),
     ])
@@ -346,7 +347,7 @@ def filtered_bookings(bk: DataFrame, specs: DataFrame, small: bool = True) -> Da
     expanded = expanded.select("*", *[k.alias(f"_k{i}") for i, k in enumerate(ek)])
     spec_cols = specs.select("spec_id", "_mask", "_k0", "_k1", "_k2", *[c for c in SPEC_COLUMNS if c.startswith(("want", "lead"))])
     joined = expanded.join(_maybe_broadcast(spec_cols, small), ["_mask", "_k0", "_k1", "_k2"])
-    pred = _spec_predicates(None, None, None, F.col("is_canceled"), F.col("reservation_status"),
+    pred = _spec_predicates(F.col("is_canceled"), F.col("reservation_status"),
                             F.col("is_repeated_guest"), F.col("total_of_special_requests") > 0,
                             F.col("required_car_parking_spaces") > 0, F.col("lead_time"))
     keep = [c for c in bk.columns]
