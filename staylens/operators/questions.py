@@ -394,7 +394,7 @@ KEY_COLUMNS = ["hotel", "arrival_date_month", "market_segment", "reserved_room_t
                "lead_time_category", "meal", "distribution_channel", "deposit_type", "country", "agent", "company"]
 
 
-def scope_metrics(frame: DataFrame, approx: bool = False) -> DataFrame:
+def scope_metrics(frame: DataFrame, approx: bool = False, held: list | None = None) -> DataFrame:
     """Every metric of the menu for every ``gid``: (gid, metric, sub, key, value, ord, is_int).
 
     Two aggregates over the analysis frame: all scalars fused in one, all keyed
@@ -425,6 +425,11 @@ def scope_metrics(frame: DataFrame, approx: bool = False) -> DataFrame:
               avg(total_nights) AS nights_avg, avg(lead_time) AS lead_avg
             FROM {{v}} GROUP BY GROUPING SETS ({sets})""", v=view)
     grouped = grouped.withColumn("rate", ratio("canceled", "n"))
+    if held is not None:
+        # small (scopes x keys) and read by several branches: materialised once;
+        # the caller unpersists it after its single action
+        grouped = grouped.persist()
+        held.append(grouped)
     # one projection emits every keyed metric of a grouped row (no union of branches)
     entries = []
     for metric, key, measure, sub in KEYED:
@@ -533,7 +538,8 @@ def analyse(bk: DataFrame, questions: DataFrame, whole: bool = True, notebook: b
     else:
         frame = filtered_bookings(bk, specs, small)
         link = scopes.select("spec_id", F.col("spec_id").alias("gid"))
-    per_gid = scope_metrics(frame, approx)
+    held: list[DataFrame] = []
+    per_gid = scope_metrics(frame, approx, held)
     q = (spec.select("qid", "spec_id")
          .join(scopes.select("spec_id", "filtered_records"), "spec_id", "left")
          .join(link, "spec_id", "left")
@@ -567,4 +573,6 @@ def analyse(bk: DataFrame, questions: DataFrame, whole: bool = True, notebook: b
         path = shared_path(metrics.sparkSession, f"answers-{uuid.uuid4().hex}")
         metrics.write.parquet(path)
         metrics = metrics.sparkSession.read.parquet(path)
+        for df in held:
+            df.unpersist()
     return {"spec": spec, "scopes": scopes, "metrics": metrics, "questions": q}
