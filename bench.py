@@ -36,7 +36,7 @@ def main() -> None:
     from staylens.sources import sinks
     from staylens.sources.tables import bookings, read_table
 
-    spark = local_session(cpus, shuffle_partitions=int(cpus) * 2, app="staylens-bench")
+    spark = local_session(cpus, shuffle_partitions=int(cpus), app="staylens-bench")
     scratch = shared_path(spark, "bench-" + next(tempfile._get_candidate_names()))
     times: dict[str, float] = {}
 
@@ -50,7 +50,7 @@ def main() -> None:
 
     snap_path = f"{scratch}/bookings"
     timed("ingest_clean_write", lambda: sinks.write_snapshot(
-        C.clean(bookings(spark, sf_dir), now="2024-01-01 00:00:00"), snap_path))
+        C.clean_staged(bookings(spark, sf_dir), f"{scratch}/staging", now="2024-01-01 00:00:00"), snap_path))
     bk = spark.read.parquet(snap_path)
 
     timed("metric_scalars_fused", lambda: M.scalars(bk, list(M.scalar_blocks().keys())).collect())

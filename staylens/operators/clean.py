@@ -166,3 +166,19 @@ def sample_n(df: DataFrame, n: int = 2500, seed: int = 42, key: str = "id") -> D
     ``n`` per task), so no full sort or shuffle of the table happens.
     """
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+
+
+def clean_staged(df: DataFrame, staging_path: str, style: str = "service", now: str | None = None) -> DataFrame:
+    """``clean`` for large ingests: the source is evaluated once.
+
+    The row-local steps (fills, flags, text) are written to ``staging_path``
+    (a folder on the shared store); null counts and imputation statistics are
+    then read column-wise from that Parquet copy instead of re-running the
+    source (for example a join) for each pass.
+    """
+    staged = normalise_strings(cast_flags(fill_constants(df, style)))
+    staged.write.mode("errorifexists").parquet(staging_path)
+    out = impute(df.sparkSession.read.parquet(staging_path))
+    out = parse_dates(out)
+    out = derive(out)
+    return stamp(out, now)

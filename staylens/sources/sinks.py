@@ -32,7 +32,7 @@ def read_snapshot(spark, path: str) -> DataFrame:
 def initial_import(raw: DataFrame, path: str, log_path: str, source: str, now: str | None = None,
                    sample: int | None = None) -> DataFrame:
     """S3: clean (optionally sample) the raw rows, write the snapshot, append the import log row."""
-    cleaned = C.clean(raw, now=now)
+    cleaned = C.clean_staged(raw, f"{path.rstrip('/')}_staging", now=now)
     if sample is not None:
         cleaned = C.sample_n(cleaned, sample)
     write_snapshot(cleaned, path, "errorifexists")

@@ -119,3 +119,12 @@ def test_payload_lines_split_invalid(spark, tmp_path):
     valid, invalid = read_payload_lines(spark, str(p))
     assert valid.count() == 2 and invalid.count() == 2
     assert sorted(r["hotel"] or "-" for r in valid.collect()) == ["-", "City Hotel"]
+
+
+def test_clean_staged_equals_clean(spark, sf_small, tmp_path):
+    from staylens.sources.tables import bookings
+    raw = bookings(spark, sf_small)
+    a = C.clean(raw, now="2024-01-01 00:00:00")
+    b = C.clean_staged(raw, str(tmp_path / "stage"), now="2024-01-01 00:00:00")
+    cols = a.columns
+    assert sorted(map(tuple, a.select(cols).collect())) == sorted(map(tuple, b.select(cols).collect()))
