@@ -72,20 +72,23 @@ def fold_updates(changes: DataFrame, status: DataFrame, columns: list[str]) -> D
 def assign_ids(adds: DataFrame, high_water: Column | int, order: str = "seq", partitions: int | None = None) -> DataFrame:
     """Dense new ids ``high_water + 1 ..`` in ``order``, without a global window.
 
-    Rows are range-partitioned on ``order`` and materialised once (reliable
-    checkpoint), so partition ids are stable; the per-partition counts (one row
-    per partition) give each partition its offset; inside a partition the rank
-    is a window over that partition only.
+    Rows are range-partitioned on ``order`` and their partition number stored
+    with them in a table written once to the shared checkpoint folder, so the
+    numbers stay fixed even if a later task is retried; the per-partition counts
+    (one row per partition) give each partition its offset; inside a partition
+    the rank is a window over that partition only.
     """
+    import uuid
+
     from pyspark.sql import Window
 
-    from ..session import ensure_checkpoint_dir
+    from ..session import shared_path
 
     spark = adds.sparkSession
-    ensure_checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = (adds.repartitionByRange(n, order).withColumn("_p", F.spark_partition_id())
-             .checkpoint(eager=True))
+    path = shared_path(spark, f"ids-{uuid.uuid4().hex}")
+    adds.repartitionByRange(n, order).withColumn("_p", F.spark_partition_id()).write.parquet(path)
+    parts = spark.read.parquet(path)
     counts = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
     offsets = counts.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_off"))
     local = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
