@@ -102,3 +102,14 @@ def test_result_json_parses(spark, sf_small):
     assert doc["total_records"] == doc["filtered_records"] > 0
     assert set(doc["cancellation_by_deposit"]) == {"sum", "count", "rate"}
     assert len(doc["revenue_by_month"]) <= 12 and isinstance(doc["hotel_distribution"], dict)
+
+
+def test_direct_scope_analyses_filtered_rows(spark, sf_small):
+    """without widening, the analysed rows are exactly the filtered rows."""
+    from staylens.plans.catalog import bk
+    b = bk(spark, sf_small)
+    qs = spark.createDataFrame([(1, "cancelled bookings at the resort with special requests")], "qid int, text string")
+    res = Q.analyse(b, qs, whole=False)
+    got = {r["metric"]: r["value"] for r in res["metrics"].where(F.col("key").isNull()).collect()}
+    want = b.where("is_canceled = 1 AND hotel = 'Resort Hotel' AND total_of_special_requests > 0").count()
+    assert got["filtered_records"] == got["total_records"] == want
