@@ -93,7 +93,7 @@ def assign_ids(adds: DataFrame, high_water: Column | int, order: str = "seq", pa
     offsets = counts.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_off"))
     local = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
     hw = high_water if isinstance(high_water, Column) else F.lit(high_water)
-    return (local.join(F.broadcast(offsets), "_p")
+    return (local.join(F.broadcast(offsets), "_p")  # one row per partition
             .withColumn("id", (hw + F.col("_off") + F.col("_r")).cast("long"))
             .drop("_p", "_off", "_r"))
 

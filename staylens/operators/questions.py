@@ -297,7 +297,7 @@ def match_candidates(bk: DataFrame, spec: DataFrame, candidates: DataFrame) -> D
                          F.col("is_repeated_guest"), F.col("total_of_special_requests") > 0,
                          F.col("required_car_parking_spaces") > 0, F.col("lead_time")),
     ])
-    rows = tagged.join(F.broadcast(q), "qid").where(pred)
+    rows = tagged.join(_maybe_broadcast(q, small), "qid").where(pred)
     return rows.select(F.xxhash64(F.lit("candidates"), F.col("qid")).alias("spec_id"), "qid",
                        *SCOPE_COLUMNS.values(), F.lit(1).cast("long").alias("n"))
 
@@ -547,7 +547,7 @@ def analyse(bk: DataFrame, questions: DataFrame, whole: bool = True, notebook: b
     blocks = question_blocks(questions, text, notebook)
     metric_block = frame.sparkSession.createDataFrame(
         [(m, b, i) for i, (m, b, _) in enumerate(RESULT_ORDER)], "metric string, block string, pos int")
-    wanted = blocks.join(F.broadcast(metric_block), "block")
+    wanted = blocks.join(F.broadcast(metric_block), "block")  # fixed menu table (~60 rows)
     fixed = ["total_records", "filtered_records"]
     long = (q.join(per_gid.where(~F.col("metric").isin(*fixed)), "gid")
             .join(wanted, ["qid", "metric"])

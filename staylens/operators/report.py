@@ -22,6 +22,7 @@ from .questions import EMPTY_ANSWER, PROMPT_TEMPLATE, RESULT_ORDER
 ANALYTICS_TYPES = ["analytics", "structured_analytics"]
 QUESTION_TYPE = "question"
 SUB_ORDER = ["sum", "count", "rate"]
+MAX_BROADCAST_ROWS = 1_000_000
 
 
 def _fmt(value: Column, is_int: Column) -> Column:
@@ -237,7 +238,8 @@ def keyword_accuracy(answers: DataFrame, expected: DataFrame) -> DataFrame:
     ``answers`` (question, answer), ``expected`` (question, keywords ARRAY<STRING>);
     a question without expected keywords scores 0.
     """
-    joined = answers.join(F.broadcast(expected), "question", "left")
+    small = expected.count() <= MAX_BROADCAST_ROWS  # one row per question: checked before broadcasting
+    joined = answers.join(F.broadcast(expected) if small else expected, "question", "left")
     low = F.lower(F.coalesce(F.col("answer"), F.lit("")))
     found = F.size(F.filter("keywords", lambda k: low.contains(F.lower(k))))
     known = F.col("keywords").isNotNull() & (F.size("keywords") > 0)

@@ -22,7 +22,8 @@ from ..functions.vectors import dot, l2norm, normalize
 # scores are ranked after rounding to this many digits, so exact duplicates tie
 # regardless of floating summation order, and ties go to the smaller key
 RANK_DIGITS = 9
-MAX_QUERIES = 10_000  # queries are packed into one broadcast value; beyond this, split the query table
+MAX_QUERIES = 10_000
+MAX_QUERY_TERMS = 1_000_000  # queries are packed into one broadcast value; beyond this, split the query table
 
 
 def cosine(v: str | Column, q: str | Column) -> Column:
@@ -75,7 +76,7 @@ def search_rows(rows: DataFrame, index: DataFrame, query: Column, k: int = 20, v
                 key: str = "id") -> DataFrame:
     """V5: the matching rows themselves plus ``semantic_score`` (k rows joined back by key)."""
     hits = topk_one(index, query, k, vec, key).withColumnRenamed("score", "semantic_score")
-    return rows.join(F.broadcast(hits), key)
+    return rows.join(F.broadcast(hits), key)  # exactly k rows
 
 
 # --------------------------------------------------------------------------
@@ -164,7 +165,9 @@ def tfidf_topk(docs: DataFrame, queries: DataFrame, k: int = 5, doc_key: str = "
     q_weighted = q_terms.join(idf, "term", "left").select(
         qid, "term", (F.col("qtf") * F.coalesce(F.col("idf"), F.log(n_docs + 1))).alias("qw"))
     q_norm = q_weighted.groupBy(qid).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    q_small = F.broadcast(q_weighted.join(q_norm, qid))
+    q_side = q_weighted.join(q_norm, qid)
+    # the query-term table is bounded by the query batch; broadcast it only after counting it
+    q_small = F.broadcast(q_side) if q_side.count() <= MAX_QUERY_TERMS else q_side
 
     dots = weighted.join(q_small, "term").groupBy(qid, doc_key).agg(F.sum(F.col("w") * F.col("qw")).alias("dp"),
                                                                      F.max("qn").alias("qn"))

@@ -176,6 +176,7 @@ def q_structured_analytics(spark, sf_dir):
                                   "qid int, text string")
     blocks = Q.question_blocks(cases)
     metric_block = spark.createDataFrame([(m, b) for m, b, _ in Q.RESULT_ORDER], "metric string, block string")
+    # the metric menu is a fixed table of ~60 rows
     wanted = blocks.join(F.broadcast(metric_block), "block").select(F.col("qid").alias("gid"), "metric")
     return rounded(metrics.join(wanted, ["gid", "metric"]).select(
         F.col("gid").alias("case_id"), "metric", "sub", "key", "value", "ord"))
