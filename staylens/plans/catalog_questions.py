@@ -178,7 +178,10 @@ def q_structured_analytics(spark, sf_dir):
     metric_block = spark.createDataFrame([(m, b) for m, b, _ in Q.RESULT_ORDER], "metric string, block string")
     # the metric menu is a fixed table of ~60 rows
     wanted = blocks.join(F.broadcast(metric_block), "block").select(F.col("qid").alias("gid"), "metric")
-    return rounded(metrics.join(wanted, ["gid", "metric"]).select(
+    picked = metrics.join(wanted, ["gid", "metric"])
+    # direct scope: the analysed rows are the filtered rows, so filtered_records = total_records
+    filtered = picked.where(F.col("metric") == "total_records").withColumn("metric", F.lit("filtered_records"))
+    return rounded(picked.unionByName(filtered).select(
         F.col("gid").alias("case_id"), "metric", "sub", "key", "value", "ord"))
 
 

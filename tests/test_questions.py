@@ -113,3 +113,20 @@ def test_direct_scope_analyses_filtered_rows(spark, sf_small):
     got = {r["metric"]: r["value"] for r in res["metrics"].where(F.col("key").isNull()).collect()}
     want = b.where("is_canceled = 1 AND hotel = 'Resort Hotel' AND total_of_special_requests > 0").count()
     assert got["filtered_records"] == got["total_records"] == want
+
+
+def test_notebook_lead_block(spark, sf_small):
+    """M13 (notebook engine): 'lead' questions get lead-time statistics and the bin distribution."""
+    from staylens.plans.catalog import bk
+    b = bk(spark, sf_small)
+    qs = spark.createDataFrame([(1, "average lead time in July 1997")], "qid int, text string")
+    service = {r["metric"] for r in Q.analyse(b, qs)["metrics"].collect()}
+    notebook = Q.analyse(b, qs, notebook=True)["metrics"]
+    names = {r["metric"] for r in notebook.collect()}
+    assert "avg_lead_time" not in service and {"avg_lead_time", "median_lead_time", "lead_time_distribution",
+                                                "lead_time_by_hotel"} <= names
+    july = b.where("arrival_date_year = 1997 AND arrival_date_month = 'July'")
+    got = {r["key"]: r["value"] for r in notebook.where("metric = 'lead_time_distribution'").collect()}
+    want = {r["lead_time_category"]: r["n"] for r in july.where("lead_time_category IS NOT NULL")
+            .groupBy("lead_time_category").count().withColumnRenamed("count", "n").collect()}
+    assert got == want
