@@ -166,8 +166,8 @@ def tfidf_topk(docs: DataFrame, queries: DataFrame, k: int = 5, doc_key: str = "
         qid, "term", (F.col("qtf") * F.coalesce(F.col("idf"), F.log(n_docs + 1))).alias("qw"))
     q_norm = q_weighted.groupBy(qid).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
     q_side = q_weighted.join(q_norm, qid)
-    # the query-term table is bounded by the query batch; broadcast it only after counting it
-    q_small = F.broadcast(q_side) if q_side.count() <= MAX_QUERY_TERMS else q_side
+    # bounded by the query batch; counted on the query terms alone (same rows, no corpus pass)
+    q_small = F.broadcast(q_side) if q_terms.count() <= MAX_QUERY_TERMS else q_side
 
     dots = weighted.join(q_small, "term").groupBy(qid, doc_key).agg(F.sum(F.col("w") * F.col("qw")).alias("dp"),
                                                                      F.max("qn").alias("qn"))
