@@ -60,6 +60,8 @@ def topk_batch(index: DataFrame, queries: DataFrame, k: int, vec: str = "embeddi
     projection, and ``row_number() <= k`` per query keeps k rows per task
     (WindowGroupLimit) before the shuffle on ``qid``. No join of the two tables.
     """
+    # the query table may be derived (e.g. centroids): persist it so counting and packing share one computation
+    queries = queries.persist()
     n = queries.count()
     if n > MAX_QUERIES:
         raise ValueError(f"{n} queries exceed the broadcast bound {MAX_QUERIES}; split the query table")
