@@ -394,7 +394,8 @@ KEY_COLUMNS = ["hotel", "arrival_date_month", "market_segment", "reserved_room_t
                "lead_time_category", "meal", "distribution_channel", "deposit_type", "country", "agent", "company"]
 
 
-def scope_metrics(frame: DataFrame, approx: bool = False, held: list | None = None) -> DataFrame:
+def scope_metrics(frame: DataFrame, approx: bool = False, held: list | None = None,
+                  wanted: set[str] | None = None) -> DataFrame:
     """Every metric of the menu for every ``gid``: (gid, metric, sub, key, value, ord, is_int).
 
     Two aggregates over the analysis frame: all scalars fused in one, all keyed
@@ -403,9 +404,12 @@ def scope_metrics(frame: DataFrame, approx: bool = False, held: list | None = No
     output (window per gid / explode of a literal array), never on raw rows.
     """
     table = scalar_blocks(approx)
-    scal = frame.groupBy("gid").agg(*[e.alias(n) for b in SCALAR_ORDER_BLOCKS for n, e in table[b]])
+    # only the blocks some question triggers are computed (total_records always)
+    keep = lambda m: wanted is None or m in wanted or m == "total_records"
+    blocks = [b for b in SCALAR_ORDER_BLOCKS if any(keep(n) for n, _ in table[b])]
+    scal = frame.groupBy("gid").agg(*[e.alias(n) for b in blocks for n, e in table[b]])
     int_metrics = {m for m, _, kind in RESULT_ORDER if kind == "int"}
-    scalar_names = [n for b in SCALAR_ORDER_BLOCKS for n, _ in table[b]]
+    scalar_names = [n for b in blocks for n, _ in table[b]]
     scalar_long = scal.select("gid", F.explode(F.array(*[
         F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in scalar_names
     ])).alias("m")).select(
@@ -413,12 +417,19 @@ def scope_metrics(frame: DataFrame, approx: bool = False, held: list | None = No
         F.lit(None).cast("string").alias("key"), F.col("m.value").alias("value"),
         F.lit(0).alias("ord"), F.col("m.metric").isin(*int_metrics).alias("is_int"))
 
-    view = frame.select("gid", *[F.col(c).cast("string").alias(c) for c in KEY_COLUMNS],
+    keyed_entries = [e for e in KEYED if keep(e[0])]
+    with_meals = keep("meal_preferences_by_country")
+    key_cols = [k for k in KEY_COLUMNS if any(e[1] == k for e in keyed_entries) or (with_meals and k in ("country", "meal"))]
+    if not key_cols:
+        return scalar_long
+    view = frame.select("gid", *[F.col(c).cast("string").alias(c) for c in key_cols],
                         "is_canceled", "revenue", "adr", "total_guests", "total_nights", "lead_time")
-    sets = ", ".join(f"(gid, {k})" for k in KEY_COLUMNS) + ", (gid, country, meal)"
-    flags = ", ".join(f"grouping({k}) AS g_{k}" for k in KEY_COLUMNS)
+    sets = ", ".join(f"(gid, {k})" for k in key_cols if any(e[1] == k for e in keyed_entries))
+    if with_meals:
+        sets = ", ".join(x for x in (sets, "(gid, country, meal)") if x)
+    flags = ", ".join(f"grouping({k}) AS g_{k}" for k in key_cols)
     grouped = frame.sparkSession.sql(
-        f"""SELECT gid, {', '.join(KEY_COLUMNS)}, {flags},
+        f"""SELECT gid, {', '.join(key_cols)}, {flags},
               count(1) AS n, count(is_canceled) AS n_canceled_nonnull,
               COALESCE(sum(is_canceled), 0) AS canceled, COALESCE(sum(revenue), 0) AS revenue,
               avg(adr) AS adr_avg, COALESCE(sum(total_guests), 0) AS guests,
@@ -432,19 +443,21 @@ def scope_metrics(frame: DataFrame, approx: bool = False, held: list | None = No
         held.append(grouped)
     # one projection emits every keyed metric of a grouped row (no union of branches)
     entries = []
-    for metric, key, measure, sub in KEYED:
-        only = all_of([F.col(f"g_{k}") == (0 if k == key else 1) for k in KEY_COLUMNS]) & F.col(key).isNotNull()
+    for metric, key, measure, sub in keyed_entries:
+        only = all_of([F.col(f"g_{k}") == (0 if k == key else 1) for k in key_cols]) & F.col(key).isNotNull()
         entries.append(F.when(only, F.struct(
             F.lit(metric).alias("metric"), F.lit(sub).cast("string").alias("sub"), F.col(key).alias("key"),
             F.col(measure).cast("double").alias("value"), F.col("n").alias("_n"), F.col("canceled").alias("_c"))))
-    keyed = grouped.select("gid", F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e")) \
-        .select("gid", "e.*")
-    keyed = _order_keyed(keyed)
-
-    cells = grouped.where((F.col("g_country") == 0) & (F.col("g_meal") == 0) & F.col("country").isNotNull()
-                          & F.col("meal").isNotNull())
-    meal_pref = _meal_preferences(cells)
-    return scalar_long.unionByName(keyed).unionByName(meal_pref)
+    out = scalar_long
+    if entries:
+        keyed = grouped.select("gid", F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e")) \
+            .select("gid", "e.*")
+        out = out.unionByName(_order_keyed(keyed))
+    if with_meals:
+        cells = grouped.where((F.col("g_country") == 0) & (F.col("g_meal") == 0) & F.col("country").isNotNull()
+                              & F.col("meal").isNotNull())
+        out = out.unionByName(_meal_preferences(cells))
+    return out
 
 
 def _order_keyed(keyed: DataFrame) -> DataFrame:
@@ -539,7 +552,10 @@ def analyse(bk: DataFrame, questions: DataFrame, whole: bool = True, notebook: b
         frame = filtered_bookings(bk, specs, small)
         link = scopes.select("spec_id", F.col("spec_id").alias("gid"))
     held: list[DataFrame] = []
-    per_gid = scope_metrics(frame, approx, held)
+    # blocks any question triggers (a handful of names from the question table; no booking scan)
+    used_blocks = {r[0] for r in question_blocks(questions, text, notebook).select("block").distinct().collect()}
+    wanted_metrics = {m for m, b, _ in RESULT_ORDER if b in used_blocks}
+    per_gid = scope_metrics(frame, approx, held, wanted_metrics)
     q = (spec.select("qid", "spec_id")
          .join(scopes.select("spec_id", "filtered_records"), "spec_id", "left")
          .join(link, "spec_id", "left")

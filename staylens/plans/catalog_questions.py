@@ -171,10 +171,11 @@ def structured_frame(df: DataFrame, cases=STRUCTURED_CASES) -> DataFrame:
 def q_structured_analytics(spark, sf_dir):
     """the six structured cases, each its filter + the blocks its metric names trigger."""
     frame = structured_frame(bk(spark, sf_dir))
-    metrics = Q.scope_metrics(frame)
     cases = spark.createDataFrame([(i, " ".join(m)) for i, (_, m) in enumerate(STRUCTURED_CASES, 1)],
                                   "qid int, text string")
     blocks = Q.question_blocks(cases)
+    used = {r[0] for r in blocks.select("block").distinct().collect()}
+    metrics = Q.scope_metrics(frame, wanted={m for m, b, _ in Q.RESULT_ORDER if b in used})
     metric_block = spark.createDataFrame([(m, b) for m, b, _ in Q.RESULT_ORDER], "metric string, block string")
     # the metric menu is a fixed table of ~60 rows
     wanted = blocks.join(F.broadcast(metric_block), "block").select(F.col("qid").alias("gid"), "metric")
