@@ -249,9 +249,10 @@ def distinct_specs(spec: DataFrame) -> DataFrame:
             .select("spec_id", *rest, mask.alias("_mask"), *[k.alias(f"_k{i}") for i, k in enumerate(keys)]))
 
 
-def match_specs(specs: DataFrame, cells: DataFrame, small: bool = True) -> DataFrame:
+def match_specs(specs: DataFrame, cells: DataFrame, small: bool = True,
+                mask_counts: dict[int, int] | None = None) -> DataFrame:
     """(spec_id, cell columns) for every cell a spec selects (F16 without candidates)."""
-    masks = F.explode(_present_masks(specs, 8)).alias("_mask")
+    masks = F.explode(_present_masks(specs, 8, mask_counts)).alias("_mask")
     expanded = cells.select("*", masks)
     ek = _mask_keys([F.col("arrival_date_year"), F.lower(F.col("arrival_date_month")), F.col("hotel")], F.col("_mask"))
     expanded = expanded.select("*", *[k.alias(f"_k{i}") for i, k in enumerate(ek)])
@@ -317,13 +318,18 @@ def scope_table(scopes: DataFrame) -> DataFrame:
     return out.withColumn("scope_id", F.xxhash64("_mask", *[f"_s{i}" for i in range(len(names))]))
 
 
-def _present_masks(keyed: DataFrame, n_masks: int) -> Column:
+def _mask_counts(keyed: DataFrame) -> dict[int, int]:
+    """Rows per join mask of a (small) spec/scope table: at most 16 pairs reach the driver."""
+    return {r[0]: r[1] for r in keyed.groupBy("_mask").count().collect()}
+
+
+def _present_masks(keyed: DataFrame, n_masks: int, counts: dict[int, int] | None = None) -> Column:
     """Literal array of the masks the (small) spec/scope table uses.
 
     At most ``n_masks`` integers come back to the driver; each booking row is
     then expanded only once per mask in use (typically 1-3), not ``n_masks`` times.
     """
-    used = sorted(r[0] for r in keyed.select("_mask").distinct().collect())
+    used = sorted(counts if counts is not None else _mask_counts(keyed))
     return F.array(*[F.lit(m) for m in used]) if used else F.array().cast("array<int>")
 
 
@@ -537,11 +543,13 @@ def analyse(bk: DataFrame, questions: DataFrame, whole: bool = True, notebook: b
         # each question starts from its own candidate rows -> scopes per question
         spec = spec.withColumn("spec_id", F.xxhash64(F.lit("candidates"), F.col("qid")))
     specs = distinct_specs(spec)
-    small = specs.count() <= MAX_BROADCAST_SPECS  # question-side only: no booking scan
+    # one small collect over the question side (no booking scan): masks in use and the spec count
+    mask_counts = _mask_counts(specs)
+    small = sum(mask_counts.values()) <= MAX_BROADCAST_SPECS
     if candidates is not None:
         matches = match_candidates(bk, spec, candidates)
     else:
-        matches = match_specs(specs, booking_cells(bk), small)
+        matches = match_specs(specs, booking_cells(bk), small, mask_counts)
     # one row per distinct spec: cached so every branch reuses it instead of re-scanning the cells
     scopes = spec_scopes(matches).cache()
     if whole:
