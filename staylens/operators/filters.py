@@ -19,12 +19,18 @@ _OPS = {"gt": lambda c, v: c > v, "lt": lambda c, v: c < v, "eq": lambda c, v: c
 
 
 def condition(conditions: dict[str, Any] | None, columns: list[str], on_unknown: str = "error") -> Column:
-    """the AND of all conditions; unknown columns raise or are ignored."""
+    """the AND of all conditions.
+
+    Unknown columns: ``error`` raises, ``ignore`` skips the condition (API path),
+    ``empty`` selects nothing (the query path answered an empty frame).
+    """
     preds: list[Column] = []
     for key, value in (conditions or {}).items():
         if key not in columns:
             if on_unknown == "ignore":
                 continue
+            if on_unknown == "empty":
+                return F.lit(False)
             raise KeyError(f"unknown column {key!r}")
         c = F.col(key)
         if isinstance(value, dict):

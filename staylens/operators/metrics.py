@@ -334,9 +334,13 @@ def meal_by_country(df: DataFrame, by: list[str] | None = None, k: int = 5) -> D
 # Database statistics and EDA figures
 # --------------------------------------------------------------------------
 
-def db_stats(df: DataFrame) -> DataFrame:
-    """M34 scalars: totals, cancellation rate, distinct countries, latest update (one agg)."""
+def db_stats(df: DataFrame, update_log: DataFrame | None = None) -> DataFrame:
+    """M34 scalars: totals, cancellation rate, distinct countries, latest update (one agg);
+    with ``update_log`` also its size (``total_updates``, a scalar subquery)."""
     canceled = F.count_if(F.col("is_canceled") == 1)
+    if update_log is not None:
+        n_log = update_log.select(F.count(F.lit(1))).scalar()
+        return db_stats(df).withColumn("total_updates", n_log)
     return df.agg(
         _n().alias("total_bookings"),
         canceled.alias("canceled_bookings"),

@@ -276,3 +276,8 @@ def result_json(metrics: DataFrame) -> DataFrame:
     parts = scal.unionByName(flat).unionByName(nested)
     return parts.groupBy("qid").agg(obj(F.collect_list(F.struct(
         F.col("pos"), F.concat(quoted(F.col("metric")), F.lit(": "), F.col("j")).alias("t")))).alias("result"))
+
+
+def accuracy_histogram(scored: DataFrame, bins: int = 10) -> DataFrame:
+    """Equal-width histogram of accuracy scores."""
+    return equal_width_histogram(scored, "accuracy", bins)

@@ -202,3 +202,13 @@ def q_accuracy_summary(spark, sf_dir):
     answers = R.template_answer(res["metrics"], questions).join(questions, "qid").select(
         F.col("text").alias("question"), "answer")
     return rounded(R.accuracy_summary(R.keyword_accuracy(answers, expected_df(spark))))
+
+
+@register("accuracy_histogram", None)
+def q_accuracy_histogram(spark, sf_dir):
+    """10 equal-width bins of the template answers' keyword accuracy."""
+    questions = questions_df(spark)
+    res = Q.analyse(bk(spark, sf_dir), questions)
+    answers = R.template_answer(res["metrics"], questions).join(questions, "qid").select(
+        F.col("text").alias("question"), "answer")
+    return rounded(R.accuracy_histogram(R.keyword_accuracy(answers, expected_df(spark)), 10))

@@ -87,3 +87,20 @@ def test_rank_quantiles_property(spark):
             assert got[g] == (len(s), s[int(0.9 * len(s))])
 
     check()
+
+
+def test_unknown_filter_column_modes(spark):
+    import pytest
+    from staylens.operators.filters import filter_bookings
+    df = spark.createDataFrame([(1, "A")], "id long, hotel string")
+    with pytest.raises(KeyError):
+        filter_bookings(df, {"nope": 1})
+    assert filter_bookings(df, {"nope": 1, "hotel": "A"}, on_unknown="ignore").count() == 1
+    assert filter_bookings(df, {"nope": 1}, on_unknown="empty").count() == 0
+
+
+def test_db_stats_with_log(spark):
+    df = spark.createDataFrame([(1, "PRT", None)], "is_canceled int, country string, last_updated timestamp")
+    log = spark.createDataFrame([(1,), (2,)], "id long")
+    r = M.db_stats(df, log).first()
+    assert r["total_bookings"] == 1 and r["canceled_bookings"] == 1 and r["total_updates"] == 2
