@@ -8,16 +8,18 @@ A table of questions ``(qid, text)`` is answered in one Spark job:
                        a hot key collapses into one cell, so skew cannot hurt.
 3. ``match_specs``     distinct specs x cells through an equi-join on
                        mask-expanded keys: each cell is emitted once per
-                       "which of year/month/hotel is constrained" mask (8), the
-                       spec table is broadcast (its size is checked), and the
-                       remaining predicates are a residual filter. No cross join.
+                       "which of year/month/hotel is constrained" mask in use
+                       (at most 8), the spec table is broadcast (its size is
+                       checked), and the remaining predicates are a residual
+                       filter. No cross join.
 4. ``spec_scopes``     F17: a year/month/country/hotel that is unique among a
                        spec's matches becomes a scope on the whole table.
-5. ``analysis_frames`` bookings tagged with the scope(s) they fall in, again by
-                       a mask-expanded equi-join (16 masks) against the broadcast
-                       scope table; F18 (direct scope) uses the spec join instead.
-6. ``scope_metrics``   every metric for every scope: one scalar aggregate and one
-                       GROUPING SETS aggregate, emitted as a long table.
+5. ``scoped_bookings`` bookings tagged with the scope(s) they fall in, again by
+                       a mask-expanded equi-join (only the masks in use, at most
+                       16) against the broadcast scope table; F18 (direct scope)
+                       uses ``filtered_bookings`` with the spec join instead.
+6. ``scope_metrics``   the triggered metrics for every scope: one scalar aggregate
+                       and one GROUPING SETS aggregate, emitted as a long table.
 7. ``answers``         per question: the triggered metrics, context text (X5),
                        prompt (X6), template answer (X7), empty answer (X8).
 """

@@ -104,3 +104,11 @@ def test_db_stats_with_log(spark):
     log = spark.createDataFrame([(1,), (2,)], "id long")
     r = M.db_stats(df, log).first()
     assert r["total_bookings"] == 1 and r["canceled_bookings"] == 1 and r["total_updates"] == 2
+
+
+def test_approx_quantile_switch(spark):
+    df = spark.range(0, 10001).selectExpr("CAST(id AS DOUBLE) AS adr", "CAST(id % 7 AS INT) AS lead_time",
+                                          "CAST(id % 9 AS INT) AS total_nights")
+    exact = M.price_stats(df).first()["median_price"]
+    approx = M.price_stats(df, approx=True).first()["median_price"]
+    assert exact == 5000.0 and abs(approx - exact) <= 1.0
