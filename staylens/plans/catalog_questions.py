@@ -134,7 +134,26 @@ def q_context_text(spark, sf_dir):
     return R.prompt_text(ctx, questions).join(ctx, "qid")
 
 
-@register("template_answer", None)
+_TEMPLATE_SQL = _question_cte() + """, agg AS (
+  SELECT sc.qid, sc.filtered_records, count(b.id) AS total, COALESCE(sum(b.is_canceled), 0) AS canceled,
+    COALESCE(sum(b.revenue), 0) AS rev, avg(b.revenue) AS avgrev
+  FROM sc LEFT JOIN bk b ON """ + " AND ".join(
+    f"(NOT sc.scope_{d}_set OR CAST(b.{c} AS VARCHAR) = sc.scope_{d})" for d, c in Q.SCOPE_COLUMNS.items()) + """
+  GROUP BY sc.qid, sc.filtered_records)
+SELECT q.qid, CASE WHEN a.filtered_records <= 0 THEN 'I couldn''t find any data matching your query criteria.'
+  ELSE 'Based on the analysis of ' || CAST(a.total AS VARCHAR) || ' hotel bookings:' || chr(10)
+    || CASE WHEN contains(lower(q.text), 'cancel') AND a.total > 0 THEN
+         '- Total bookings: ' || CAST(a.total AS VARCHAR) || chr(10)
+         || '- Cancelled bookings: ' || CAST(a.canceled AS VARCHAR) || chr(10)
+         || '- Cancellation rate: ' || printf('%.2f', a.canceled * 100.0 / a.total) || '%' || chr(10) ELSE '' END
+    || CASE WHEN contains(lower(q.text), 'revenue') AND a.total > 0 THEN
+         '- Total revenue: $' || printf('%.2f', a.rev) || chr(10)
+         || '- Average revenue per booking: $' || printf('%.2f', a.avgrev) || chr(10) ELSE '' END
+  END AS answer
+FROM qs q JOIN agg a USING (qid)"""
+
+
+@register("template_answer", _TEMPLATE_SQL)
 def q_template_answer(spark, sf_dir):
     """X7 + X8: rule-based answer of every fixed question (fixed sentence when nothing matched)."""
     questions = questions_df(spark)
