@@ -134,13 +134,14 @@ def q_context_text(spark, sf_dir):
     return R.prompt_text(ctx, questions).join(ctx, "qid")
 
 
-_TEMPLATE_SQL = _question_cte() + """, agg AS (
+_TEMPLATE_CTES = _question_cte() + """, agg AS (
   SELECT sc.qid, sc.filtered_records, count(b.id) AS total, COALESCE(sum(b.is_canceled), 0) AS canceled,
     COALESCE(sum(b.revenue), 0) AS rev, avg(b.revenue) AS avgrev
   FROM sc LEFT JOIN bk b ON """ + " AND ".join(
     f"(NOT sc.scope_{d}_set OR CAST(b.{c} AS VARCHAR) = sc.scope_{d})" for d, c in Q.SCOPE_COLUMNS.items()) + """
-  GROUP BY sc.qid, sc.filtered_records)
-SELECT q.qid, CASE WHEN a.filtered_records <= 0 THEN 'I couldn''t find any data matching your query criteria.'
+  GROUP BY sc.qid, sc.filtered_records)"""
+
+_TEMPLATE_SELECT = """SELECT q.qid, CASE WHEN a.filtered_records <= 0 THEN 'I couldn''t find any data matching your query criteria.'
   ELSE 'Based on the analysis of ' || CAST(a.total AS VARCHAR) || ' hotel bookings:' || chr(10)
     || CASE WHEN contains(lower(q.text), 'cancel') AND a.total > 0 THEN
          '- Total bookings: ' || CAST(a.total AS VARCHAR) || chr(10)
@@ -152,6 +153,27 @@ SELECT q.qid, CASE WHEN a.filtered_records <= 0 THEN 'I couldn''t find any data
   END AS answer
 FROM qs q JOIN agg a USING (qid)"""
 
+_TEMPLATE_SQL = _TEMPLATE_CTES + "\n" + _TEMPLATE_SELECT
+
+
+def _keywords_sql() -> str:
+    from .fixtures import EXPECTED_KEYWORDS
+
+    rows = ", ".join(
+        "('" + q.replace("'", "''") + "', [" + ", ".join("'" + k.replace("'", "''") + "'" for k in kws) + "])"
+        for q, kws in EXPECTED_KEYWORDS.items())
+    return f"(SELECT * FROM (VALUES {rows}) AS t(question, keywords))"
+
+
+_SCORED = (", ta AS (" + _TEMPLATE_SELECT + "),\nscored AS ("
+           + "SELECT q.text AS question, CASE WHEN ek.keywords IS NULL OR len(ek.keywords) = 0 THEN 0.0 "
+           + "ELSE len(list_filter(ek.keywords, lambda k: contains(lower(COALESCE(ta.answer, '')), lower(k)))) "
+           + "/ len(ek.keywords) END AS accuracy FROM ta JOIN qs q USING (qid) "
+           + "LEFT JOIN " + _keywords_sql() + " ek ON ek.question = q.text)\n")
+_KEYWORD_SQL = _TEMPLATE_CTES + _SCORED + "SELECT question, ROUND(accuracy, 6) AS accuracy FROM scored"
+_ACCURACY_SUMMARY_SQL = (_TEMPLATE_CTES + _SCORED + "SELECT ROUND(avg(accuracy), 6) AS avg_accuracy, "
+                         "ROUND(min(accuracy), 6) AS min_accuracy, ROUND(max(accuracy), 6) AS max_accuracy FROM scored")
+
 
 @register("template_answer", _TEMPLATE_SQL)
 def q_template_answer(spark, sf_dir):
@@ -161,7 +183,7 @@ def q_template_answer(spark, sf_dir):
     return R.template_answer(res["metrics"], questions)
 
 
-@register("keyword_accuracy", None)
+@register("keyword_accuracy", _KEYWORD_SQL)
 def q_keyword_accuracy(spark, sf_dir):
     """E1 + E4: keyword accuracy of the template answers against the expected keywords."""
     questions = questions_df(spark)
@@ -213,7 +235,7 @@ def q_answer_json(spark, sf_dir):
     return R.result_json(res["metrics"])
 
 
-@register("accuracy_summary", None)
+@register("accuracy_summary", _ACCURACY_SUMMARY_SQL)
 def q_accuracy_summary(spark, sf_dir):
     """E1 + E4: mean / min / max keyword accuracy of the template answers."""
     questions = questions_df(spark)
