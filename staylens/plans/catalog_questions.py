@@ -171,6 +171,12 @@ _SCORED = (", ta AS (" + _TEMPLATE_SELECT + "),\nscored AS ("
            + "/ len(ek.keywords) END AS accuracy FROM ta JOIN qs q USING (qid) "
            + "LEFT JOIN " + _keywords_sql() + " ek ON ek.question = q.text)\n")
 _KEYWORD_SQL = _TEMPLATE_CTES + _SCORED + "SELECT question, ROUND(accuracy, 6) AS accuracy FROM scored"
+_ACCURACY_HIST_SQL = (_TEMPLATE_CTES + _SCORED + """, s AS (SELECT min(accuracy) AS lo, max(accuracy) AS hi FROM scored)
+SELECT b.bin, ROUND(s.lo + (s.hi - s.lo) * b.bin / 10, 6) AS bin_start, ROUND(s.lo + (s.hi - s.lo) * (b.bin + 1) / 10, 6) AS bin_end,
+  CAST(COALESCE(c.n, 0) AS BIGINT) AS n
+FROM s CROSS JOIN (SELECT CAST(range AS INT) AS bin FROM range(10)) b LEFT JOIN (
+  SELECT CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((accuracy - lo) * 10 / (hi - lo)), 9) END AS INT) AS bin, count(*) AS n
+  FROM scored, s WHERE accuracy IS NOT NULL GROUP BY 1) c USING (bin)""")
 _ACCURACY_SUMMARY_SQL = (_TEMPLATE_CTES + _SCORED + "SELECT ROUND(avg(accuracy), 6) AS avg_accuracy, "
                          "ROUND(min(accuracy), 6) AS min_accuracy, ROUND(max(accuracy), 6) AS max_accuracy FROM scored")
 
@@ -245,7 +251,7 @@ def q_accuracy_summary(spark, sf_dir):
     return rounded(R.accuracy_summary(R.keyword_accuracy(answers, expected_df(spark))))
 
 
-@register("accuracy_histogram", None)
+@register("accuracy_histogram", _ACCURACY_HIST_SQL)
 def q_accuracy_histogram(spark, sf_dir):
     """10 equal-width bins of the template answers' keyword accuracy."""
     questions = questions_df(spark)
