@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, license_scan, source_mix, url_filter
+from . import chat_format, decontaminate, embedding_dedup, language_id, license_scan, source_mix, url_filter
 from .common import show_code, table
 
 #: The rules of the URL query.
@@ -24,6 +24,11 @@ def crc_mod(doc_id, k: int):
     return F.crc32(doc_id.cast("string").cast("binary")) % k
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of all embeddings."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -1, formatted, and read back from the tokens."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -96,5 +101,5 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: _query(f) for f in (
-    op3_chat_format, op4_decontaminate, op5_language_id, op6_url_filter, op7_license_scan, op9_source_mix)}
+    op2_embedding_dedup, op3_chat_format, op4_decontaminate, op5_language_id, op6_url_filter, op7_license_scan, op9_source_mix)}
 ORACLES: dict[str, str] = {}
