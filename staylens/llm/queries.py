@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, embedding_dedup, language_id, license_scan, source_mix, url_filter
+from . import chat_format, decontaminate, embedding_dedup, language_id, license_scan, ngram_join, source_mix, url_filter
 from .common import show_code, table
 
 #: The rules of the URL query.
@@ -91,6 +91,11 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("source")
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents."""
+    return ngram_join.join_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("_t")
+
+
 def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         show_code(spark)
@@ -101,5 +106,5 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: _query(f) for f in (
-    op2_embedding_dedup, op3_chat_format, op4_decontaminate, op5_language_id, op6_url_filter, op7_license_scan, op9_source_mix)}
+    op2_embedding_dedup, op3_chat_format, op4_decontaminate, op5_language_id, op6_url_filter, op7_license_scan, op9_source_mix, op10_ngram_join)}
 ORACLES: dict[str, str] = {}
