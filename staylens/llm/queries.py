@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, embedding_dedup, language_id, license_scan, ngram_join, source_mix, url_filter
+from . import chat_format, decontaminate, embedding_dedup, language_id, license_scan, lm_score, ngram_join, source_mix, url_filter
 from .common import show_code, table
 
 #: The rules of the URL query.
@@ -86,6 +86,14 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.array_join("_base", ",").alias("base_labels"), F.array_join("_labels", ",").alias("labels"), F.col("_score").alias("score"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by counts and a model of those that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm_score.score_documents(docs, crc_mod(F.col("doc_id"), 7) != 2)
+    return scored.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 7) == 2, F.lit(False)).alias("held_out"),
+                         "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed by source."""
     return source_mix.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("source")
@@ -106,5 +114,5 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: _query(f) for f in (
-    op2_embedding_dedup, op3_chat_format, op4_decontaminate, op5_language_id, op6_url_filter, op7_license_scan, op9_source_mix, op10_ngram_join)}
+    op2_embedding_dedup, op3_chat_format, op4_decontaminate, op5_language_id, op6_url_filter, op7_license_scan, op8_lm_score, op9_source_mix, op10_ngram_join)}
 ORACLES: dict[str, str] = {}
