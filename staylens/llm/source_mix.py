@@ -98,7 +98,7 @@ def mix_sources(docs: DataFrame, source: str = "source", text: str = "text", doc
     times; a slot beyond that stays empty. Slots join blocks by (source, block).
 
     The source table (a row per source) comes to the driver; nothing else does. Offsets of a source's
-    documents come from sums over hash buckets, sized so that a bucket holds some thousand documents whatever
+    documents come from sums over hash buckets, sized so that a bucket holds about a thousand documents whatever
     its source. Empty and null texts take nothing; repeated rows are documents of their own; reruns agree.
     """
     spark = docs.sparkSession
@@ -114,7 +114,7 @@ def mix_sources(docs: DataFrame, source: str = "source", text: str = "text", doc
                                  "_source string, _s int, source_size long, target double")
     rows = sized.join(plan, sized["_source"].eqNullSafe(plan["_source"])).drop(plan["_source"])
     # word offsets within a source: buckets of the order, then rows of a bucket
-    buckets = blocks_for(sum(r[2] for r in table), 4096)
+    buckets = blocks_for(sum(r[2] for r in table), 1024)
     rows = rows.withColumn("_b", F.pmod("_h", F.lit(buckets)))
     sums = rows.groupBy("_s", "_b").agg(F.sum("_size").alias("_n"))
     before = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -124,7 +124,7 @@ def mix_sources(docs: DataFrame, source: str = "source", text: str = "text", doc
               .select("_id", "_source", "_s", "_size", "source_size", "target", (F.col("_base") + F.col("_off")).alias("_start")))
     placed = stage(placed, "mix-placed")
     taken = _taken(placed, sizes, targets, total, epochs, block, slots, seed)
-    out = placed.join(taken, ["_s", "_start", "_size"], "left")
+    out = placed.join(taken.hint("merge"), ["_s", "_start", "_size"], "left")
     return out.select(F.col("_id").alias(doc_id), F.col("_source").alias(source), F.col("_size").alias("size"), "source_size", "target",
                       F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
@@ -174,4 +174,4 @@ def _taken(placed: DataFrame, sizes: list[int], targets: list[float], total: int
     pieces = (placed.where("_size > 0").select("_s", "_start", "_size", F.explode(F.sequence(
         F.floor(F.col("_start") / block), F.floor((end - 1) / block))).alias("_block"))
         .withColumn("words", F.least(F.col("_start") + F.col("_size"), (F.col("_block") + 1) * block) - F.greatest("_start", F.col("_block") * block)))
-    return pieces.join(uses, ["_s", "_block"]).groupBy("_s", "_start", "_size").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
+    return pieces.join(uses.hint("merge"), ["_s", "_block"]).groupBy("_s", "_start", "_size").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
