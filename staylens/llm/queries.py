@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, embedding_dedup, language_id, license_scan, lm_score, ngram_join, source_mix, url_filter
+from . import chat_format, decontaminate, embedding_dedup, language_id, license_scan, lm_score, ngram_join, source_mix, suffix_dedup, url_filter
 from .common import show_code, table
 
 #: The rules of the URL query.
@@ -24,6 +24,13 @@ def crc_mod(doc_id, k: int):
     return F.crc32(doc_id.cast("string").cast("binary")) % k
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated strings of 200 bytes cut from all documents."""
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), whole_characters=False)
+    return cut.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"),
+                      F.col("_sha256").alias("kept_sha256"))
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and groups of all embeddings."""
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
@@ -114,5 +121,5 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: _query(f) for f in (
-    op2_embedding_dedup, op3_chat_format, op4_decontaminate, op5_language_id, op6_url_filter, op7_license_scan, op8_lm_score, op9_source_mix, op10_ngram_join)}
+    op1_suffix_dedup, op2_embedding_dedup, op3_chat_format, op4_decontaminate, op5_language_id, op6_url_filter, op7_license_scan, op8_lm_score, op9_source_mix, op10_ngram_join)}
 ORACLES: dict[str, str] = {}
