@@ -69,7 +69,7 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarr
     step = [np.uint64(pow(_STEP, k, 1 << 64)) for k in range(words)]
     total = np.zeros(max(0, n - words + 1), np.uint64)
     for k in range(words):
-        total += hashes[k : n - words + 1 + k] * step[k]
+        total += hashes[k : k + len(total)] * step[k]
     whole = doc[: len(total)] == doc[words - 1 :] if len(total) else np.zeros(0, bool)
     few = np.flatnonzero((count > 0) & (count < words))
     first = np.concatenate([[0], np.cumsum(count)])

@@ -108,7 +108,7 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
-    return ngram_join.join_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("_t")
+    return ngram_join.join_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("_t", "_group")
 
 
 def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
