@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, embedding_dedup, language_id, license_scan, lm_score, ngram_join, source_mix, suffix_dedup, url_filter
 from .common import show_code, table
+from .oracles import ORACLES  # noqa: F401
 
 #: The rules of the URL query.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -122,4 +123,3 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: _query(f) for f in (
     op1_suffix_dedup, op2_embedding_dedup, op3_chat_format, op4_decontaminate, op5_language_id, op6_url_filter, op7_license_scan, op8_lm_score, op9_source_mix, op10_ngram_join)}
-ORACLES: dict[str, str] = {}
