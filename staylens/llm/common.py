@@ -108,6 +108,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest member of each of n nodes' component under the links a[k] - b[k]: hook roots, then jump, until nothing moves."""
+    root = np.arange(n)
+    while True:
+        least = np.minimum(root[a], root[b])
+        before = root.copy()
+        np.minimum.at(root, root[a], least)
+        np.minimum.at(root, root[b], least)
+        while (root[root] != root).any():
+            root = root[root]
+        if (before == root).all():
+            return root
+
+
 def components(edges: DataFrame, a: str, b: str, name: str = "links") -> DataFrame:
     """(node, component) for every node of the undirected ``edges``: component is the smallest reachable node.
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stage
+from .common import components, roots, stage
 
 THRESHOLD = 0.9
 #: Vectors that the cells are fitted on, and cells at most (each holds at least 16 of them).
@@ -140,7 +140,7 @@ def _compare(units: DataFrame, threshold: float, block: int) -> DataFrame:
         home = visits[:, 0]
         norm = np.sqrt((x * x).sum(1))
         n = len(x)
-        links, root = np.zeros(n, np.int64), np.arange(n)
+        links, linked = np.zeros(n, np.int64), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         left = np.flatnonzero(col["at"] == i)
         right = np.flatnonzero(col["at"] == j)
         for lo in range(0, len(left), block):
@@ -159,15 +159,8 @@ def _compare(units: DataFrame, threshold: float, block: int) -> DataFrame:
                 p, q = (v[keep & ~(twice & (away < cell))] for v in (p, q))
                 np.add.at(links, p, col["w"][q])
                 np.add.at(links, q, col["w"][p])
-                while True:  # hook roots, then jump, until each linked pair has one root
-                    least = np.minimum(root[p], root[q])
-                    before = root.copy()
-                    np.minimum.at(root, root[p], least)
-                    np.minimum.at(root, root[q], least)
-                    while (root[root] != root).any():
-                        root = root[root]
-                    if (before == root).all():
-                        break
+                linked += [(p, q)]
+        root = roots(*(np.concatenate([x[k] for x in linked]) for k in (0, 1)), n)
         seen = links > 0
         return pa.table({"cid": col["cid"][seen], "links": links[seen], "root": col["cid"][root[seen]]})
 
