@@ -1,10 +1,9 @@
-"""Quantile expressions and operators.
+"""Quantile operators.
 
-Exact quantiles use Spark's ``percentile`` aggregate, whose buffer is a
-value -> count map: memory grows with the number of *distinct* values of a
-group, not with its rows, and partial maps are merged after a map-side combine.
-``approx=True`` swaps in ``percentile_approx`` (fixed-size sketch) for
-high-cardinality columns at cluster scale.
+Exact quantiles count values first (a hot value is one row) and then number them
+in ``SPLITS`` ranges per group: any cut points give right ranges, so approximate
+percentiles serve as cuts, and no task ever holds all values of a group.
+``approx_quantile`` is the fixed-size sketch (``percentile_approx``).
 """
 
 from __future__ import annotations
@@ -15,41 +14,69 @@ from pyspark.sql import functions as F
 from .exprs import col_
 
 APPROX_ACCURACY = 100000
+SPLITS = 64
 
 
-def quantile(c: str | Column, q: float, approx: bool = False) -> Column:
-    """Linear-interpolated quantile (pandas ``quantile``/``median`` semantics); NULLs ignored."""
-    if approx:
-        return F.percentile_approx(col_(c), F.lit(q), APPROX_ACCURACY).cast("double")
-    return F.percentile(col_(c), F.lit(q)).cast("double")
+def approx_quantile(c: str | Column, q: float) -> Column:
+    """Quantile by a sketch of fixed size; NULLs ignored."""
+    return F.percentile_approx(col_(c), F.lit(q), APPROX_ACCURACY).cast("double")
 
 
-def median(c: str | Column, approx: bool = False) -> Column:
-    return quantile(c, 0.5, approx)
+def cumulative_counts(df: DataFrame, value: str, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """(by, value, _cum, _n): how many non-NULL values of the group are up to ``value``, and how many there are."""
+    by = list(by or [])
+    count = F.sum(weight) if weight else F.count(F.lit(1))
+    hist = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(count.alias("_cnt"))
+    cuts = F.percentile_approx(value, [k / SPLITS for k in range(1, SPLITS)], 1000)
+    ranges = hist.groupBy(*by).agg(cuts.alias("_cuts"), F.sum("_cnt").alias("_n"))
+    if by:
+        hist = _join(hist, ranges, by)
+    else:
+        hist = hist.withColumns({"_cuts": ranges.select("_cuts").scalar(), "_n": ranges.select("_n").scalar()})
+    hist = hist.withColumn("_bin", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    sums = hist.groupBy(*by, "_bin").agg(F.sum("_cnt").alias("_c"))
+    before = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*by, "_bin", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    upto = Window.partitionBy(*by, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return _join(hist, offsets, [*by, "_bin"]).select(*by, value, (F.col("_off") + F.sum("_cnt").over(upto)).alias("_cum"), "_n")
+
+
+def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Equi-join on keys where NULL equals NULL."""
+    named = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    cond = on[0]
+    for c in on[1:]:
+        cond = cond & c
+    return left.join(named, cond).drop(*[f"_r_{k}" for k in keys])
 
 
 def rank_quantiles(df: DataFrame, value: str, qs: dict[str, float], by: list[str] | None = None) -> DataFrame:
     """``sorted(values)[int(q * n)]`` per group (the evaluator's p90/p95 rule).
 
     That element is the smallest value whose cumulative count exceeds ``q * n``.
-    Rows are first pre-aggregated to (group, value) -> count, so a hot value
-    costs one row; the running sum then runs per group over distinct values only.
     Groups whose values are all NULL are absent; n counts non-NULL values.
     """
     by = list(by or [])
-    hist = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_cnt"))
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    wg = Window.partitionBy(*by)
-    cum = hist.select(
-        *by, value,
-        F.sum("_cnt").over(w).alias("_cum"),
-        F.sum("_cnt").over(wg).alias("_n"),
-    )
-    aggs = [
-        F.min(F.when(F.col("_cum") > F.floor(F.lit(q) * F.col("_n")), F.col(value))).alias(name)
-        for name, q in qs.items()
-    ]
-    return cum.groupBy(*by).agg(F.max("_n").alias("n"), *aggs)
+    cum = cumulative_counts(df, value, by)
+    at = lambda q: F.min(F.when(F.col("_cum") > F.floor(F.lit(q) * F.col("_n")), F.col(value)))
+    return cum.groupBy(*by).agg(F.max("_n").alias("n"), *[at(q).alias(name) for name, q in qs.items()])
+
+
+def linear_quantiles(df: DataFrame, value: str, qs: dict[str, float], by: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """Linear-interpolated quantiles per group (pandas ``quantile``/``median`` semantics); ``weight`` repeats a value.
+    Groups without a value are absent; without ``by`` there is always one row."""
+    by = list(by or [])
+    cum = cumulative_counts(df, value, by, weight)
+    aggs = []
+    for name, q in qs.items():
+        place = F.lit(q) * (F.col("_n") - 1)
+        x = F.col(value).cast("double")
+        aggs += [F.min(F.when(F.col("_cum") > F.floor(place), x)).alias(f"_lo_{name}"),
+                 F.min(F.when(F.col("_cum") > F.ceil(place), x)).alias(f"_hi_{name}"), F.max(place - F.floor(place)).alias(f"_w_{name}")]
+    out = cum.groupBy(*by).agg(*aggs)
+    lo, hi, w = (lambda n: F.col(f"_lo_{n}")), (lambda n: F.col(f"_hi_{n}")), (lambda n: F.col(f"_w_{n}"))
+    return out.select(*by, *[(lo(n) + (hi(n) - lo(n)) * w(n)).alias(n) for n in qs])
 
 
 def equal_width_histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:

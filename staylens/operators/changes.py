@@ -6,16 +6,20 @@ update sets; NULL for add = all given columns), plus one nullable column per
 booking field carrying the new values.
 
 Semantics (one change at a time, in ``seq`` order, like the row-by-row service):
-* update/delete of an id that does not exist (or no longer exists) is not applied;
+* adds get fresh ids above the high-water mark, in ``seq`` order (ids are never
+  reused, so a deleted last id does not come back); the mark of a snapshot is
+  returned with it and given to the next batch;
+* update/delete of an id that does not exist (yet, or no longer) is not applied; an id
+  added earlier in the same feed exists;
 * the first applied delete of an id removes it; later changes to it are not applied;
 * partial updates accumulate column by column: each column takes the value of
-  the latest applied update that set it (``max_by`` over those updates only);
-* adds get fresh ids above the high-water mark, in ``seq`` order (ids are never
-  reused, so a deleted last id does not come back).
+  the latest applied update that set it (``max_by`` over those updates only).
 
-Work: one aggregate of the changes per id, one left join of the base table
-with that (change-sized) table, a union with the added rows. The change side is
-broadcast only when its row count is proven small.
+So a feed gives the same rows however it is cut into batches.
+
+Work: ids for the adds, one aggregate of the changes per id, one left join of
+the base table and the added rows with that (change-sized) table. Spark chooses
+the joins from the sizes.
 """
 
 from __future__ import annotations
@@ -26,34 +30,26 @@ from pyspark.sql import functions as F
 from . import clean as C
 
 ADD, UPDATE, DELETE = "add", "update", "delete"
-MAX_BROADCAST_CHANGES = 2_000_000
-
 # audit operation names and details (fixed values of the original service)
 OPERATION = {ADD: "add_booking", UPDATE: "update_booking", DELETE: "delete_booking"}
 
 
-def _maybe_broadcast(df: DataFrame, small: bool) -> DataFrame:
-    return F.broadcast(df) if small else df
+def change_status(base: DataFrame, changes: DataFrame, added: DataFrame) -> DataFrame:
+    """(seq, op, id, applied) for every change; adds (``added``: seq, id) are always applied.
 
-
-def change_status(base: DataFrame, changes: DataFrame, small: bool = True) -> DataFrame:
-    """(seq, op, id, applied) for every change; adds are always applied.
-
-    Existence is tested by a semi-join of the base ids against the (broadcast)
-    changed ids, so the base table is only scanned, never shuffled, when the
-    change batch is small.
+    The base table is only scanned for the changed ids; an added id exists from its ``seq`` on.
     """
     ud = changes.where(F.col("op").isin(UPDATE, DELETE)).select("seq", "op", "id")
-    targets = ud.select("id").distinct()
-    existing = base.select("id").join(_maybe_broadcast(targets, small), "id", "left_semi") \
-        .withColumn("_exists", F.lit(True))
-    ud = ud.join(_maybe_broadcast(existing, small), "id", "left")
+    old = base.select("id").join(ud.select("id").distinct(), "id", "left_semi").select("id", F.lit(None).cast("long").alias("_since"))
+    there = old.unionByName(added.select("id", F.col("seq").alias("_since"))).withColumn("_there", F.lit(True))
+    ud = ud.join(there, "id", "left")
+    exists = F.coalesce(F.col("_there") & (F.col("_since").isNull() | (F.col("_since") < F.col("seq"))), F.lit(False))
+    ud = ud.withColumn("_exists", exists)
     first_del = ud.where((F.col("op") == DELETE) & F.col("_exists")).groupBy("id").agg(F.min("seq").alias("_del_seq"))
     ud = ud.join(first_del, "id", "left")
-    exists = F.coalesce(F.col("_exists"), F.lit(False))
-    applied = (F.when(F.col("op") == UPDATE, exists & (F.col("_del_seq").isNull() | (F.col("seq") < F.col("_del_seq"))))
-               .otherwise(exists & (F.col("seq") == F.col("_del_seq"))))
-    adds = changes.where(F.col("op") == ADD).select("seq", "op", "id", F.lit(True).alias("applied"))
+    applied = F.col("_exists") & F.when(F.col("op") == UPDATE, F.col("_del_seq").isNull() | (F.col("seq") < F.col("_del_seq"))).otherwise(
+        F.col("seq") == F.col("_del_seq"))
+    adds = added.select("seq", F.lit(ADD).alias("op"), F.lit(None).cast("long").alias("id"), F.lit(True).alias("applied"))
     return ud.select("seq", "op", "id", applied.alias("applied")).unionByName(adds)
 
 
@@ -93,55 +89,53 @@ def assign_ids(adds: DataFrame, high_water: Column | int, order: str = "seq", pa
     offsets = counts.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_off"))
     local = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
     hw = high_water if isinstance(high_water, Column) else F.lit(high_water)
-    return (local.join(F.broadcast(offsets), "_p")  # one row per partition
+    return (local.join(offsets, "_p")  # one row per partition
             .withColumn("id", (hw + F.col("_off") + F.col("_r")).cast("long"))
             .drop("_p", "_off", "_r"))
 
 
-def apply_changes(base: DataFrame, changes: DataFrame, high_water: int | None = None, now: str | None = None,
+def apply_changes(base: DataFrame, changes: DataFrame, high_water: int | Column | None = None, now: str | None = None,
                   recompute: bool = True) -> dict[str, DataFrame]:
-    """A1-A5: new snapshot, per-change status and audit rows.
+    """A1-A5: new ``snapshot``, per-change ``status``, ``audit`` rows, ``added`` (seq, id) and ``high_water`` (one row, ``id``).
 
-    ``recompute`` re-derives totals/flags/bins of touched rows (parity: the
-    service recomputed only the three totals of added rows, nothing on update).
+    ``high_water`` is the mark that came with ``base``; without one it is the largest id of ``base``. Absent parts of
+    an added booking's totals count as 0. ``recompute`` re-derives totals, flags and bins of the rows; without it
+    (the service's way) added rows get their three totals and no flags or bins, and updates recompute nothing.
     """
     from ..sources.schema import RAW_COLUMNS
 
     columns = [c for c in RAW_COLUMNS if c in changes.columns and c in base.columns]
-    n_changes = changes.count()
-    small = n_changes <= MAX_BROADCAST_CHANGES
-    status = change_status(base, changes, small)
-    folded = fold_updates(changes, status, columns)
     stamp = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
+    top = F.coalesce(base.select(F.max("id")).scalar(), F.lit(0))
+    mark = top if high_water is None else F.greatest(top, high_water if isinstance(high_water, Column) else F.lit(high_water))
+    new_rows = assign_ids(changes.where(F.col("op") == ADD).select("seq", *columns), mark)
+    added = new_rows.select("seq", "id")
+    # missing fields are NULL (the insert names only the given columns)
+    new_rows = new_rows.select(*[F.col(f.name) if f.name in new_rows.columns else F.lit(None).cast(f.dataType).alias(f.name)
+                                 for f in base.schema.fields])
+    if "total_nights" in base.columns:
+        new_rows = C.totals(new_rows, zero_missing=True, only_missing=True)
+    if "last_updated" in base.columns:
+        new_rows = new_rows.withColumn("last_updated", stamp)
 
-    joined = base.join(_maybe_broadcast(folded, small), "id", "left")
+    status = change_status(base, changes, added)
+    folded = fold_updates(changes, status, columns)
+    joined = base.unionByName(new_rows.select(*base.columns)).join(folded, "id", "left")
     touched = F.col("_deleted").isNotNull()
     kept = joined.where(~F.coalesce(F.col("_deleted"), F.lit(False)))
     values = {c: F.when(F.col(f"_u_{c}").isNotNull(), F.col(f"_u_{c}.v")).otherwise(F.col(c)) for c in columns}
-    updated = kept.withColumns(values)
+    snapshot = kept.withColumns(values)
     if "last_updated" in base.columns:
-        updated = updated.withColumn("last_updated", F.when(touched, stamp).otherwise(F.col("last_updated")))
+        snapshot = snapshot.withColumn("last_updated", F.when(touched, stamp).otherwise(F.col("last_updated")))
     if recompute:
-        # derived columns are a function of the raw ones: re-deriving every row
-        # changes only the touched rows
-        updated = C.derive(updated)
-    updated = updated.select(*base.columns)
-
-    adds = changes.where(F.col("op") == ADD)
-    hw = F.lit(high_water) if high_water is not None else base.select(F.max("id")).scalar()
-    new_rows = assign_ids(adds.select("seq", *columns), hw)
-    # missing fields are NULL (the insert names only the given columns)
-    new_rows = new_rows.select(*[F.col(f.name) if f.name in new_rows.columns else F.lit(None).cast(f.dataType).alias(f.name)
-                                 for f in base.schema.fields])
-    new_rows = C.derive(new_rows, only_missing=not recompute)
-    new_rows = new_rows.withColumn("last_updated", stamp).select(*base.columns)
-
-    snapshot = updated.unionByName(new_rows)
-    audit = audit_rows(changes, status, new_rows, stamp)
-    return {"snapshot": snapshot, "status": status, "audit": audit, "added": new_rows}
+        # derived columns are a function of the raw ones: re-deriving changes only touched and added rows
+        snapshot = C.derive(snapshot, zero_missing=True)
+    snapshot = snapshot.select(*base.columns)
+    water = base.sparkSession.range(1).select(F.coalesce(added.agg(F.max("id")).scalar(), mark).cast("long").alias("id"))
+    return {"snapshot": snapshot, "status": status, "audit": audit_rows(changes, status, stamp), "added": added, "high_water": water}
 
 
-def audit_rows(changes: DataFrame, status: DataFrame, added: DataFrame, stamp: Column) -> DataFrame:
+def audit_rows(changes: DataFrame, status: DataFrame, stamp: Column) -> DataFrame:
     """One update-log row per applied change (id = change seq)."""
     ok = status.where("applied").select("seq", "op", F.col("id").alias("_target"))
     country = changes.select("seq", (F.coalesce(F.col("country"), F.lit("Unknown")) if "country" in changes.columns

@@ -1,9 +1,9 @@
 """Cleaning and derivation of reservation rows.
 
 All steps are row-local column expressions except the data-dependent
-imputation (C7), which needs one statistics aggregate. That aggregate is used
-through a scalar subquery (evaluated once, then inlined), so no join and no
-driver round trip of data is involved.
+imputation (C7). Its fill values come from one aggregate in a scalar subquery, so
+nothing runs while a plan is built, and a query that uses none of the columns
+that may be filled reads its source once.
 """
 
 from __future__ import annotations
@@ -63,18 +63,6 @@ def normalise_strings(df: DataFrame) -> DataFrame:
     return df.withColumns({c: norm(c) for c in STRING_COLUMNS if c in df.columns})
 
 
-def imputation_plan(df: DataFrame, exclude: tuple[str, ...] = ("id",)) -> list[str]:
-    """Columns that still hold NULLs (one aggregate row read back; bounded by the column count)."""
-    cols = [
-        f.name for f in df.schema.fields
-        if f.name not in exclude and (_is_numeric(f.dataType) or isinstance(f.dataType, T.StringType))
-    ]
-    if not cols:
-        return []
-    row = null_counts(df, cols).first().asDict()
-    return [c for c in cols if row[c] > 0]
-
-
 def impute(df: DataFrame, columns: list[str] | None = None, exclude: tuple[str, ...] = ("id",)) -> DataFrame:
     """Data-dependent fill of the remaining NULLs.
 
@@ -82,28 +70,34 @@ def impute(df: DataFrame, columns: list[str] | None = None, exclude: tuple[str,
     Mode ties take the smallest value; an all-NULL column stays NULL. Integral
     columns keep their type (a mean fill is rounded half-up).
 
-    ``columns`` defaults to the columns that actually hold NULLs, found with one
-    ``count_if`` aggregate; the fill values come from one statistics aggregate
-    used as a single scalar subquery (one extra scan, no join).
+    ``columns`` defaults to every numeric and text column that may hold NULLs by its schema.
     """
-    todo = imputation_plan(df, exclude) if columns is None else list(columns)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    todo = columns if columns is not None else [
+        f.name for f in df.schema.fields
+        if f.nullable and f.name not in exclude and (_is_numeric(f.dataType) or isinstance(f.dataType, T.StringType))]
     if not todo:
         return df
-    types = {f.name: f.dataType for f in df.schema.fields}
-    fills = []
-    for c in todo:
-        mode = F.mode(F.col(c), True)
-        if _is_numeric(types[c]):
-            mean = F.avg(F.col(c).cast("double"))
-            if not isinstance(types[c], (T.FloatType, T.DoubleType, T.DecimalType)):
-                mean = F.round(mean, 0)
-            fill = F.when(F.count_distinct(F.col(c)) > MEAN_FILL_MIN_DISTINCT, mean.cast(types[c])).otherwise(mode)
-        else:
-            fill = mode
-        fills.append(fill.alias(c))
-    stats = df.agg(F.struct(*fills).alias("fill"))
-    values = stats.select("fill").scalar()
-    return df.withColumns({c: F.coalesce(F.col(c), values.getField(c)) for c in todo})
+    # one pass: every value of every column is counted (in the tasks first), so no task holds a column's values
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), (F.col(c) if _is_numeric(types[c]) else F.lit(None)).cast("double").alias("num"),
+                               (F.lit(None) if _is_numeric(types[c]) else F.col(c)).cast("string").alias("txt")) for i, c in enumerate(todo)])
+    values = df.select(F.explode(pairs).alias("p")).select("p.*").where("num is not null or txt is not null")
+    counts = values.groupBy("i", "num", "txt").agg(F.count(F.lit(1)).alias("n"))
+    most = F.struct(-F.col("n"), "num", "txt")
+    per = counts.groupBy("i").agg(F.count(F.lit(1)).alias("distinct"), F.min_by("num", most).alias("num"), F.min_by("txt", most).alias("txt"),
+                                  (F.sum(F.col("num") * F.col("n")) / F.sum("n")).alias("mean"))
+    stats = per.agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("distinct", "num", "txt", "mean"))))).scalar()
+
+    def fill(i: int, c: str) -> Column:
+        found = F.element_at("_fill", F.lit(i))
+        if not _is_numeric(types[c]):
+            return found.getField("txt")
+        mean = found.getField("mean")
+        if not isinstance(types[c], (T.FloatType, T.DoubleType, T.DecimalType)):
+            mean = F.round(mean, 0)
+        return F.when(found.getField("distinct") > MEAN_FILL_MIN_DISTINCT, mean).otherwise(found.getField("num")).cast(types[c])
+
+    return df.withColumn("_fill", stats).withColumns({c: F.coalesce(F.col(c), fill(i, c)) for i, c in enumerate(todo)}).drop("_fill")
 
 
 def parse_dates(df: DataFrame, column: str = "reservation_status_date") -> DataFrame:
@@ -111,22 +105,23 @@ def parse_dates(df: DataFrame, column: str = "reservation_status_date") -> DataF
     return df.withColumn(column, F.try_to_date(F.col(column).cast("string"), "yyyy-MM-dd"))
 
 
-def derive(df: DataFrame, only_missing: bool = False) -> DataFrame:
-    """Totals, revenue, presence flags and bins.
+def totals(df: DataFrame, zero_missing: bool = False, only_missing: bool = False) -> DataFrame:
+    """Total nights and guests, revenue.
 
-    ``only_missing`` (C16) keeps given totals and computes only absent ones.
+    ``zero_missing`` counts an absent part as 0 (rows added one by one); otherwise a NULL part gives NULL.
+    ``only_missing`` keeps given totals and computes only absent ones.
     """
-    nights = F.col("stays_in_weekend_nights") + F.col("stays_in_week_nights")
-    guests = (F.col("adults") + F.col("children") + F.col("babies")).cast("double")
-    out = df
-    if only_missing:
-        for name, expr in (("total_nights", nights), ("total_guests", guests)):
-            out = out.withColumn(name, F.coalesce(F.col(name), expr) if name in out.columns else expr)
-        rev = F.col("adr") * F.col("total_nights")
-        out = out.withColumn("revenue", F.coalesce(F.col("revenue"), rev) if "revenue" in out.columns else rev)
-    else:
-        out = out.withColumns({"total_nights": nights.cast("int"), "total_guests": guests})
-        out = out.withColumn("revenue", (F.col("adr") * F.col("total_nights")).cast("double"))
+    part = lambda c: F.coalesce(F.col(c), F.lit(0)) if zero_missing else F.col(c)
+    given = lambda c, x: F.coalesce(F.col(c), x) if only_missing and c in df.columns else x
+    nights = (part("stays_in_weekend_nights") + part("stays_in_week_nights")).cast("int")
+    guests = (part("adults") + part("children") + part("babies")).cast("double")
+    out = df.withColumns({"total_nights": given("total_nights", nights), "total_guests": given("total_guests", guests)})
+    return out.withColumn("revenue", given("revenue", (part("adr") * F.col("total_nights")).cast("double")))
+
+
+def derive(df: DataFrame, zero_missing: bool = False) -> DataFrame:
+    """Totals, revenue, presence flags and bins."""
+    out = totals(df, zero_missing)
     out = out.withColumns({flag: positive_flag(src) for flag, src in PRESENCE_FLAGS.items()})
     return out.withColumns({
         "waitlist_category": right_closed_bins("days_in_waiting_list", WAITLIST_EDGES, WAITLIST_LABELS),
@@ -161,20 +156,20 @@ def describe(df: DataFrame) -> DataFrame:
 def sample_n(df: DataFrame, n: int = 2500, seed: int = 42, key: str = "id") -> DataFrame:
     """Exactly ``min(n, rows)`` rows, repeatable for a given seed.
 
-    Rows are ranked by a seeded hash of the key and the first ``n`` kept
+    Rows are ranked by the MD5 of key and seed and the first ``n`` kept
     (TakeOrderedAndProject: each task keeps its own top n, the driver merges
     ``n`` per task), so no full sort or shuffle of the table happens.
     """
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f" {seed}"))), F.col(key)).limit(n)
 
 
 def clean_staged(df: DataFrame, staging_path: str, style: str = "service", now: str | None = None) -> DataFrame:
     """``clean`` for large ingests: the source is evaluated once.
 
     The row-local steps (fills, flags, text) are written to ``staging_path``
-    (a folder on the shared store); null counts and imputation statistics are
-    then read column-wise from that Parquet copy instead of re-running the
-    source (for example a join) for each pass.
+    (a folder on the shared store); the imputation statistics are then read
+    column-wise from that Parquet copy instead of re-running the source (for
+    example a join).
     """
     staged = normalise_strings(cast_flags(fill_constants(df, style)))
     staged.write.mode("errorifexists").parquet(staging_path)

@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import differs, ratio
-from ..functions.quantiles import median, quantile
+from ..functions.exprs import all_of, differs, ratio
+from ..functions.quantiles import approx_quantile, linear_quantiles
 from ..sources.schema import MONTHS, STRING_COLUMNS, WAITLIST_LABELS
 from .topk import arg_max_count, frequency_top_k, top_k
 
@@ -31,7 +31,12 @@ def _sum0(c: str | Column) -> Column:
 # Scalar metric blocks: name -> [(output column, aggregate expression)]
 # --------------------------------------------------------------------------
 
-def scalar_blocks(approx: bool = False) -> dict[str, list[tuple[str, Column]]]:
+#: Scalars that are medians: found by counting values, not by an aggregate that holds them.
+MEDIANS = {"median_price": "adr", "median_lead_time": "lead_time", "median_stay": "total_nights"}
+
+
+def scalar_blocks() -> dict[str, list[tuple[str, Column]]]:
+    median = approx_quantile
     we, wk = F.avg("stays_in_weekend_nights"), F.avg("stays_in_week_nights")
     weekend_only = (F.col("stays_in_weekend_nights") > 0) & (F.col("stays_in_week_nights") == 0)
     return {
@@ -47,14 +52,14 @@ def scalar_blocks(approx: bool = False) -> dict[str, list[tuple[str, Column]]]:
         ],
         "price_stats": [
             ("avg_price", F.avg("adr")),
-            ("median_price", median("adr", approx)),
+            ("median_price", median("adr", 0.5)),
             ("min_price", F.min("adr").cast("double")),
             ("max_price", F.max("adr").cast("double")),
         ],
         "guests": [("avg_guests_per_booking", F.avg("total_guests"))],
         "lead_stats": [
             ("avg_lead_time", F.avg("lead_time")),
-            ("median_lead_time", median("lead_time", approx)),
+            ("median_lead_time", median("lead_time", 0.5)),
         ],
         "repeat_guests": [
             ("repeat_guests", _sum0("is_repeated_guest").cast("long")),
@@ -91,18 +96,26 @@ def scalar_blocks(approx: bool = False) -> dict[str, list[tuple[str, Column]]]:
         ],
         "stay_stats": [
             ("avg_stay", F.avg("total_nights")),
-            ("median_stay", median("total_nights", approx)),
+            ("median_stay", median("total_nights", 0.5)),
             ("max_stay", F.max("total_nights").cast("double")),
         ],
     }
 
 
 def scalars(df: DataFrame, blocks: list[str], by: list[str] | None = None, approx: bool = False) -> DataFrame:
-    """Any set of scalar blocks fused into one aggregate."""
-    table = scalar_blocks(approx)
-    exprs = [e.alias(name) for b in blocks for name, e in table[b]]
-    by = list(by or [])
-    return df.groupBy(*by).agg(*exprs) if by else df.agg(*exprs)
+    """Any set of scalar blocks fused into one aggregate; exact medians are counted aside unless ``approx``."""
+    table, by = scalar_blocks(), list(by or [])
+    names = [name for b in blocks for name, _ in table[b]]
+    exprs = [e.alias(name) for b in blocks for name, e in table[b] if approx or name not in MEDIANS]
+    out = df.groupBy(*by).agg(*exprs) if by else df.agg(*exprs)
+    for name in [] if approx else [n for n in names if n in MEDIANS]:
+        mid = linear_quantiles(df, MEDIANS[name], {name: 0.5}, by)
+        if by:
+            keys = mid.select(*[F.col(k).alias(f"_{k}") for k in by], name)
+            out = out.join(keys, all_of([F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by]), "left").drop(*[f"_{k}" for k in by])
+        else:
+            out = out.withColumn(name, mid.scalar())
+    return out.select(*by, *names)
 
 
 def records(df, by=None):  # M1
@@ -234,12 +247,12 @@ def stay_by_hotel(df, by=None):  # M33
 
 
 def cancellation_by(df: DataFrame, key: str, by: list[str] | None = None) -> DataFrame:
-    """sum / count / rate of ``is_canceled`` per non-NULL key."""
+    """sum / count / rate of ``is_canceled`` per non-NULL key (M6, M27); bookings without the field aren't counted."""
     by = list(by or [])
     s = _sum0("is_canceled").cast("long")
     return (
         df.where(F.col(key).isNotNull()).groupBy(*by, key)
-        .agg(s.alias("canceled"), _n().alias("bookings"))
+        .agg(s.alias("canceled"), F.count("is_canceled").alias("bookings"))
         .withColumn("rate", ratio("canceled", "bookings"))
     )
 
@@ -397,7 +410,9 @@ def eda_answers(df: DataFrame, year: int, month: str = "July") -> DataFrame:
 
 def revenue_quantile(df: DataFrame, q: float = 0.95, approx: bool = False) -> DataFrame:
     """Linear-interpolated quantile of revenue (the plot's upper cut)."""
-    return df.agg(quantile("revenue", q, approx).alias("revenue_q"))
+    if approx:
+        return df.agg(approx_quantile("revenue", q).alias("revenue_q"))
+    return linear_quantiles(df, "revenue", {"revenue_q": q})
 
 
 def distinct_counts(df: DataFrame, columns: list[str] = STRING_COLUMNS, approx: bool = False) -> DataFrame:

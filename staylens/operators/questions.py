@@ -9,29 +9,31 @@ A table of questions ``(qid, text)`` is answered in one Spark job:
 3. ``match_specs``     distinct specs x cells through an equi-join on
                        mask-expanded keys: each cell is emitted once per
                        "which of year/month/hotel is constrained" mask in use
-                       (at most 8), the spec table is broadcast (its size is
-                       checked), and the remaining predicates are a residual
-                       filter. No cross join.
+                       (at most 8), and the remaining predicates are a residual
+                       filter. No cross join, no size switch: Spark plans the join.
 4. ``spec_scopes``     F17: a year/month/country/hotel that is unique among a
                        spec's matches becomes a scope on the whole table.
-5. ``scoped_bookings`` bookings tagged with the scope(s) they fall in, again by
-                       a mask-expanded equi-join (only the masks in use, at most
-                       16) against the broadcast scope table; F18 (direct scope)
-                       uses ``filtered_bookings`` with the spec join instead.
-6. ``scope_metrics``   the triggered metrics for every scope: one scalar aggregate
-                       and one GROUPING SETS aggregate, emitted as a long table.
-7. ``answers``         per question: the triggered metrics, context text (X5),
+5. ``scope_metrics``   the triggered metrics for every scope: bookings are
+                       aggregated once to partials per year, month, country and
+                       hotel (sums and counts, value counts, GROUPING SETS), and
+                       only these partials meet the scopes, again by a
+                       mask-expanded equi-join (``scoped``); F18 (direct scope)
+                       groups ``filtered_bookings`` by spec instead.
+6. ``analyse``         per question: the triggered metrics, context text (X5),
                        prompt (X6), template answer (X7), empty answer (X8).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import all_of, ratio
+from ..functions.exprs import all_of, differs, ratio
+from ..functions.quantiles import linear_quantiles
+from ..session import shared_path
 from ..sources.schema import MONTHS
-from .metrics import scalar_blocks
 
 # --------------------------------------------------------------------------
 # Fixed values (must equal the original service's)
@@ -144,7 +146,7 @@ def question_spec(questions: DataFrame, text: str = "text", fix_negation: bool =
     low = F.lower(t)
     year = F.nullif(F.regexp_extract(t, YEAR_PATTERN, 1), F.lit("")).try_cast("int")
     month_raw = F.nullif(F.regexp_extract(t, MONTH_PATTERN, 1), F.lit(""))
-    month = F.concat(F.upper(F.substring(month_raw, 1, 1)), F.lower(F.substring(month_raw, 2, 20)))
+    month = F.initcap(month_raw)
     canceled = _has(low, "canceled", "cancelled")
     negated = _has(low, "not canceled", "not cancelled")
     if fix_negation:
@@ -170,9 +172,14 @@ def question_spec(questions: DataFrame, text: str = "text", fix_negation: bool =
     })
 
 
+def _identity(*columns: str | Column) -> Column:
+    """The columns as one JSON text with NULLs kept in place: equal texts mean equal columns, nothing is hashed."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
 def with_spec_id(spec: DataFrame) -> DataFrame:
-    """Deterministic id of a spec (equal specs share the id, so they are evaluated once)."""
-    return spec.withColumn("spec_id", F.xxhash64(*[F.col(c) for c in SPEC_COLUMNS]))
+    """Identity of a spec (equal specs share it, so they are evaluated once; different ones never do)."""
+    return spec.withColumn("spec_id", _identity(*SPEC_COLUMNS))
 
 
 # --------------------------------------------------------------------------
@@ -217,19 +224,6 @@ def _spec_mask_keys(values: list[Column]) -> tuple[Column, list[Column]]:
     return mask, keys
 
 
-MAX_BROADCAST_SPECS = 200_000
-
-
-def _maybe_broadcast(df: DataFrame, small: bool) -> DataFrame:
-    """Broadcast hint only when the caller proved the side is small.
-
-    Specs and scopes are bounded by the number of distinct question specs,
-    which ``analyse`` counts once on the (small, question-only) spec table;
-    above the bound Spark plans a shuffled join on the same equi-keys.
-    """
-    return F.broadcast(df) if small else df
-
-
 def _spec_predicates(is_canceled, status, repeat, has_req, has_park, lead) -> Column:
     """Residual (non-key) spec predicates on a booking or cell; NULL spec fields mean no constraint."""
     return all_of([
@@ -251,14 +245,12 @@ def distinct_specs(spec: DataFrame) -> DataFrame:
             .select("spec_id", *rest, mask.alias("_mask"), *[k.alias(f"_k{i}") for i, k in enumerate(keys)]))
 
 
-def match_specs(specs: DataFrame, cells: DataFrame, small: bool = True,
-                mask_counts: dict[int, int] | None = None) -> DataFrame:
+def match_specs(specs: DataFrame, cells: DataFrame) -> DataFrame:
     """(spec_id, cell columns) for every cell a spec selects (F16 without candidates)."""
-    masks = F.explode(_present_masks(specs, 8, mask_counts)).alias("_mask")
-    expanded = cells.select("*", masks)
+    expanded = _per_mask(cells, specs)
     ek = _mask_keys([F.col("arrival_date_year"), F.lower(F.col("arrival_date_month")), F.col("hotel")], F.col("_mask"))
     expanded = expanded.select("*", *[k.alias(f"_k{i}") for i, k in enumerate(ek)])
-    joined = expanded.join(_maybe_broadcast(specs, small), ["_mask", "_k0", "_k1", "_k2"])
+    joined = expanded.join(specs, ["_mask", "_k0", "_k1", "_k2"])
     pred = _spec_predicates(F.col("is_canceled"), F.col("reservation_status"),
                             F.col("is_repeated_guest"), F.col("has_requests"), F.col("has_parking"), F.col("lead_rep"))
     return joined.where(pred).drop("_mask", "_k0", "_k1", "_k2")
@@ -281,16 +273,20 @@ def spec_scopes(matches: DataFrame) -> DataFrame:
     return matches.groupBy("spec_id").agg(*aggs)
 
 
+def candidate_spec_id() -> Column:
+    """The spec identity of a question that starts from its own candidates."""
+    return F.concat(F.lit("candidates of "), F.col("qid").cast("string"))
+
+
 def match_candidates(bk: DataFrame, spec: DataFrame, candidates: DataFrame) -> DataFrame:
     """F15 + F16: per question, its candidate rows (e.g. the top-500 semantic hits) that meet its spec.
 
     ``candidates`` is (qid, id): at most k rows per question, so the table is
-    bounded by questions x k and is joined to the bookings by id (broadcast when
-    counted small). Returns the same per-spec shape as ``match_specs`` with the
-    qid's spec_id replaced by a per-question id, so scopes stay per question.
+    bounded by questions x k and is joined to the bookings by id. Returns the same
+    per-spec shape as ``match_specs`` with the qid's spec_id replaced by a
+    per-question id, so scopes stay per question.
     """
-    small = candidates.count() <= MAX_BROADCAST_SPECS
-    tagged = bk.join(_maybe_broadcast(candidates.select("qid", "id"), small), "id")
+    tagged = bk.join(candidates.select("qid", "id"), "id")
     q = spec.select("qid", *SPEC_COLUMNS).withColumnRenamed("hotel", "hotel_spec")
     pred = all_of([
         F.col("year").isNull() | (F.col("arrival_date_year") == F.col("year")),
@@ -300,8 +296,8 @@ def match_candidates(bk: DataFrame, spec: DataFrame, candidates: DataFrame) -> D
                          F.col("is_repeated_guest"), F.col("total_of_special_requests") > 0,
                          F.col("required_car_parking_spaces") > 0, F.col("lead_time")),
     ])
-    rows = tagged.join(_maybe_broadcast(q, small), "qid").where(pred)
-    return rows.select(F.xxhash64(F.lit("candidates"), F.col("qid")).alias("spec_id"), "qid",
+    rows = tagged.join(q, "qid").where(pred)
+    return rows.select(candidate_spec_id().alias("spec_id"), "qid",
                        *SCOPE_COLUMNS.values(), F.lit(1).cast("long").alias("n"))
 
 
@@ -317,44 +313,32 @@ def scope_table(scopes: DataFrame) -> DataFrame:
     # a set scope whose value is NULL keeps a NULL key: it then matches no booking
     keys = [F.when(F.col(f"scope_{n}_set"), F.col(f"scope_{n}")).otherwise(F.lit(_STAR)) for n in names]
     out = scopes.select("spec_id", mask.alias("_mask"), *[k.alias(f"_s{i}") for i, k in enumerate(keys)])
-    return out.withColumn("scope_id", F.xxhash64("_mask", *[f"_s{i}" for i in range(len(names))]))
-
+    return out.withColumn("scope_id", _identity("_mask", *[f"_s{i}" for i in range(len(names))]))
 
-def _mask_counts(keyed: DataFrame) -> dict[int, int]:
-    """Rows per join mask of a (small) spec/scope table: at most 16 pairs reach the driver."""
-    return {r[0]: r[1] for r in keyed.groupBy("_mask").count().collect()}
 
-
-def _present_masks(keyed: DataFrame, n_masks: int, counts: dict[int, int] | None = None) -> Column:
-    """Literal array of the masks the (small) spec/scope table uses.
-
-    At most ``n_masks`` integers come back to the driver; each booking row is
-    then expanded only once per mask in use (typically 1-3), not ``n_masks`` times.
-    """
-    used = sorted(counts if counts is not None else _mask_counts(keyed))
-    return F.array(*[F.lit(m) for m in used]) if used else F.array().cast("array<int>")
+def _per_mask(rows: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Each row once per join mask in use by the spec/scope table (typically 1-3, at most 16 integers in a scalar subquery)."""
+    masks = keyed.agg(F.collect_set("_mask")).scalar()
+    return rows.withColumn("_masks", masks).select(*rows.columns, F.explode("_masks").alias("_mask"))
 
 
-def scoped_bookings(bk: DataFrame, scopes: DataFrame, small: bool = True) -> DataFrame:
-    """Bookings tagged with every scope they fall in (``gid`` = scope_id)."""
+def scoped(rows: DataFrame, scopes: DataFrame) -> DataFrame:
+    """Rows (partial aggregates per scope column, or bookings) tagged with every scope they fall in (``gid`` = scope_id)."""
     distinct = scopes.select("_mask", "_s0", "_s1", "_s2", "_s3", "scope_id").dropDuplicates(["scope_id"])
-    masks = F.explode(_present_masks(distinct, 16)).alias("_mask")
-    cols = [F.col(c) for c in SCOPE_COLUMNS.values()]
-    expanded = bk.select("*", masks)
-    keys = _mask_keys(cols, F.col("_mask"))
+    expanded = _per_mask(rows, distinct)
+    keys = _mask_keys([F.col(c) for c in SCOPE_COLUMNS.values()], F.col("_mask"))
     expanded = expanded.select("*", *[k.alias(f"_s{i}") for i, k in enumerate(keys)])
-    joined = expanded.join(_maybe_broadcast(distinct, small), ["_mask", "_s0", "_s1", "_s2", "_s3"])
+    joined = expanded.join(distinct, ["_mask", "_s0", "_s1", "_s2", "_s3"])
     return joined.drop("_mask", "_s0", "_s1", "_s2", "_s3").withColumnRenamed("scope_id", "gid")
 
 
-def filtered_bookings(bk: DataFrame, specs: DataFrame, small: bool = True) -> DataFrame:
+def filtered_bookings(bk: DataFrame, specs: DataFrame) -> DataFrame:
     """bookings tagged with every spec that selects them (``gid`` = spec_id)."""
-    masks = F.explode(_present_masks(specs, 8)).alias("_mask")
-    expanded = bk.select("*", masks)
+    expanded = _per_mask(bk, specs)
     ek = _mask_keys([F.col("arrival_date_year"), F.lower(F.col("arrival_date_month")), F.col("hotel")], F.col("_mask"))
     expanded = expanded.select("*", *[k.alias(f"_k{i}") for i, k in enumerate(ek)])
     spec_cols = specs.select("spec_id", "_mask", "_k0", "_k1", "_k2", *[c for c in SPEC_COLUMNS if c.startswith(("want", "lead"))])
-    joined = expanded.join(_maybe_broadcast(spec_cols, small), ["_mask", "_k0", "_k1", "_k2"])
+    joined = expanded.join(spec_cols, ["_mask", "_k0", "_k1", "_k2"])
     pred = _spec_predicates(F.col("is_canceled"), F.col("reservation_status"),
                             F.col("is_repeated_guest"), F.col("total_of_special_requests") > 0,
                             F.col("required_car_parking_spaces") > 0, F.col("lead_time"))
@@ -366,10 +350,6 @@ def filtered_bookings(bk: DataFrame, specs: DataFrame, small: bool = True) -> Da
 # 6. Metrics per group, long form
 # --------------------------------------------------------------------------
 
-SCALAR_ORDER_BLOCKS = ["records", "revenue_totals", "cancellation", "price_stats", "guests", "lead_stats",
-                       "repeat_guests", "room_change", "booking_changes", "special_requests", "waitlist",
-                       "weekend_split", "weekend_only", "stay_stats"]
-
 # (metric, grouping key, measure, sub-key) of the keyed metrics computed in one GROUPING SETS pass
 KEYED = [
     ("hotel_distribution", "hotel", "n", None),
@@ -390,10 +370,10 @@ KEYED = [
     ("revenue_by_channel", "distribution_channel", "revenue", None),
     ("deposit_distribution", "deposit_type", "n", None),
     ("cancellation_by_deposit", "deposit_type", "canceled", "sum"),
-    ("cancellation_by_deposit", "deposit_type", "n", "count"),
+    ("cancellation_by_deposit", "deposit_type", "n_canceled_nonnull", "count"),
     ("cancellation_by_deposit", "deposit_type", "rate", "rate"),
     ("cancellation_by_country", "country", "canceled", "sum"),
-    ("cancellation_by_country", "country", "n", "count"),
+    ("cancellation_by_country", "country", "n_canceled_nonnull", "count"),
     ("cancellation_by_country", "country", "rate", "rate"),
     ("top_agents", "agent", "n", None),
     ("top_companies", "company", "n", None),
@@ -402,76 +382,168 @@ KEY_COLUMNS = ["hotel", "arrival_date_month", "market_segment", "reserved_room_t
                "lead_time_category", "meal", "distribution_channel", "deposit_type", "country", "agent", "company"]
 
 
-def scope_metrics(frame: DataFrame, approx: bool = False, held: list | None = None,
-                  wanted: set[str] | None = None) -> DataFrame:
+# sums and non-NULL counts that means are made of
+_MEANS = ["revenue", "adr", "total_guests", "lead_time", "previous_bookings_not_canceled", "previous_cancellations",
+          "booking_changes", "total_of_special_requests", "days_in_waiting_list", "stays_in_weekend_nights",
+          "stays_in_week_nights", "total_nights"]
+_MEDIANS = {"median_price": "adr", "median_lead_time": "lead_time", "median_stay": "total_nights"}
+
+
+def scalar_partials(df: DataFrame, dims: list[str]) -> DataFrame:
+    """Partial aggregates of all scalar metrics per ``dims``: they add up (or take min/max) over any union of groups."""
+    weekend_only = (F.col("stays_in_weekend_nights") > 0) & (F.col("stays_in_week_nights") == 0)
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for c in _MEANS:
+        aggs += [F.sum(F.col(c).cast("double")).alias(f"s_{c}"), F.count(c).alias(f"k_{c}")]
+    aggs += [F.sum(F.col(c).cast("long")).alias(f"s_{c}") for c in ("is_canceled", "is_repeated_guest")]
+    aggs += [F.count_if(F.col(c) > 0).alias(f"p_{c}") for c in ("booking_changes", "total_of_special_requests", "days_in_waiting_list")]
+    aggs += [F.count_if(differs("reserved_room_type", "assigned_room_type")).alias("rooms_changed"),
+             F.count_if(weekend_only).alias("weekend_only"), F.min("adr").alias("lo_adr"), F.max("adr").alias("hi_adr"),
+             F.max("total_nights").alias("hi_total_nights")]
+    return df.groupBy(*dims).agg(*aggs)
+
+
+def combine_scalars(tagged: DataFrame) -> DataFrame:
+    """All scalar metrics but the medians per ``gid`` from partials."""
+    skip = {"gid", *SCOPE_COLUMNS.values()}
+    how = lambda c: F.min(c) if c.startswith("lo_") else F.max(c) if c.startswith("hi_") else F.sum(c)
+    t = tagged.groupBy("gid").agg(*[how(c).alias(c) for c in tagged.columns if c not in skip])
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    mean = lambda c: F.try_divide(F.col(f"s_{c}"), F.col(f"k_{c}"))
+    we, wk = mean("stays_in_weekend_nights"), mean("stays_in_week_nights")
+    return t.select("gid", *[x.alias(k) for k, x in {
+        "total_records": F.col("n"), "total_revenue": zero("s_revenue").cast("double"), "avg_revenue": mean("revenue"),
+        "total_bookings": F.col("n"), "canceled_bookings": zero("s_is_canceled"), "cancellation_rate": ratio(zero("s_is_canceled"), "n"),
+        "avg_price": mean("adr"), "min_price": F.col("lo_adr").cast("double"), "max_price": F.col("hi_adr").cast("double"),
+        "avg_guests_per_booking": mean("total_guests"), "avg_lead_time": mean("lead_time"),
+        "repeat_guests": zero("s_is_repeated_guest"), "repeat_rate": ratio(zero("s_is_repeated_guest"), "n"),
+        "avg_previous_stays": mean("previous_bookings_not_canceled"), "avg_previous_cancellations": mean("previous_cancellations"),
+        "room_change_rate": F.try_divide("rooms_changed", "n"),
+        "bookings_with_changes": F.col("p_booking_changes"), "change_rate": ratio("p_booking_changes", "n"), "avg_changes": mean("booking_changes"),
+        "bookings_with_requests": F.col("p_total_of_special_requests"), "request_rate": ratio("p_total_of_special_requests", "n"),
+        "avg_requests": mean("total_of_special_requests"),
+        "bookings_waitlisted": F.col("p_days_in_waiting_list"), "waitlist_rate": ratio("p_days_in_waiting_list", "n"),
+        "avg_waitlist_days": mean("days_in_waiting_list"),
+        "avg_weekend_nights": we, "avg_week_nights": wk, "weekend_ratio": ratio(we, we + wk),
+        "weekend_only_stays": F.col("weekend_only"), "weekend_only_rate": F.try_divide("weekend_only", "n"),
+        "avg_stay": mean("total_nights"), "max_stay": F.col("hi_total_nights").cast("double"),
+    }.items()])
+
+
+def value_partials(df: DataFrame, dims: list[str], columns: list[str]) -> DataFrame:
+    """(dims, what, value, n): how often each value of ``columns`` occurs, in one pass."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).cast("double").alias("value")) for c in columns])
+    rows = df.select(*dims, F.explode(pairs).alias("p")).select(*dims, "p.what", "p.value").where("value is not null")
+    return rows.groupBy(*dims, "what", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def keyed_partials(df: DataFrame, dims: list[str], keys: list[str]) -> DataFrame:
+    """(dims, keyname, key, meal_country, sums): one GROUPING SETS pass over the keys that aren't dims, ``meal`` with its country."""
+    extra = [k for k in keys if k not in dims]
+    both = "meal" in extra and "country" in extra
+    view = df.select(*dims, *[F.col(k).cast("string").alias(f"k_{k}") for k in extra], "is_canceled", "revenue", "adr",
+                     "total_guests", "total_nights", "lead_time")
+    base = ", ".join(dims)
+    sets = [f"({base}, k_{k})" for k in extra] + ([f"({base}, k_country, k_meal)"] if both else [])
+    if any(k in dims for k in keys):
+        sets.append(f"({base})")
+    names = [*dims, *(f"k_{k}" for k in extra)]
+    flags = "".join(f", grouping(k_{k}) AS g_{k}" for k in extra)
+    return df.sparkSession.sql(
+        f"""SELECT {', '.join(names)}{flags}, count(1) AS n, count(is_canceled) AS n_canceled_nonnull,
+              COALESCE(sum(is_canceled), 0) AS canceled, COALESCE(sum(revenue), 0) AS revenue, sum(adr) AS adr_s, count(adr) AS adr_k,
+              COALESCE(sum(total_guests), 0) AS guests, sum(total_nights) AS nights_s, count(total_nights) AS nights_k,
+              sum(lead_time) AS lead_s, count(lead_time) AS lead_k
+            FROM {{v}} GROUP BY GROUPING SETS ({', '.join(sets)})""", v=view)
+
+
+_SUMS = ["n", "n_canceled_nonnull", "canceled", "revenue", "adr_s", "adr_k", "guests", "nights_s", "nights_k", "lead_s", "lead_k"]
+
+
+def combine_keyed(tagged: DataFrame, dims: list[str], keys: list[str]) -> DataFrame:
+    """(gid, keyname, key, country, measures) of every non-NULL key; keyname ``meal of country`` has the country in ``country``."""
+    extra = [k for k in keys if k not in dims]
+    grouped = {k: F.col(f"g_{k}") == 0 for k in extra}
+    none = F.lit(None).cast("string")
+    item = lambda name, key, country=none: F.struct(F.lit(name).alias("keyname"), key.cast("string").alias("key"), country.cast("string").alias("country"))
+    items = []
+    for k in extra:
+        only = all_of([grouped[j] if j == k else ~grouped[j] for j in extra])
+        items.append(F.when(only, item(k, F.col(f"k_{k}"))))
+    if "meal" in extra:
+        if "country" in extra:
+            items.append(F.when(grouped["meal"] & grouped["country"], item("meal of country", F.col("k_meal"), F.col("k_country"))))
+        elif "country" in dims:
+            items.append(F.when(all_of([grouped[j] if j == "meal" else ~grouped[j] for j in extra]), item("meal of country", F.col("k_meal"), F.col("country"))))
+    base = all_of([~grouped[j] for j in extra])
+    items += [F.when(base, item(k, F.col(k))) for k in keys if k in dims]
+    long = tagged.select("gid", F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("i"), *_SUMS)
+    out = long.where("i.key is not null").groupBy("gid", F.col("i.keyname").alias("keyname"), F.col("i.key").alias("key"),
+                                                  F.col("i.country").alias("country")).agg(*[F.sum(c).alias(c) for c in _SUMS])
+    return (out.withColumns({f"{c}_avg": F.try_divide(F.col(f"{c}_s").cast("double"), F.col(f"{c}_k")) for c in ("adr", "nights", "lead")})
+            .withColumn("rate", ratio("canceled", "n_canceled_nonnull")))
+
+
+def scope_metrics(frame: DataFrame, wanted: set[str] | None = None, scopes: DataFrame | None = None) -> DataFrame:
     """Every metric of the menu for every ``gid``: (gid, metric, sub, key, value, ord, is_int).
 
-    Two aggregates over the analysis frame: all scalars fused in one, all keyed
-    metrics in one GROUPING SETS pass (plus the (country, meal) cell counts).
-    Top-k metrics and the month dimension are applied on the small grouped
-    output (window per gid / explode of a literal array), never on raw rows.
+    With ``scopes`` the bookings ``frame`` is aggregated once to partials per year, month, country and hotel; only these meet
+    the scopes. Without, ``frame`` bears its ``gid``. Three aggregates read the bookings: scalar partials, value
+    counts for the medians, and the keyed metrics (GROUPING SETS); each is left out if no wanted metric needs it.
+    Top-k metrics and the twelve months are made on the small grouped output, never on raw rows.
     """
-    table = scalar_blocks(approx)
     # only the blocks some question triggers are computed (total_records always)
     keep = lambda m: wanted is None or m in wanted or m == "total_records"
-    blocks = [b for b in SCALAR_ORDER_BLOCKS if any(keep(n) for n, _ in table[b])]
-    scal = frame.groupBy("gid").agg(*[e.alias(n) for b in blocks for n, e in table[b]])
+    dims = ["gid"] if scopes is None else list(SCOPE_COLUMNS.values())
+    tag = (lambda df: df) if scopes is None else (lambda df: scoped(df, scopes))
     int_metrics = {m for m, _, kind in RESULT_ORDER if kind == "int"}
-    scalar_names = [n for b in blocks for n, _ in table[b]]
+    scal = combine_scalars(tag(scalar_partials(frame, dims)))
     scalar_long = scal.select("gid", F.explode(F.array(*[
-        F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in scalar_names
-    ])).alias("m")).select(
-        "gid", F.col("m.metric").alias("metric"), F.lit(None).cast("string").alias("sub"),
-        F.lit(None).cast("string").alias("key"), F.col("m.value").alias("value"),
-        F.lit(0).alias("ord"), F.col("m.metric").isin(*int_metrics).alias("is_int"))
+        F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in scal.columns if n != "gid" and keep(n)
+    ])).alias("m")).select("gid", "m.metric", "m.value")
+    medians = {m: c for m, c in _MEDIANS.items() if keep(m)}
+    if medians:
+        values = tag(value_partials(frame, dims, list(medians.values())))
+        mid = linear_quantiles(values, "value", {"q": 0.5}, ["gid", "what"], weight="n")
+        name = F.element_at(F.create_map(*[F.lit(x) for m, c in medians.items() for x in (c, m)]), F.col("what"))
+        # a group without any value has no median: NULL, as for the other metrics
+        asked = scal.select("gid", F.explode(F.array(*[F.lit(m) for m in medians])).alias("metric"))
+        scalar_long = scalar_long.unionByName(asked.join(mid.select("gid", name.alias("metric"), F.col("q").alias("value")), ["gid", "metric"], "left"))
+    scalar_long = scalar_long.select(
+        "gid", "metric", F.lit(None).cast("string").alias("sub"), F.lit(None).cast("string").alias("key"), "value",
+        F.lit(0).alias("ord"), F.col("metric").isin(*int_metrics).alias("is_int"))
 
     keyed_entries = [e for e in KEYED if keep(e[0])]
     with_meals = keep("meal_preferences_by_country")
     key_cols = [k for k in KEY_COLUMNS if any(e[1] == k for e in keyed_entries) or (with_meals and k in ("country", "meal"))]
     if not key_cols:
         return scalar_long
-    view = frame.select("gid", *[F.col(c).cast("string").alias(c) for c in key_cols],
-                        "is_canceled", "revenue", "adr", "total_guests", "total_nights", "lead_time")
-    sets = ", ".join(f"(gid, {k})" for k in key_cols if any(e[1] == k for e in keyed_entries))
-    if with_meals:
-        sets = ", ".join(x for x in (sets, "(gid, country, meal)") if x)
-    flags = ", ".join(f"grouping({k}) AS g_{k}" for k in key_cols)
-    grouped = frame.sparkSession.sql(
-        f"""SELECT gid, {', '.join(key_cols)}, {flags},
-              count(1) AS n, count(is_canceled) AS n_canceled_nonnull,
-              COALESCE(sum(is_canceled), 0) AS canceled, COALESCE(sum(revenue), 0) AS revenue,
-              avg(adr) AS adr_avg, COALESCE(sum(total_guests), 0) AS guests,
-              avg(total_nights) AS nights_avg, avg(lead_time) AS lead_avg
-            FROM {{v}} GROUP BY GROUPING SETS ({sets})""", v=view)
-    grouped = grouped.withColumn("rate", ratio("canceled", "n"))
-    if held is not None:
-        # small (scopes x keys) and read by several branches: materialised once;
-        # the caller unpersists it after its single action
-        grouped = grouped.persist()
-        held.append(grouped)
-    # one projection emits every keyed metric of a grouped row (no union of branches)
-    entries = []
-    for metric, key, measure, sub in keyed_entries:
-        only = all_of([F.col(f"g_{k}") == (0 if k == key else 1) for k in key_cols]) & F.col(key).isNotNull()
-        entries.append(F.when(only, F.struct(
-            F.lit(metric).alias("metric"), F.lit(sub).cast("string").alias("sub"), F.col(key).alias("key"),
-            F.col(measure).cast("double").alias("value"), F.col("n").alias("_n"), F.col("canceled").alias("_c"))))
+    grouped = combine_keyed(tag(keyed_partials(frame, dims, key_cols)), dims, key_cols)
+    entries = [F.when(F.col("keyname") == key, F.struct(
+        F.lit(metric).alias("metric"), F.lit(sub).cast("string").alias("sub"), F.col("key").alias("key"),
+        F.col(measure).cast("double").alias("value"), F.col("n").alias("_n"), F.col("canceled").alias("_c")))
+        for metric, key, measure, sub in keyed_entries]
     out = scalar_long
     if entries:
         keyed = grouped.select("gid", F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e")) \
             .select("gid", "e.*")
+        by_month = [m for m in ("bookings_by_month", "revenue_by_month") if keep(m)]
+        if by_month:
+            months = scal.select("gid", F.explode(F.array(*[F.lit(m) for m in by_month])).alias("metric")).select(
+                "gid", "metric", F.explode(F.array(*[F.lit(m) for m in MONTHS])).alias("key"))
+            known = keyed.where(F.col("metric").isin(*by_month))
+            full = months.join(known, ["gid", "metric", "key"], "left").select(*keyed.columns)
+            keyed = keyed.where(~F.col("metric").isin(*by_month)).unionByName(full)
         out = out.unionByName(_order_keyed(keyed))
     if with_meals:
-        cells = grouped.where((F.col("g_country") == 0) & (F.col("g_meal") == 0) & F.col("country").isNotNull()
-                              & F.col("meal").isNotNull())
+        cells = grouped.where((F.col("keyname") == "meal of country") & F.col("country").isNotNull()).select(
+            "gid", "country", F.col("key").alias("meal"), "n")
         out = out.unionByName(_meal_preferences(cells))
     return out
 
 
 def _order_keyed(keyed: DataFrame) -> DataFrame:
     """Presentation order inside each dict and the top-k cuts of the service."""
-    from pyspark.sql import Window
-
     month_pos = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.col("key"))
     # one sort key per metric family -> a single window sort:
     # counts desc (value counts), value desc (sorted sums), cancelled desc (top countries),
@@ -491,14 +563,15 @@ def _order_keyed(keyed: DataFrame) -> DataFrame:
     int_measure = F.col("metric").isin(
         "hotel_distribution", "room_type_distribution", "waitlist_distribution", "lead_time_distribution",
         "meal_distribution", "channel_distribution", "segment_distribution", "deposit_distribution",
-        "top_agents", "top_companies", "bookings_by_month") | F.col("sub").isin("sum", "count")
-    return ordered.select("gid", "metric", "sub", "key", "value", "ord", int_measure.alias("is_int"))
+        "top_agents", "top_companies") | F.col("sub").isin("sum", "count")
+    # month counts are whole numbers unless a month is absent (then the whole dictionary holds floats)
+    months = Window.partitionBy("gid", "metric", "sub")
+    int_measure = int_measure | ((F.col("metric") == "bookings_by_month") & F.min(F.col("value").isNotNull()).over(months))
+    return ordered.select("gid", "metric", "sub", "key", "value", "ord", F.coalesce(int_measure, F.lit(False)).alias("is_int"))
 
 
 def _meal_preferences(cells: DataFrame) -> DataFrame:
     """meal x country counts of the five busiest countries, keyed (sub = meal, key = country)."""
-    from pyspark.sql import Window
-
     per_country = cells.groupBy("gid", "country").agg(F.sum("n").alias("_t"))
     w = Window.partitionBy("gid").orderBy(F.col("_t").desc(), F.col("country"))
     top = per_country.withColumn("ord", F.row_number().over(w)).where(F.col("ord") <= 5)
@@ -531,7 +604,7 @@ def question_blocks(questions: DataFrame, text: str = "text", notebook: bool = F
 
 
 def analyse(bk: DataFrame, questions: DataFrame, whole: bool = True, notebook: bool = False,
-            approx: bool = False, text: str = "text", checkpoint: bool = True,
+            text: str = "text", checkpoint: bool = True,
             candidates: DataFrame | None = None) -> dict[str, DataFrame]:
     """Run F5-F18 and the metric menu for a table of questions.
 
@@ -543,37 +616,35 @@ def analyse(bk: DataFrame, questions: DataFrame, whole: bool = True, notebook: b
     spec = with_spec_id(question_spec(questions, text))
     if candidates is not None:
         # each question starts from its own candidate rows -> scopes per question
-        spec = spec.withColumn("spec_id", F.xxhash64(F.lit("candidates"), F.col("qid")))
+        spec = spec.withColumn("spec_id", candidate_spec_id())
     specs = distinct_specs(spec)
-    # one small collect over the question side (no booking scan): masks in use and the spec count
-    mask_counts = _mask_counts(specs)
-    small = sum(mask_counts.values()) <= MAX_BROADCAST_SPECS
     if candidates is not None:
         matches = match_candidates(bk, spec, candidates)
     else:
-        matches = match_specs(specs, booking_cells(bk), small, mask_counts)
-    # one row per distinct spec: cached so every branch reuses it instead of re-scanning the cells
-    scopes = spec_scopes(matches).cache()
+        matches = match_specs(specs, booking_cells(bk))
+    scopes = spec_scopes(matches)
+    if checkpoint:
+        scopes = _staged(scopes, "scopes")  # one row per distinct spec, read by several branches
+    # blocks any question triggers (a handful of names from the question table; no booking scan)
+    used_blocks = {r[0] for r in question_blocks(questions, text, notebook).select("block").distinct().collect()}
+    wanted_metrics = {m for m, b, _ in RESULT_ORDER if b in used_blocks}
     if whole:
         st = scope_table(scopes)
-        frame = scoped_bookings(bk, st, small)
+        per_gid = scope_metrics(bk, wanted_metrics, st)
         link = st.select("spec_id", F.col("scope_id").alias("gid"))
     else:
-        frame = filtered_bookings(bk, specs, small)
+        per_gid = scope_metrics(filtered_bookings(bk, specs), wanted_metrics)
         link = scopes.select("spec_id", F.col("spec_id").alias("gid"))
-    held: list[DataFrame] = []
-    # blocks any question triggers (a handful of names from the question table; no booking scan)
-    used_blocks = {r[0] for r in question_blocks(questions, text, notebook).select("block").distinct().collect()}
-    wanted_metrics = {m for m, b, _ in RESULT_ORDER if b in used_blocks}
-    per_gid = scope_metrics(frame, approx, held, wanted_metrics)
+    if checkpoint:
+        per_gid = _staged(per_gid, "scope-metrics")
     q = (spec.select("qid", "spec_id")
          .join(scopes.select("spec_id", "filtered_records"), "spec_id", "left")
          .join(link, "spec_id", "left")
          .where(F.col("filtered_records") > 0))
     blocks = question_blocks(questions, text, notebook)
-    metric_block = frame.sparkSession.createDataFrame(
+    metric_block = bk.sparkSession.createDataFrame(
         [(m, b, i) for i, (m, b, _) in enumerate(RESULT_ORDER)], "metric string, block string, pos int")
-    wanted = blocks.join(F.broadcast(metric_block), "block")  # fixed menu table (~60 rows)
+    wanted = blocks.join(metric_block, "block")
     fixed = ["total_records", "filtered_records"]
     long = (q.join(per_gid.where(~F.col("metric").isin(*fixed)), "gid")
             .join(wanted, ["qid", "metric"])
@@ -590,15 +661,12 @@ def analyse(bk: DataFrame, questions: DataFrame, whole: bool = True, notebook: b
         F.lit(True).alias("is_int"), F.col("m.pos").alias("pos"))
     metrics = long.unionByName(counts)
     if checkpoint:
-        # small (bounded by questions x menu): written once to the shared checkpoint
-        # folder and read back, which cuts the lineage (small text plans, restart point)
-        import uuid
+        metrics = _staged(metrics, "answers")  # cuts the lineage: small text plans, a restart point
+    return {"spec": spec, "scopes": scopes, "metrics": metrics, "questions": q}
 
-        from ..session import shared_path
 
-        path = shared_path(metrics.sparkSession, f"answers-{uuid.uuid4().hex}")
-        metrics.write.parquet(path)
-        metrics = metrics.sparkSession.read.parquet(path)
-        for df in held:
-            df.unpersist()
-    return {"spec": spec, "scopes": scopes, "metrics": metrics, "questions": q}
+def _staged(df: DataFrame, name: str) -> DataFrame:
+    """Write a small result (bounded by questions x menu) to the shared checkpoint folder and read it back."""
+    path = shared_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

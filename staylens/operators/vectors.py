@@ -1,29 +1,32 @@
 """Vector retrieval (V1-V7): encoders, exact cosine top-k, search, incremental refresh.
 
-Scoring is exact: every candidate vector is scored with higher-order functions
-(``zip_with``/``aggregate``) inside whole-stage code. Top-k per query uses
-``row_number() <= k``, which Spark plans with a WindowGroupLimit so each task
-keeps only k rows per query before the shuffle.
+Scoring is exact. One query is scored with higher-order functions
+(``zip_with``/``aggregate``) inside whole-stage code; a table of queries is scored
+block by block with matrix products on Arrow batches, each task keeping k rows per query.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.exprs import ratio
 from ..functions.vectors import dot, l2norm, normalize
+from ..session import shared_path, show_code
 
 # scores are ranked after rounding to this many digits, so exact duplicates tie
 # regardless of floating summation order, and ties go to the smaller key
 RANK_DIGITS = 9
-MAX_QUERIES = 10_000
-MAX_QUERY_TERMS = 1_000_000  # queries are packed into one broadcast value; beyond this, split the query table
+# queries scored in one pass over the index: bytes of vectors, and cells of kept results per task
+PASS_BYTES, PASS_CELLS = 32 << 20, 2 << 20
 
 
 def cosine(v: str | Column, q: str | Column) -> Column:
@@ -53,32 +56,65 @@ def topk_one(index: DataFrame, query: Column, k: int, vec: str = "embedding", ke
 
 def topk_batch(index: DataFrame, queries: DataFrame, k: int, vec: str = "embedding", key: str = "id",
                qid: str = "qid", qvec: str = "query") -> DataFrame:
-    """V4: top ``k`` per query for a table of queries, exact.
+    """V4: (key, qid, score, rank): the top ``k`` per query for a table of queries, exact; ties go to the smaller key.
 
-    The query table is size-checked and packed into one array value (a scalar
-    subquery, broadcast once); each index row scores all queries in one
-    projection, and ``row_number() <= k`` per query keeps k rows per task
-    (WindowGroupLimit) before the shuffle on ``qid``. No join of the two tables.
+    The query set is read in blocks, each block sent to all tasks, so a pass holds at most PASS_BYTES of queries and
+    a task keeps k rows per query of the block (Arrow batches, one matrix product each): no row per (vector, query) pair
+    is ever made. The tasks' k rows meet per query. Any number of queries works; more blocks are more passes
+    over the index. Null vectors and queries are left out; a zero vector scores 0.
     """
-    # the query table may be derived (e.g. centroids): persist it so counting and packing share one computation
-    queries = queries.persist()
-    n = queries.count()
-    if n > MAX_QUERIES:
-        raise ValueError(f"{n} queries exceed the broadcast bound {MAX_QUERIES}; split the query table")
-    packed = queries.select(F.collect_list(F.struct(F.col(qid).alias("qid"), normalize(qvec).alias("v"))).alias("qs"))
-    qs = packed.select("qs").scalar()
-    normed = index.select(key, normalize(vec).alias("_v"), qs.alias("_qs"))
-    scored = normed.select(key, F.explode(F.transform("_qs", lambda q: F.struct(
-        q["qid"].alias(qid), dot("_v", q["v"]).alias("score")))).alias("_s")).select(key, "_s.*")
+    spark = index.sparkSession
+    show_code(spark)
+    asked = queries.where(F.col(qvec).isNotNull()).select(F.col(qid).alias("q"), normalize(qvec).alias("v"))
+    n, dim = asked.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    passes = max(1, -(-n // max(1, min(PASS_BYTES // (8 * dim), PASS_CELLS // k))))
+    schema = f"`{key}` {dict(index.dtypes)[key]}, `{qid}` {dict(queries.dtypes)[qid]}, score double"
+    normed = index.where(F.col(vec).isNotNull()).select(F.col(key).alias("k"), normalize(vec).alias("v"))
+    out = None
+    for p in range(passes):
+        block = asked if passes == 1 else asked.where(F.pmod(F.xxhash64("q"), F.lit(passes)) == p)
+        rows = block.collect()
+        sent = spark.sparkContext.broadcast(([r["q"] for r in rows], np.array([r["v"] for r in rows], np.float64).reshape(len(rows), -1)))
+        types = [to_arrow_type(d.schema[c].dataType) for d, c in ((index, key), (queries, qid))]
+        part = normed.mapInArrow(_best_of(sent, k, [key, qid, "score"], types), schema)
+        out = part if out is None else out.unionByName(part)
     w = Window.partitionBy(qid).orderBy(F.round("score", RANK_DIGITS).desc(), F.col(key).asc())
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _best_of(sent, k: int, columns: list[str], types: list[pa.DataType]) -> Callable:
+    """Per task: the k best rows of each query, by rounded score and then by key."""
+
+    def run(batches):
+        names, q = sent.value
+        keys = np.zeros((0, len(names)), object)
+        scores = np.zeros((0, len(names)))
+        for batch in batches:
+            if not len(batch) or not names:
+                continue
+            x = np.array(batch.column("v").to_pylist(), np.float64)
+            mine = np.array(batch.column("k").to_pylist(), object)
+            order = np.argsort(mine, kind="stable")
+            new = x[order] @ q.T
+            best = np.argsort(-np.round(new, RANK_DIGITS), axis=0, kind="stable")[:k]
+            keys = np.concatenate([keys, mine[order][best]])
+            scores = np.concatenate([scores, np.take_along_axis(new, best, 0)])
+            order = np.argsort(keys, axis=0, kind="stable")
+            keys, scores = np.take_along_axis(keys, order, 0), np.take_along_axis(scores, order, 0)
+            best = np.argsort(-np.round(scores, RANK_DIGITS), axis=0, kind="stable")[:k]
+            keys, scores = np.take_along_axis(keys, best, 0), np.take_along_axis(scores, best, 0)
+        if len(keys):
+            many = [x for x in names for _ in range(len(keys))]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.T.ravel().tolist(), types[0]), pa.array(many, types[1]), pa.array(scores.T.ravel())], columns)
+
+    return run
 
 
 def search_rows(rows: DataFrame, index: DataFrame, query: Column, k: int = 20, vec: str = "embedding",
                 key: str = "id") -> DataFrame:
     """V5: the matching rows themselves plus ``semantic_score`` (k rows joined back by key)."""
     hits = topk_one(index, query, k, vec, key).withColumnRenamed("score", "semantic_score")
-    return rows.join(F.broadcast(hits), key)  # exactly k rows
+    return rows.join(hits, key)
 
 
 # --------------------------------------------------------------------------
@@ -113,6 +149,14 @@ def hashing_encoder(df: DataFrame, text: str, out: str = "embedding", dims: int
     return tf.withColumn(out, normalize(vector_to_array("_tf"))).drop("_tok", "_tf")
 
 
+def token_hash_encoder(df: DataFrame, text: str, out: str = "embedding", dims: int = 64) -> DataFrame:
+    """V1 offline encoder that plain SQL can repeat: a token counts in the dimension that the first four hex digits
+    of its MD5 name (modulo ``dims``); L2-normalised by the scorers."""
+    place = F.transform(tokens(text), lambda t: F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int") % dims)
+    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter("_place", lambda p: p == d)).cast("double"))
+    return df.withColumn("_place", place).withColumn(out, counts).drop("_place")
+
+
 def pandas_encoder(df: DataFrame, text: str, encode: Callable, dims: int, out: str = "embedding") -> DataFrame:
     """V1 pluggable: wrap a caller's batch encoder ``list[str] -> array (n, dims)`` in an Arrow pandas UDF."""
     @F.pandas_udf(T.ArrayType(T.FloatType()))
@@ -149,16 +193,18 @@ def tfidf_topk(docs: DataFrame, queries: DataFrame, k: int = 5, doc_key: str = "
     """Top ``k`` documents per query by TF-IDF cosine, all as joins and aggregates.
 
     tf = term count in the document, idf = ln((N + 1) / (df + 1)), weights tf*idf,
-    cosine over the shared terms. Document frequencies and norms are hash
-    aggregates with map-side combine (a frequent term collapses per task);
-    the query-term table is small and broadcast, so scoring needs no shuffle
-    on the term key; AQE splits skewed partitions of the idf join.
+    cosine over the shared terms. The texts are split once: (document, term, tf) is
+    written to the shared folder, and document frequencies, norms and dot products read
+    that table. Frequencies and norms are hash aggregates with map-side combine; AQE splits
+    the skewed partitions of a frequent term in the idf join, and only query terms meet the queries.
     """
-    doc_terms = (docs.select(doc_key, F.explode(tokens(text)).alias("term"))
-                 .groupBy(doc_key, "term").agg(F.count(F.lit(1)).alias("tf")))
-    n_docs = docs.select(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    dfreq = doc_terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = dfreq.select("term", F.log((n_docs + 1) / (F.col("df") + 1)).alias("idf"))
+    spark = docs.sparkSession
+    path = shared_path(spark, f"terms-{uuid.uuid4().hex}")
+    (docs.select(doc_key, F.explode(tokens(text)).alias("term"))
+     .groupBy(doc_key, "term").agg(F.count(F.lit(1)).alias("tf"))).write.parquet(path)
+    doc_terms = spark.read.parquet(path)
+    n_docs = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
+    idf = doc_terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", F.log((n_docs + 1) / (F.col("df") + 1)).alias("idf"))
     weighted = doc_terms.join(idf, "term").select(doc_key, "term", (F.col("tf") * F.col("idf")).alias("w"))
     doc_norm = weighted.groupBy(doc_key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
 
@@ -168,11 +214,9 @@ def tfidf_topk(docs: DataFrame, queries: DataFrame, k: int = 5, doc_key: str = "
         qid, "term", (F.col("qtf") * F.coalesce(F.col("idf"), F.log(n_docs + 1))).alias("qw"))
     q_norm = q_weighted.groupBy(qid).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
     q_side = q_weighted.join(q_norm, qid)
-    # bounded by the query batch; counted on the query terms alone (same rows, no corpus pass)
-    q_small = F.broadcast(q_side) if q_terms.count() <= MAX_QUERY_TERMS else q_side
 
-    dots = weighted.join(q_small, "term").groupBy(qid, doc_key).agg(F.sum(F.col("w") * F.col("qw")).alias("dp"),
-                                                                     F.max("qn").alias("qn"))
+    dots = weighted.join(q_side, "term").groupBy(qid, doc_key).agg(F.sum(F.col("w") * F.col("qw")).alias("dp"),
+                                                                   F.max("qn").alias("qn"))
     scored = dots.join(doc_norm, doc_key).select(qid, doc_key, ratio("dp", F.col("dn") * F.col("qn")).alias("score"))
     w = Window.partitionBy(qid).orderBy(F.round("score", RANK_DIGITS).desc(), F.col(doc_key).asc())
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

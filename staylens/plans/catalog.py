@@ -67,10 +67,10 @@ def r2(x: str) -> str:
 # Sources and cleaning
 # --------------------------------------------------------------------------
 
-@register("sample_n", None)
+@register("sample_n", on_bk(f"SELECT id, hotel, arrival_date_year, {r6('adr')} AS adr FROM bk ORDER BY md5(id || ' 42'), id LIMIT 2500"))
 def q_sample_n(spark, sf_dir):
     """Repeatable fixed-size sample (2,500 rows, seed 42) of the cleaned bookings."""
-    return C.sample_n(bk(spark, sf_dir), 2500, 42).select("id", "hotel", "arrival_date_year", "adr")
+    return rounded(C.sample_n(bk(spark, sf_dir), 2500, 42).select("id", "hotel", "arrival_date_year", "adr"))
 
 
 _RAW_VIEW_COLS = ["id", "hotel", "is_canceled", "lead_time", "arrival_date_year", "arrival_month_no",
@@ -146,7 +146,9 @@ def q_lead_bins(spark, sf_dir):
     return bk(spark, sf_dir).select("id", "lead_time", "lead_time_category")
 
 
-_DESCRIBE_SQL = on_bk("""SELECT id, concat(
+def describe_sql(name: str) -> str:
+    """The description sentence of each booking as SQL over ``bk``."""
+    return """SELECT id, concat(
   'A ', hotel, ' booking in ', arrival_date_month, ' ', CAST(arrival_date_year AS VARCHAR),
   ' for ', CAST(total_nights AS VARCHAR), ' nights with ', CAST(total_guests AS VARCHAR), ' guests. ',
   'Room type ', reserved_room_type, ' (assigned type ', assigned_room_type, ') ',
@@ -163,10 +165,10 @@ _DESCRIBE_SQL = on_bk("""SELECT id, concat(
   'Cancellation status: ', CASE WHEN is_canceled = 1 THEN 'Cancelled' ELSE 'Not cancelled' END, '. ',
   'Reservation status: ', reservation_status, ' as of ',
   COALESCE(strftime(CAST(reservation_status_date AS TIMESTAMP), '%Y-%m-%d %H:%M:%S'), 'NaT'), '.'
-) AS description FROM bk""")
+) AS """ + name + " FROM bk"
 
 
-@register("describe_text", _DESCRIBE_SQL)
+@register("describe_text", on_bk(describe_sql("description")))
 def q_describe_text(spark, sf_dir):
     """C17: description sentence per booking (input of the text encoder)."""
     return C.describe(bk(spark, sf_dir))
@@ -255,7 +257,7 @@ def q_cancellation(spark, sf_dir):
 
 @register("cancellation_by_country", on_bk(
     "SELECT country, canceled, bookings, ROUND(CAST(canceled AS DOUBLE) / bookings, 6) AS rate FROM ("
-    "SELECT country, CAST(COALESCE(sum(is_canceled), 0) AS BIGINT) AS canceled, CAST(count(*) AS BIGINT) AS bookings "
+    "SELECT country, CAST(COALESCE(sum(is_canceled), 0) AS BIGINT) AS canceled, CAST(count(is_canceled) AS BIGINT) AS bookings "
     "FROM bk WHERE country IS NOT NULL GROUP BY country) ORDER BY canceled DESC, country LIMIT 10"))
 def q_cancellation_by_country(spark, sf_dir):
     """M6: cancellations per country, top 10 by cancelled count."""
@@ -467,7 +469,7 @@ def q_deposit_distribution(spark, sf_dir):
 @register("cancellation_by_deposit", on_bk(
     "SELECT deposit_type, canceled, bookings, ROUND(CAST(canceled AS DOUBLE) / bookings, 6) AS rate FROM ("
     "SELECT deposit_type, CAST(COALESCE(sum(is_canceled), 0) AS BIGINT) AS canceled, "
-    "CAST(count(*) AS BIGINT) AS bookings FROM bk WHERE deposit_type IS NOT NULL GROUP BY deposit_type)"))
+    "CAST(count(is_canceled) AS BIGINT) AS bookings FROM bk WHERE deposit_type IS NOT NULL GROUP BY deposit_type)"))
 def q_cancellation_by_deposit(spark, sf_dir):
     """Cancellations per deposit type."""
     return rounded(M.cancellation_by_deposit(bk(spark, sf_dir)))

@@ -20,7 +20,12 @@ CHANGE_STAMP = "2024-02-01 00:00:00"
 
 
 def change_feed(spark, sf_dir: str, ops: tuple[str, ...] = ("add", "update", "delete")) -> DataFrame:
-    """events -> changes (seq, op, id, changed_columns, booking fields)."""
+    """events -> changes (seq, op, id, changed_columns, booking fields).
+
+    A quarter of the targets lie around the largest booking id, so some are added earlier (or later) in the same
+    feed and the highest ids are deleted before an add; some added bookings lack parts of their totals.
+    """
+    top = read_table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).scalar()
     ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
     k = F.get_json_object("props", "$.k").try_cast("int")
     et = F.col("event_type")
@@ -30,17 +35,18 @@ def change_feed(spark, sf_dir: str, ops: tuple[str, ...] = ("add", "update", "de
     out = ev.select(
         F.col("event_id").cast("long").alias("seq"),
         op.alias("op"),
-        F.when(~is_add, F.col("event_id") * 4 + F.col("user_id") % 4 + 1).cast("long").alias("id"),
+        F.when(~is_add, F.when(F.col("event_id") % 4 == 0, top - 10 + F.col("event_id") % 200)
+               .otherwise(F.col("event_id") * 4 + F.col("user_id") % 4 + 1)).cast("long").alias("id"),
         F.when(et == "click", F.array(F.lit("adr"), F.lit("days_in_waiting_list")))
         .when(et == "view", F.array(F.lit("total_of_special_requests"), F.lit("booking_changes"))).alias("changed_columns"),
         F.when(is_add, F.when(F.col("user_id") % 3 == 0, F.lit("Resort Hotel")).otherwise(F.lit("City Hotel"))).alias("hotel"),
         F.when(is_add, F.year("ts")).cast("int").alias("arrival_date_year"),
         F.when(is_add, F.date_format("ts", "MMMM")).alias("arrival_date_month"),
         F.when(is_add, k % 3).cast("int").alias("stays_in_weekend_nights"),
-        F.when(is_add, 1 + k % 7).cast("int").alias("stays_in_week_nights"),
+        F.when(is_add & (F.col("user_id") % 6 != 0), 1 + k % 7).cast("int").alias("stays_in_week_nights"),
         F.when(is_add, 1 + F.col("user_id") % 4).cast("int").alias("adults"),
-        F.when(is_add, F.lit(0.0)).alias("children"),
-        F.when(is_add, F.lit(0)).cast("int").alias("babies"),
+        F.when(is_add & (F.col("user_id") % 5 != 0), F.lit(1.0)).alias("children"),
+        F.when(is_add & (F.col("user_id") % 7 != 0), F.lit(0)).cast("int").alias("babies"),
         F.when(is_add, F.lit(0)).cast("int").alias("is_canceled"),
         F.when(is_add, k).cast("int").alias("lead_time"),
         F.when(is_add | (et == "click"), F.col("value")).alias("adr"),
@@ -56,21 +62,27 @@ def _feed_sql(ops: tuple[str, ...]) -> str:
     return f"""ch AS (SELECT * FROM (SELECT CAST(event_id AS BIGINT) AS seq,
     CASE WHEN event_type IN ('purchase', 'signup') THEN 'add' WHEN event_type IN ('click', 'view') THEN 'update'
          ELSE 'delete' END AS op,
-    CASE WHEN event_type NOT IN ('purchase', 'signup') THEN CAST(event_id * 4 + user_id % 4 + 1 AS BIGINT) END AS id,
+    CASE WHEN event_type NOT IN ('purchase', 'signup') THEN CAST(CASE WHEN event_id % 4 = 0 THEN (SELECT max(o_orderkey) FROM orders) - 10 + event_id % 200
+      ELSE event_id * 4 + user_id % 4 + 1 END AS BIGINT) END AS id,
     CASE WHEN event_type = 'click' THEN ['adr', 'days_in_waiting_list']
          WHEN event_type = 'view' THEN ['total_of_special_requests', 'booking_changes'] END AS changed_columns,
     CASE WHEN event_type IN ('purchase', 'signup') THEN CASE WHEN user_id % 3 = 0 THEN 'Resort Hotel' ELSE 'City Hotel' END END AS hotel,
     CAST(CASE WHEN event_type IN ('purchase', 'signup') THEN year(ts) END AS INT) AS arrival_date_year,
     CASE WHEN event_type IN ('purchase', 'signup') THEN strftime(ts, '%B') END AS arrival_date_month,
     CAST(CASE WHEN event_type IN ('purchase', 'signup') THEN k % 3 END AS INT) AS stays_in_weekend_nights,
-    CAST(CASE WHEN event_type IN ('purchase', 'signup') THEN 1 + k % 7 END AS INT) AS stays_in_week_nights,
+    CAST(CASE WHEN event_type IN ('purchase', 'signup') AND user_id % 6 <> 0 THEN 1 + k % 7 END AS INT) AS stays_in_week_nights,
+    CAST(CASE WHEN event_type IN ('purchase', 'signup') THEN 1 + user_id % 4 END AS INT) AS adults,
+    CASE WHEN event_type IN ('purchase', 'signup') AND user_id % 5 <> 0 THEN 1.0 END AS children,
+    CASE WHEN event_type IN ('purchase', 'signup') AND user_id % 7 <> 0 THEN 0 END AS babies,
     CASE WHEN event_type IN ('purchase', 'signup') OR event_type = 'click' THEN value END AS adr,
     CAST(CASE WHEN event_type = 'click' THEN k % 60 WHEN event_type IN ('purchase', 'signup') THEN 0 END AS INT) AS days_in_waiting_list,
     CAST(CASE WHEN event_type IN ('purchase', 'signup') OR event_type = 'view' THEN k % 6 END AS INT) AS total_of_special_requests,
     CAST(CASE WHEN event_type = 'view' THEN k % 4 WHEN event_type IN ('purchase', 'signup') THEN 0 END AS INT) AS booking_changes
   FROM (SELECT *, TRY_CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)) WHERE op IN ({ins})),
 ud AS (SELECT seq, op, id FROM ch WHERE op IN ('update', 'delete')),
-ex AS (SELECT ud.*, b.id IS NOT NULL AS exists_ FROM ud LEFT JOIN (SELECT id FROM bk) b USING (id)),
+new AS (SELECT seq, (SELECT max(id) FROM bk) + row_number() OVER (ORDER BY seq) AS id FROM ch WHERE op = 'add'),
+ex AS (SELECT ud.*, b.id IS NOT NULL AND (b.since IS NULL OR b.since < ud.seq) AS exists_
+  FROM ud LEFT JOIN (SELECT id, NULL AS since FROM bk UNION ALL SELECT id, seq FROM new) b USING (id)),
 fd AS (SELECT id, min(seq) AS del_seq FROM ex WHERE op = 'delete' AND exists_ GROUP BY id),
 st AS (SELECT ex.seq, ex.op, ex.id, CASE WHEN ex.op = 'update' THEN ex.exists_ AND (fd.del_seq IS NULL OR ex.seq < fd.del_seq)
          ELSE ex.exists_ AND ex.seq = fd.del_seq END AS applied FROM ex LEFT JOIN fd USING (id)),
@@ -81,19 +93,20 @@ fold AS (SELECT id, bool_or(op = 'delete') AS deleted,
         f"count(*) FILTER (WHERE op = 'update' AND list_contains(changed_columns, '{c}')) > 0 AS {c}_s"
         for c in _UPD_COLS) + """
   FROM ap GROUP BY id),
-upd AS (SELECT b.id, b.stays_in_weekend_nights, b.stays_in_week_nights, b.hotel,
+old AS (SELECT id, """ + _ROW_COLS + """ FROM bk UNION ALL SELECT new.id, """ + _ROW_COLS + """ FROM ch JOIN new USING (seq)),
+snap AS (SELECT b.id, b.stays_in_weekend_nights, b.stays_in_week_nights, b.hotel, b.adults, b.children, b.babies,
 """ + ",\n".join(f"    CASE WHEN f.{c}_s THEN f.{c}_v ELSE b.{c} END AS {c}" for c in _UPD_COLS) + """
-  FROM bk b LEFT JOIN fold f USING (id) WHERE NOT COALESCE(f.deleted, false)),
-adds AS (SELECT (SELECT max(id) FROM bk) + row_number() OVER (ORDER BY seq) AS id, stays_in_weekend_nights,
-    stays_in_week_nights, hotel, """ + ", ".join(_UPD_COLS) + """ FROM ch WHERE op = 'add'),
-snap AS (SELECT * FROM upd UNION ALL SELECT * FROM adds)
+  FROM old b LEFT JOIN fold f USING (id) WHERE NOT COALESCE(f.deleted, false))
 """
 
 
+_ROW_COLS = ("hotel, stays_in_weekend_nights, stays_in_week_nights, adults, children, babies, adr, days_in_waiting_list, "
+             "total_of_special_requests, booking_changes")
 _UPD_COLS = ["adr", "days_in_waiting_list", "total_of_special_requests", "booking_changes"]
 
 _SNAP_SELECT = """SELECT CAST(id AS BIGINT) AS id, hotel, ROUND(adr, 6) AS adr, days_in_waiting_list, total_of_special_requests,
-  booking_changes, ROUND(adr * (stays_in_weekend_nights + stays_in_week_nights), 4) AS revenue,
+  booking_changes, COALESCE(adults, 0) + COALESCE(children, 0) + COALESCE(babies, 0) AS total_guests,
+  ROUND(COALESCE(adr, 0) * (COALESCE(stays_in_weekend_nights, 0) + COALESCE(stays_in_week_nights, 0)), 4) AS revenue,
   CASE WHEN days_in_waiting_list > -1 AND days_in_waiting_list <= 0 THEN 'No wait'
        WHEN days_in_waiting_list > 0 AND days_in_waiting_list <= 7 THEN '1-7 days'
        WHEN days_in_waiting_list > 7 AND days_in_waiting_list <= 30 THEN '8-30 days'
@@ -104,7 +117,7 @@ _SNAP_SELECT = """SELECT CAST(id AS BIGINT) AS id, hotel, ROUND(adr, 6) AS adr,
 def _snapshot(spark, sf_dir, ops) -> DataFrame:
     res = A.apply_changes(bk(spark, sf_dir), change_feed(spark, sf_dir, ops), now=CHANGE_STAMP)
     snap = res["snapshot"].select("id", "hotel", "adr", "days_in_waiting_list", "total_of_special_requests",
-                                  "booking_changes", F.round("revenue", 4).alias("revenue"), "waitlist_category",
+                                  "booking_changes", "total_guests", F.round("revenue", 4).alias("revenue"), "waitlist_category",
                                   "has_special_requests")
     return rounded(snap)
 

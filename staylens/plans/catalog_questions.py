@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import clean as C
 from ..operators import questions as Q
 from ..operators import report as R
+from ..operators import vectors as V
 from ..operators.filters import condition
 from ..sources.tables import read_table
-from .catalog import bk, register, rounded
-from .fixtures import STRUCTURED_CASES, expected_df, questions_df, questions_values_sql
+from .catalog import bk, describe_sql, register, rounded
+from .fixtures import PAIRS, STRUCTURED_CASES, expected_df, questions_df, questions_values_sql
+from .oracle_questions import encoded_ctes, metric_ctes
 from .sqltext import clean_ctes
 
 SCOPE_DIMS = list(Q.SCOPE_COLUMNS)
@@ -87,10 +90,16 @@ def _question_cte() -> str:
 
 
 def _question_scopes(spark, sf_dir) -> DataFrame:
-    questions = questions_df(spark)
+    return _scopes_of(bk(spark, sf_dir), questions_df(spark))
+
+
+def _scopes_of(rows: DataFrame, questions: DataFrame) -> DataFrame:
     spec = Q.with_spec_id(Q.question_spec(questions))
-    specs = Q.distinct_specs(spec)
-    scopes = Q.spec_scopes(Q.match_specs(specs, Q.booking_cells(bk(spark, sf_dir))))
+    scopes = Q.spec_scopes(Q.match_specs(Q.distinct_specs(spec), Q.booking_cells(rows)))
+    return _named(spec, scopes)
+
+
+def _named(spec: DataFrame, scopes: DataFrame) -> DataFrame:
     out = spec.select("qid", "spec_id").join(scopes, "spec_id", "left")
     cols = [F.coalesce(F.col("filtered_records"), F.lit(0)).cast("long").alias("filtered_records")]
     for d in SCOPE_DIMS:
@@ -118,7 +127,26 @@ def q_question_scope(spark, sf_dir):
         F.max(F.when(F.col("metric") == "total_records", F.col("value"))).cast("long").alias("total_records"))
 
 
-@register("question_metrics", None)
+_ALL_TEXTS = ("(SELECT conv_id || '/' || turn AS qid, text FROM conversations UNION ALL SELECT * FROM (VALUES "
+              + ", ".join(f"('pair/{i}', '{t}')" for i, t in enumerate(PAIRS, 1)) + ") AS p(qid, text))")
+
+
+@register("conversation_scope", clean_ctes() + ", qs AS (" + _spec_sql(_ALL_TEXTS, "qid, text") + "),\n" + _MATCH_SQL + "SELECT * FROM sc")
+def q_conversation_scope(spark, sf_dir):
+    """F5-F17 for every conversation turn and for pairs of texts whose specs differ in place only."""
+    turns = read_table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("qid"), "text")
+    pairs = spark.createDataFrame([(f"pair/{i}", t) for i, t in enumerate(PAIRS, 1)], "qid string, text string")
+    return _scopes_of(bk(spark, sf_dir), turns.unionByName(pairs))
+
+
+_SCOPED = "t AS (SELECT sc.qid, b.* FROM sc JOIN bk b ON sc.filtered_records > 0 AND " + " AND ".join(
+    f"(NOT sc.scope_{d}_set OR CAST(b.{c} AS VARCHAR) = sc.scope_{d})" for d, c in Q.SCOPE_COLUMNS.items()) + ")"
+_FOUND = """SELECT qid, metric, sub, key, ROUND(value, 6) AS value, CAST(ord AS INT) AS ord FROM (SELECT * FROM menu
+  UNION ALL SELECT sc.qid, 'total_records', NULL, NULL, CAST(count(t.qid) AS DOUBLE), 0 FROM sc LEFT JOIN t USING (qid) WHERE sc.filtered_records > 0 GROUP BY sc.qid
+  UNION ALL SELECT qid, 'filtered_records', NULL, NULL, CAST(filtered_records AS DOUBLE), 0 FROM sc WHERE filtered_records > 0)"""
+
+
+@register("question_metrics", _question_cte() + ", " + _SCOPED + ", " + metric_ctes("t", "qs") + _FOUND)
 def q_question_metrics(spark, sf_dir):
     """F16-F18 + metric menu: every triggered metric of every fixed question (long table)."""
     res = Q.analyse(bk(spark, sf_dir), questions_df(spark))
@@ -214,7 +242,16 @@ def structured_frame(df: DataFrame, cases=STRUCTURED_CASES) -> DataFrame:
     return df.select("*", F.explode(F.filter(ids, lambda x: x.isNotNull())).alias("gid"))
 
 
-@register("structured_analytics", None)
+_CASES_SQL = """(SELECT 1 AS qid, * FROM bk WHERE arrival_date_month = 'July' AND arrival_date_year = 1997
+  UNION ALL SELECT 2, * FROM bk WHERE hotel = 'Resort Hotel' UNION ALL SELECT 3, * FROM bk UNION ALL SELECT 4, * FROM bk WHERE total_of_special_requests > 0
+  UNION ALL SELECT 5, * FROM bk WHERE is_canceled = 1 UNION ALL SELECT 6, * FROM bk WHERE is_repeated_guest = 1)"""
+_CASE_NAMES = """(SELECT * FROM (VALUES (1, 'revenue total_bookings'), (2, 'cancellation_rate total_bookings canceled_bookings'), (3, 'bookings_by_country top_countries'),
+  (4, 'total_bookings special_requests_count'), (5, 'cancellations_by_country top_cancellation_locations'), (6, 'total_bookings repeat_guest_percentage')) AS c(qid, text))"""
+
+
+@register("structured_analytics", clean_ctes() + f", t AS {_CASES_SQL}, cs AS {_CASE_NAMES}, " + metric_ctes("t", "cs") + """
+SELECT qid AS case_id, metric, sub, key, ROUND(value, 6) AS value, CAST(ord AS INT) AS ord FROM (SELECT * FROM menu
+  UNION ALL SELECT qid, m, NULL, NULL, CAST(count(*) AS DOUBLE), 0 FROM t, (VALUES ('total_records'), ('filtered_records')) AS x(m) GROUP BY qid, m)""")
 def q_structured_analytics(spark, sf_dir):
     """the six structured cases, each its filter + the blocks its metric names trigger."""
     frame = structured_frame(bk(spark, sf_dir))
@@ -224,8 +261,7 @@ def q_structured_analytics(spark, sf_dir):
     used = {r[0] for r in blocks.select("block").distinct().collect()}
     metrics = Q.scope_metrics(frame, wanted={m for m, b, _ in Q.RESULT_ORDER if b in used})
     metric_block = spark.createDataFrame([(m, b) for m, b, _ in Q.RESULT_ORDER], "metric string, block string")
-    # the metric menu is a fixed table of ~60 rows
-    wanted = blocks.join(F.broadcast(metric_block), "block").select(F.col("qid").alias("gid"), "metric")
+    wanted = blocks.join(metric_block, "block").select(F.col("qid").alias("gid"), "metric")
     picked = metrics.join(wanted, ["gid", "metric"])
     # direct scope: the analysed rows are the filtered rows, so filtered_records = total_records
     filtered = picked.where(F.col("metric") == "total_records").withColumn("metric", F.lit("filtered_records"))
@@ -233,6 +269,36 @@ def q_structured_analytics(spark, sf_dir):
         F.col("gid").alias("case_id"), "metric", "sub", "key", "value", "ord"))
 
 
+_CANDIDATES = (clean_ctes() + ", qs AS (" + _spec_sql(questions_values_sql(), "qid, text") + "), texts AS (" + describe_sql("text") + "),\n" + encoded_ctes("texts", "dv", "id") + ",\n"
+               + encoded_ctes("qs", "qv", "qid") + """, hit AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY ROUND(dp / (qv_n.norm * dv_n.norm), 9) DESC, id) AS rank,
+    dp / (qv_n.norm * dv_n.norm) AS score
+  FROM (SELECT qid, id, sum(qv.c * dv.c) AS dp FROM qv JOIN dv USING (place) GROUP BY qid, id) JOIN qv_n USING (qid) JOIN dv_n USING (id)),
+""")
+
+
+@register("question_candidates", _CANDIDATES + _MATCH_SQL.replace("FROM qs q JOIN bk b\n    ON ", "FROM qs q JOIN hit ON hit.qid = q.qid AND hit.rank <= 500 JOIN bk b ON b.id = hit.id\n    AND ")
+          + "SELECT * FROM sc")
+def q_question_candidates(spark, sf_dir):
+    """V1 -> V4 -> F15 -> F16 -> F17: the service's default path, from each question's 500 nearest bookings to its scope."""
+    rows, questions = bk(spark, sf_dir), questions_df(spark)
+    index = V.token_hash_encoder(C.describe(rows), "description").select("id", "embedding")
+    asked = V.token_hash_encoder(questions, "text", "query").select("qid", "query")
+    near = V.topk_batch(index, asked, 500).select("qid", "id")
+    spec = Q.question_spec(questions).withColumn("spec_id", Q.candidate_spec_id())
+    return _named(spec, Q.spec_scopes(Q.match_candidates(rows, spec, near)))
+
+
+@register("booking_search", _CANDIDATES.rstrip(",\n") + """ SELECT hit.qid, hit.id, ROUND(score, 6) AS semantic_score, CAST(rank AS INT) AS rank, hotel, arrival_date_year, arrival_date_month, ROUND(adr, 6) AS adr
+FROM hit JOIN bk USING (id) WHERE rank <= 20""")
+def q_booking_search(spark, sf_dir):
+    """V1 + V5: top-20 bookings with their rows and semantic_score for every fixed question."""
+    rows = bk(spark, sf_dir)
+    index = V.token_hash_encoder(C.describe(rows), "description").select("id", "embedding")
+    hits = V.topk_batch(index, V.token_hash_encoder(questions_df(spark), "text", "query").select("qid", "query"), 20)
+    return rounded(hits.select("qid", "id", F.col("score").alias("semantic_score"), F.col("rank").cast("int").alias("rank"))
+                   .join(rows.select("id", "hotel", "arrival_date_year", "arrival_date_month", "adr"), "id"))
+
+
 @register("answer_json", None)
 def q_answer_json(spark, sf_dir):
     """X4 + S7: each fixed question's triggered metrics as one JSON object."""

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import clean as C
 from ..operators import vectors as V
 from ..sources.tables import read_table
-from .catalog import bk, register, rounded
-from .fixtures import QUESTIONS, questions_df, questions_values_sql
+from .catalog import register, rounded
+from .fixtures import questions_df, questions_values_sql
 
 _UNNEST = ("u AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x, "
            "generate_subscripts(embedding, 1) AS i FROM embeddings)")
@@ -68,14 +67,3 @@ def q_text_topk(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = V.tfidf_topk(docs, questions_df(spark), 5)
     return rounded(out.select("qid", "doc_id", "score", F.col("rank").cast("int").alias("rank")))
-
-
-@register("booking_search", None)
-def q_booking_search(spark, sf_dir):
-    """V1 + V5: hashing-encoded booking descriptions, top-20 rows with semantic_score per fixed question."""
-    rows = bk(spark, sf_dir)
-    index = V.hashing_encoder(C.describe(rows), "description").select("id", "embedding")
-    qs = V.hashing_encoder(questions_df(spark).where(F.col("qid") <= len(QUESTIONS)), "text", "query")
-    hits = V.topk_batch(index, qs.select("qid", "query"), 20)
-    return rounded(hits.join(rows.select("id", "hotel", "arrival_date_year", "arrival_date_month", "adr"), "id")
-                   .withColumnRenamed("score", "semantic_score"))

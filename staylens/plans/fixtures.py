@@ -53,6 +53,14 @@ STRUCTURED_CASES = [
 ]
 
 
+#: Texts whose specs hold the same values in different places.
+PAIRS = [
+    "How many cancelled bookings were there?", "How many first time guests checked out?", "cancelled no-show bookings",
+    "repeat guests that checked out", "returning guests with parking", "cancelled bookings with parking", "July 1997 in the city",
+    "1997 resort special request", "early resort bookings", "last minute city no show",
+]
+
+
 def all_questions() -> list[str]:
     return QUESTIONS + ANALYTICS_SENTENCES
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -31,8 +32,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    On a cluster the folder is configured by the operator and only read here.
-    Only when it is unset (local tests) a private folder is created and set.
+    On a cluster the folder is configured by the operator and only read here; an
+    unset folder is an error there, as no machine-local folder is seen by all
+    executors. A local master (tests, bench) gets a private folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -40,12 +42,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir() or current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="staylens-ckpt-")
     sc.setCheckpointDir(path)
     spark.conf.set("spark.checkpoint.dir", path)
     return sc.getCheckpointDir() or path
 
 
+def show_code(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it (a cluster may also install it or
+    get it by ``--py-files``)."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[1])
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+
+
 def shared_path(spark: SparkSession, *parts: str) -> str:
     """A path below the shared checkpoint folder (for snapshots and stream state)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

@@ -36,39 +36,31 @@ def read_bookings_csv(spark: SparkSession, path: str, fields=RAW_FIELDS) -> Data
     return text.select(*cols)
 
 
-def read_bookings_json(spark: SparkSession, path: str, fields=RAW_FIELDS) -> DataFrame:
-    """A batch payload of bookings (JSON lines or a JSON array file) with the explicit schema.
+def read_payload(spark: SparkSession, path: str, layout: str = "lines", fields=RAW_FIELDS) -> tuple[DataFrame, DataFrame]:
+    """A JSON batch of bookings split into (valid rows, invalid rows: value and unknown keys).
 
-    Keys outside the schema are ignored by the reader; missing keys become NULL.
-    """
-    schema = T.StructType([T.StructField(n, t, True) for n, t in fields])
-    return spark.read.schema(schema).option("multiLine", _is_array_file(path)).json(path)
-
-
-def _is_array_file(path: str) -> bool:
-    """True when a local payload file starts with '[' (one JSON array); remote paths default to JSON lines."""
-    import os
-
-    if not os.path.isfile(path):
-        return False
-    with open(path, "rb") as fh:
-        head = fh.read(64).lstrip()
-    return head.startswith(b"[")
-
-
-def read_payload_lines(spark: SparkSession, path: str, fields=RAW_FIELDS) -> tuple[DataFrame, DataFrame]:
-    """A4: a JSON-lines batch of bookings split into (valid rows, invalid rows).
-
-    A row is invalid when it is not a JSON object or names a key outside the
-    schema (the original insert failed on unknown columns); missing keys are
-    NULL. Each line is parsed twice as an expression (as a map for the key
-    check, with the schema for the values); no row leaves the executors.
+    ``layout`` is ``lines`` (an object a line) or ``array`` (one JSON array a file), whatever the store. A row is
+    invalid when it is not a JSON object or names a key outside the schema (the original insert failed on
+    unknown columns); missing keys are NULL. No row leaves the executors.
     """
     allowed = F.array(*[F.lit(n) for n, _ in fields])
     schema = T.StructType([T.StructField(n, t, True) for n, t in fields])
-    text = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    if layout == "lines":
+        text = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    elif layout == "array":
+        files = spark.read.option("wholetext", True).text(path)
+        items = F.from_json("value", T.ArrayType(T.StringType()))
+        # a file that is no array is one invalid row
+        text = files.select(F.explode(F.coalesce(items, F.array("value"))).alias("value"))
+    else:
+        raise ValueError(f"unknown layout {layout!r}")
     as_map = F.from_json("value", T.MapType(T.StringType(), T.StringType()))
     checked = text.select("value", F.array_except(F.map_keys(as_map), allowed).alias("unknown"), as_map.isNull().alias("bad"))
     invalid = checked.where(F.col("bad") | (F.size("unknown") > 0)).select("value", "unknown")
     valid = checked.where(~F.col("bad") & (F.size("unknown") == 0)).select(F.from_json("value", schema).alias("r")).select("r.*")
     return valid, invalid
+
+
+def read_bookings_json(spark: SparkSession, path: str, layout: str = "lines", fields=RAW_FIELDS) -> DataFrame:
+    """The valid bookings of a JSON batch (see ``read_payload``, which also gives the rejected rows)."""
+    return read_payload(spark, path, layout, fields)[0]

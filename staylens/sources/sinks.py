@@ -18,10 +18,10 @@ PARTITION_COLUMNS = ["hotel", "arrival_date_year"]
 def write_snapshot(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
     """Store a bookings snapshot as Parquet partitioned by hotel and arrival year.
 
-    Partition columns give file pruning for the common hotel/year filters;
-    a new snapshot is a new folder (Parquet tables take no in-place UPDATE).
+    Partition columns give file pruning for the common hotel/year filters; rows are rebalanced by them before the
+    write, so a small partition is one file and a large one is split; a new snapshot is a new folder.
     """
-    df.write.mode(mode).partitionBy(*PARTITION_COLUMNS).parquet(path)
+    df.hint("rebalance", *PARTITION_COLUMNS).write.mode(mode).partitionBy(*PARTITION_COLUMNS).parquet(path)
     return path
 
 
@@ -31,10 +31,10 @@ def read_snapshot(spark, path: str) -> DataFrame:
 
 def initial_import(raw: DataFrame, path: str, log_path: str, source: str, now: str | None = None,
                    sample: int | None = None) -> DataFrame:
-    """S3: clean (optionally sample) the raw rows, write the snapshot, append the import log row."""
-    cleaned = C.clean_staged(raw, f"{path.rstrip('/')}_staging", now=now)
+    """S3: (optionally sample) and clean the raw rows, write the snapshot, append the import log row."""
     if sample is not None:
-        cleaned = C.sample_n(cleaned, sample)
+        raw = C.sample_n(raw, sample)  # before cleaning: fill values are those of the sample
+    cleaned = C.clean_staged(raw, f"{path.rstrip('/')}_staging", now=now)
     write_snapshot(cleaned, path, "errorifexists")
     stored = read_snapshot(raw.sparkSession, path)
     n = stored.count()

@@ -1,11 +1,12 @@
 """Change feed as a stream — file source of change records -> ``apply_changes`` per micro-batch.
 
-Each micro-batch is applied with ``foreachBatch``: the current snapshot is read,
-the batch's changes applied, and the new snapshot written to a fresh folder
-named by the batch id, followed by the audit rows. The latest applied batch id
-is recorded, so a batch replayed after a failure (Structured Streaming delivers
-at-least-once to ``foreachBatch``) is skipped; the query checkpoint lives in the
-shared folder.
+Each micro-batch is applied with ``foreachBatch`` and has a folder of its own: its
+changes (written once, so every later read sees the same rows), the new snapshot,
+its audit rows, and, last, the mark that makes it count, with the high-water id. A batch
+replayed after a failure (``foreachBatch`` is at-least-once) starts its folder anew if
+the mark is missing and is skipped if it is there, so nothing is applied or logged
+twice. Only a missing marks folder means that no batch was applied; a failing read
+is an error. Snapshots before the last ``KEEP`` are deleted.
 """
 
 from __future__ import annotations
@@ -18,13 +19,22 @@ from ..operators.changes import apply_changes
 from ..session import shared_path
 
 
-def _latest(spark: SparkSession, root: str) -> tuple[int, str] | None:
-    marks = f"{root}/_applied"
-    try:
-        row = spark.read.parquet(marks).agg(F.max_by("path", "batch_id").alias("p"), F.max("batch_id").alias("b")).first()
-    except Exception:  # noqa: BLE001  (no batch applied yet)
+KEEP = 2
+
+
+def _path(spark: SparkSession, path: str):
+    """(file system, path) of the store that holds ``path``."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _latest(spark: SparkSession, root: str) -> tuple[int, str, int] | None:
+    """(batch id, snapshot, high-water id) of the newest applied batch; None if no batch was applied."""
+    fs, marks = _path(spark, f"{root}/_applied")
+    if not fs.exists(marks):
         return None
-    return (int(row["b"]), row["p"]) if row and row["b"] is not None else None
+    row = spark.read.parquet(f"{root}/_applied").agg(F.max(F.struct("batch_id", "path", "high_water")).alias("m")).first()
+    return tuple(row["m"]) if row["m"] is not None else None
 
 
 def apply_batch(spark: SparkSession, root: str, base_path: str, batch: DataFrame, batch_id: int,
@@ -33,12 +43,30 @@ def apply_batch(spark: SparkSession, root: str, base_path: str, batch: DataFrame
     latest = _latest(spark, root)
     if latest is not None and batch_id <= latest[0]:
         return
+    mine = f"{root}/batches/{batch_id:010d}"
+    batch.write.mode("overwrite").parquet(f"{mine}/changes")
+    changes = spark.read.schema(batch.schema).parquet(f"{mine}/changes")
     current = spark.read.parquet(latest[1] if latest else base_path)
-    res = apply_changes(current, batch, now=now)
-    out = f"{root}/snapshot_{batch_id:010d}"
-    res["snapshot"].write.mode("overwrite").parquet(out)
-    res["audit"].write.mode("append").parquet(f"{root}/update_log")
-    spark.createDataFrame([(batch_id, out)], "batch_id long, path string").write.mode("append").parquet(f"{root}/_applied")
+    res = apply_changes(current, changes, high_water=latest[2] if latest else None, now=now)
+    res["snapshot"].write.mode("overwrite").parquet(f"{mine}/snapshot")
+    res["audit"].write.mode("overwrite").parquet(f"{mine}/update_log")
+    mark = res["high_water"].select(F.lit(batch_id).cast("long").alias("batch_id"), F.lit(f"{mine}/snapshot").alias("path"), F.col("id").alias("high_water"))
+    mark.coalesce(1).write.mode("append").parquet(f"{root}/_applied")
+    _expire(spark, root, batch_id)
+
+
+def _expire(spark: SparkSession, root: str, batch_id: int) -> None:
+    """Delete the snapshots (not the logs) of batches before the last KEEP applied ones."""
+    old = spark.read.parquet(f"{root}/_applied").where(F.col("batch_id") <= batch_id).orderBy(F.desc("batch_id")).select("path").collect()[KEEP:]
+    for r in old:
+        fs, p = _path(spark, r["path"])
+        fs.delete(p, True)
+
+
+def update_log(spark: SparkSession, root: str) -> DataFrame:
+    """The audit rows of all applied batches."""
+    marks = [r["path"].removesuffix("snapshot") + "update_log" for r in spark.read.parquet(f"{root}/_applied").select("path").collect()]
+    return spark.read.parquet(*marks)
 
 
 def start_change_stream(spark: SparkSession, changes_dir: str, schema: T.StructType, base_path: str,

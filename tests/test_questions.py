@@ -130,3 +130,36 @@ def test_notebook_lead_block(spark, sf_small):
     want = {r["lead_time_category"]: r["n"] for r in july.where("lead_time_category IS NOT NULL")
             .groupBy("lead_time_category").count().withColumnRenamed("count", "n").collect()}
     assert got == want
+
+
+def test_different_specs_never_share_an_id(spark):
+    """Every pair of trigger texts: one spec id for equal spec columns, different ids for different ones."""
+    import itertools
+
+    bits = ["July", "1997", "resort", "city", "cancelled", "checked out", "no show", "repeat", "first time", "special request", "parking", "last minute", "early"]
+    texts = [" ".join(c) for n in (0, 1, 2, 3) for c in itertools.combinations(bits, n)]
+    rows = Q.with_spec_id(Q.question_spec(spark.createDataFrame(list(enumerate(texts)), "qid int, text string"))).collect()
+    by_id, by_columns = {}, {}
+    for r in rows:
+        columns = tuple(r[c] for c in Q.SPEC_COLUMNS)
+        assert by_id.setdefault(r["spec_id"], columns) == columns and by_columns.setdefault(columns, r["spec_id"]) == r["spec_id"]
+    assert len(by_id) > 150
+
+
+def test_colliding_questions_in_one_batch(spark, sf_small):
+    from staylens.plans.catalog import bk
+    from staylens.plans.fixtures import PAIRS
+    b = bk(spark, sf_small).cache()
+    batch, _ = _answers(spark, b, PAIRS[:4])
+    assert [batch[k] for k in (1, 2, 3, 4)] == [_answers(spark, b, [t])[0][1] for t in PAIRS[:4]]
+    b.unpersist()
+
+
+def test_months_are_twelve(spark, sf_small):
+    import json
+
+    from staylens.plans.catalog import bk
+    qs = spark.createDataFrame([(1, "bookings by month and season in July 1997")], "qid int, text string")
+    out = json.loads(R.result_json(Q.analyse(bk(spark, sf_small), qs)["metrics"]).first()["result"])
+    assert len(out["bookings_by_month"]) == 12 and len(out["revenue_by_month"]) == 12
+    assert out["bookings_by_month"]["January"] is None and out["bookings_by_month"]["July"] > 0

@@ -2,8 +2,11 @@
 
 import uuid
 
+import pytest
+
 from staylens.session import shared_path
-from staylens.streaming.change_stream import apply_batch, latest_snapshot, start_change_stream
+from staylens.streaming import change_stream
+from staylens.streaming.change_stream import apply_batch, latest_snapshot, start_change_stream, update_log
 from tests.test_changes import SCHEMA, _base
 
 
@@ -21,3 +24,28 @@ def test_stream_applies_and_skips_replay(spark, tmp_path):
     # replaying batch 0 is a no-op
     apply_batch(spark, root, base_path, ch, 0)
     assert {r["id"] for r in latest_snapshot(spark, root, base_path).collect()} == {1, 3}
+    assert update_log(spark, root).count() == 2
+
+
+def test_failing_read_and_crash_lose_nothing(spark, monkeypatch):
+    base_path, root = (shared_path(spark, f"t1-{n}-{uuid.uuid4().hex}") for n in ("base", "root"))
+    _base(spark).write.parquet(base_path)
+    batches = [spark.createDataFrame([c], SCHEMA) for c in (
+        (1, "delete", 2, None, None, None, None, None, None), (2, "update", 1, ["adr"], 9.0, None, None, None, None),
+        (3, "delete", 3, None, None, None, None, None, None), (4, "add", None, None, 8.0, 0, "PRT", 1, 1))]
+    apply_batch(spark, root, base_path, batches[0], 0)
+    with monkeypatch.context() as m:  # a read error is an error, not "nothing applied yet"
+        m.setattr(change_stream, "_latest", lambda *a: (_ for _ in ()).throw(OSError("read")))
+        with pytest.raises(OSError):
+            apply_batch(spark, root, base_path, batches[1], 1)
+    mine = f"{root}/batches/{1:010d}"  # what a run that died before its mark leaves behind
+    batches[1].write.parquet(f"{mine}/changes")
+    batches[1].write.parquet(f"{mine}/update_log")
+    apply_batch(spark, root, base_path, batches[1], 1)
+    apply_batch(spark, root, base_path, batches[1], 1)  # a replay
+    apply_batch(spark, root, base_path, batches[2], 2)
+    apply_batch(spark, root, base_path, batches[3], 3)
+    assert {r["id"]: r["adr"] for r in latest_snapshot(spark, root, base_path).collect()} == {1: 9.0, 4: 8.0}  # 3 is never used again
+    assert sorted(r["id"] for r in update_log(spark, root).collect()) == [1, 2, 3, 4]
+    fs, old = change_stream._path(spark, f"{root}/batches/{0:010d}/snapshot")
+    assert not fs.exists(old)  # snapshots before the last two are gone
