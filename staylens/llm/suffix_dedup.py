@@ -22,9 +22,10 @@ from .hashing import prefix_sums
 
 LENGTH = 200
 GRAM = 64
-#: Buckets of more contexts than this are settled by joining their strings of LENGTH bytes, over all tasks.
+#: Buckets of more contexts than this are split; what a part can't settle alone is settled over all tasks.
 WIDE = 2048
-_SPAN = 1 << 22
+#: Bytes of text whose hashes a task holds at once.
+ANCHOR_BYTES = _SPAN = 1 << 20
 _PLACE = 24
 
 
@@ -128,7 +129,7 @@ def _anchored(rows: DataFrame, id_type: str, length: int, gram: int) -> DataFram
         loc = part.column("_t").to_numpy().astype(np.int64)[doc] << 32 | (place - at[doc])
         return pa.table({"h": h.view(np.int64), "c": c.view(np.int64), "_id": part.column("_id").take(pa.array(doc)), "loc": loc})
 
-    return by_block(rows, f"h long, c long, _id {id_type}, loc long", block, "_text")
+    return by_block(rows, f"h long, c long, _id {id_type}, loc long", block, "_text", ANCHOR_BYTES)
 
 
 def repeat_occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, wide: int = WIDE,
@@ -136,14 +137,16 @@ def repeat_occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """(_id, _t, start, stop, and with ``groups`` group) of covered byte ranges, a row per anchor and range; they overlap.
 
     With ``groups``, a row is an occurrence of a maximal repeat as far as an anchor's context shows it: ``group`` names the repeat,
-    and all its occurrences are there. Buckets of over ``wide`` contexts give covers without groups (group is null).
+    and all its occurrences are there. Buckets of over ``wide`` contexts are split, and their groups are those of a part (null
+    across parts).
     """
     id_type = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("_id"), F.hash(text).alias("_t"), F.col(text).alias("_text")).where(F.octet_length("_text") >= length)
     found = _anchored(rows, id_type, length, gram)
     before = length - gram
     shared = found.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("m > 1")
-    hits = stage(found.join(shared.select("h", (F.col("c0") == F.col("c1")).alias("one")), "h"), "suffix-hits")
+    shared = stage(shared.select("h", (F.col("c0") == F.col("c1")).alias("one")), "suffix-shared")  # staged: a hot h is then split in the join
+    hits = stage(found.join(shared, "h"), "suffix-hits")
     # contexts of buckets that hold several, each with its weight and one place
     several = hits.where("not one").groupBy("h", "c").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.col("_id").isNull().alias("z"), "_id", "loc")).alias("r"))
     several = stage(several.select("h", "c", "m", F.col("r._id").alias("_id"), (F.shiftright("r.loc", 32)).cast("int").alias("_t"),
@@ -172,33 +175,35 @@ def repeat_occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     schema = "h long, c long, group long, a int, b int"
 
     def tree(group: pa.Table) -> pa.Table:
-        order = np.argsort(group.column("h").to_numpy(), kind="stable")
+        order = np.lexsort((group.column("salt").to_numpy(), group.column("h").to_numpy()))
         group = group.combine_chunks().take(pa.array(order))
-        h, c, m = (group.column(x).to_numpy() for x in ("h", "c", "m"))
+        h, c, m, salt = (group.column(x).to_numpy() for x in ("h", "c", "m", "salt"))
         left, right = group.column("l").to_pylist(), group.column("r").to_pylist()
         out: list[tuple] = []
-        cuts = np.flatnonzero(np.diff(h, prepend=h[0] - 1 if len(h) else 0, append=h[-1] + 1 if len(h) else 0))
+        new = np.flatnonzero((h[1:] != h[:-1]) | (salt[1:] != salt[:-1])) + 1
+        cuts = np.concatenate([[0], new, [len(h)]])
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             cover, found = repeats(list(zip(left[lo:hi], right[lo:hi], strict=True)), length)
             if groups:
                 for a, b, members in found:
                     s = members[0]
-                    name = _name(left[lo + s][:a][::-1] + right[lo + s][:b])
-                    out += [(h[lo], c[lo + k], name, a, b) for k in members]
+                    if (name := _name(left[lo + s][:a][::-1] + right[lo + s][:b], a, length, gram)) is not None:
+                        out += [(h[lo], c[lo + k], name, a, b) for k in members]
             for k in range(lo, hi):
                 a, b = cover[k - lo]
                 if m[k] > 1 and len(left[k]) + len(right[k]) >= length:  # the whole context occurs again
                     a, b = len(left[k]), len(right[k])
-                    if groups:
-                        out.append((h[k], c[k], _name(left[k][::-1] + right[k]), a, b))
+                    if groups and (name := _name(left[k][::-1] + right[k], a, length, gram)) is not None:
+                        out.append((h[k], c[k], name, a, b))
                 if a + b and not groups:
                     out.append((h[k], c[k], None, a, b))
         return pa.table({n: pa.array([o[k] for o in out], t) for k, (n, t) in enumerate(
             (("h", pa.int64()), ("c", pa.int64()), ("group", pa.int64()), ("a", pa.int32()), ("b", pa.int32())))})
 
-    narrow = (contexts.where(F.col("k") <= wide).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
-              .groupBy("bucket").applyInArrow(tree, schema))
-    covers = stage(narrow.union(_wide_covers(contexts.where(F.col("k") > wide), length)), "suffix-covers")
+    salt = F.pmod(F.xxhash64("c"), F.ceil(F.col("k") / wide))
+    parted = contexts.withColumn("salt", salt).withColumn("bucket", F.pmod(F.xxhash64("h", "salt"), F.lit(buckets)))
+    covers = stage(parted.groupBy("bucket").applyInArrow(tree, schema), "suffix-covers")
+    covers = covers.union(_across(contexts.where(F.col("k") > wide), covers, length))
     place, text_hash = F.col("loc").bitwiseAND(0xFFFFFFFF), F.shiftright("loc", 32).cast("int").alias("_t")
     whole = hits.where("one").select("_id", text_hash, F.greatest(place - before, F.lit(0)).alias("start"), (place + length).alias("stop"), F.col("c").alias("group"))
     part = (hits.where("not one").join(covers.hint("merge"), ["h", "c"])
@@ -206,13 +211,18 @@ def repeat_occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return whole.union(part)
 
 
-def _name(text: bytes) -> int:
+def _name(text: bytes, at: int, length: int, gram: int) -> int | None:
+    """The name of a repeat as its anchor at ``at`` shows it; None if that is no anchor of the repeat itself but of what surrounds it in
+    some places (then not all occurrences have it, and the repeat's own anchors show them)."""
+    if at not in anchors(np.frombuffer(text, np.uint8), np.array([0, len(text)]), length, gram)[0]:
+        return None
     return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), signed=True)
 
 
-def _wide_covers(contexts: DataFrame, length: int) -> DataFrame:
-    """Covers of contexts of wide buckets: every string of ``length`` bytes is a node of depth ``length`` of the interval tree;
-    nodes meet by their hash, counted in the tasks first, so no bucket is ever in one task."""
+def _across(contexts: DataFrame, covers: DataFrame, length: int) -> DataFrame:
+    """Covers that contexts of split buckets get from other parts: every string of ``length`` bytes is a node of depth
+    ``length`` of the interval tree; nodes meet by their hash, counted in the tasks first, and only those that no
+    part has covered are joined with the counts, so no bucket is ever in one task."""
 
     def nodes(batches):
         for batch in batches:
@@ -227,14 +237,20 @@ def _wide_covers(contexts: DataFrame, length: int) -> DataFrame:
                 s = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 at = (np.cumsum(size) - size)[who] + s
                 key = mix64((h[at + length] - h[at]) * down[at])
+                before = np.array([len(a) for a in left], np.int64)[who] - s
+                a, b = (part.column(x).to_numpy()[who] for x in "ab")
                 take = pa.array(who)
-                ahead = np.array([len(a) for a in left], np.int64)[who]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(part.column(c).take(take) for c in ("h", "c", "m")), pa.array((ahead - s).astype(np.int32)),
-                                                  pa.array((s + length - ahead).astype(np.int32))], ["w", "h", "c", "m", "a", "b"])
-
-    all_nodes = contexts.select("h", "c", "m", "l", "r").mapInArrow(nodes, "w long, h long, c long, m long, a int, b int")
-    again = all_nodes.groupBy("w").agg(F.sum("m").alias("n")).where("n > 1").select("w")
-    return (all_nodes.join(again.hint("merge"), "w").groupBy("h", "c").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(part.column(c).take(take) for c in ("h", "c", "m")), pa.array(before.astype(np.int32)),
+                                                  pa.array((length - before).astype(np.int32)), pa.array((before > a) | (length - before > b))],
+                                                 ["w", "h", "c", "m", "a", "b", "open"])
+
+    known = covers.groupBy("h", "c").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    rows = contexts.join(known.hint("merge"), ["h", "c"], "left").select("h", "c", "m", "l", "r", *(F.coalesce(x, F.lit(0)).alias(x) for x in "ab"))
+    found = rows.mapInArrow(nodes, "w long, h long, c long, m long, a int, b int, open boolean")
+    # a string that occurs again has the same anchor at the same place; it may hold others, which must not count it twice
+    node = ["w", "h", "a"]
+    again = found.groupBy(*node).agg(F.sum("m").alias("n"), F.max("open").alias("o")).where("n > 1 and o").select(*node)
+    return (found.where("open").join(again.hint("merge"), node).groupBy("h", "c").agg(F.max("a").alias("a"), F.max("b").alias("b"))
             .select("h", "c", F.lit(None).cast("long").alias("group"), "a", "b"))
 
 

@@ -79,8 +79,12 @@ def test_groups_hold_all_occurrences(spark):
     by_group = {}
     for r in found:
         by_group.setdefault(r.group, set()).add((r._id, r.start, r.stop))
-        assert rows[r._id][1][r.start : r.stop] in shared or r.stop - r.start < 300
-    assert by_group and all({d for d, _, _ in g} == set(range(5)) for g in by_group.values())
+    for places in by_group.values():
+        names = {rows[[i for i, _ in rows].index(d)][1][a:b] for d, a, b in places}
+        assert len(names) == 1  # the occurrences of one string, and all of them
+        name = names.pop()
+        assert places == {(d, k, k + len(name)) for d, t in rows for k in range(len(t)) if t.startswith(name, k)}
+    assert any(len(g) == 5 for g in by_group.values())
 
 
 def test_text_keeps_whole_characters(spark):
