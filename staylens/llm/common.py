@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import math
-import os
 import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staylens.session import shared_path
+from staylens.session import shared_path, show_code  # noqa: F401
 
 BLOCK_BYTES = 4 << 20
 
@@ -23,14 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def show_code(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it (a cluster may also install it or
-    get it by ``--py-files``)."""
-    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder of ``spark.checkpoint.dir`` and read it back: cuts the lineage
     and survives lost executors. The folders live below the shared folder and expire with it."""
@@ -43,12 +33,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def row_key(doc_id: Column, text: Column) -> list[Column]:
-    """A null-free key of a row by content: ids may be null or repeat; rows alike in id and text share a key,
-    which is right wherever a result depends on id and text alone."""
-    return [F.coalesce(doc_id.cast("string"), F.lit("\x00null")).alias("_k"), F.xxhash64(text).alias("_t")]
-
-
 def as_bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string array (null: empty) and the n + 1 offsets of its rows."""
     text = pc.fill_null(text.cast(pa.large_string()), "")
@@ -127,31 +111,30 @@ def components(edges: DataFrame, a: str, b: str, name: str = "links") -> DataFra
 
     Alternating large-star and small-star steps on staged edge tables: each step is a groupBy on the node
     with a min, so no neighbourhood is ever gathered and a hub costs one partial row per task. It ends when
-    a round changes nothing.
+    every node hangs on one node that hangs on none.
     """
-    spark = edges.sparkSession
-    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where(F.col("u") != F.col("v")).distinct()
-    e = stage(e, name)
-    seen = None
-    while True:
+    u, v = F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
+    e = stage(edges.select(u, v).where("u != v").distinct(), name)
+    while not _are_stars(e):
         both = e.select("u", "v").union(e.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: every larger neighbour joins the smallest node around
-        e = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: smaller neighbours and the node itself join the smallest of them
-        down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(F.col("u") != F.col("v")).distinct()
+        down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct()
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u")
         e = stage(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-                  .where(F.col("u") != F.col("v")).distinct(), name)
-        now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if tuple(now) == seen:
-            break
-        seen = tuple(now)
+                  .where("u != v").distinct(), name)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _are_stars(e: DataFrame) -> bool:
+    one = e.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    return one and e.join(e.select(F.col("u").alias("w")), F.col("v") == F.col("w"), "left_semi").isEmpty()
+
+
 def blocks_for(total: float, each: float) -> int:
     """Number of parts of about ``each`` that hold ``total``."""
     return max(1, math.ceil(total / each))
