@@ -11,7 +11,8 @@ from staylens.sources.tables import TABLES
 FAST = ["null_counts", "impute", "describe_text", "filter_cmp", "cancellation_by_country", "price_stats",
         "bookings_by_month", "meal_by_country", "waitlist_distribution", "eda_answers", "histogram_lead",
         "fused_distributions", "question_spec", "question_filter", "vector_topk_batch", "text_topk",
-        "apply_changes", "update_log", "latency_p90", "time_histogram", "template_answer"]
+        "apply_changes", "update_log", "latency_p90", "time_histogram", "template_answer",
+        "conversation_scope", "structured_analytics", "question_candidates"]
 
 
 def _norm(v):
