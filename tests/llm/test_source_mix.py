@@ -1,5 +1,5 @@
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -64,3 +64,34 @@ def test_shard_counts():
 def test_empty(spark):
     assert rows_of(spark.createDataFrame([], "doc_id long, text string, source string")) == []
     assert rows_of(spark.createDataFrame([(1, None, None, 3)], "doc_id long, text string, source string, size int")) == [(1, None, 0, 0, 0.0, 0)]
+
+
+@pytest.mark.parametrize("block, slots", [(8, 256), (64, 1 << 16)])
+def test_corpus_holds_the_documents_words(sourced, block, slots, tmp_path):
+    rows, df = sourced
+    corpus, docs = M.mix_corpus(df, block=block, slots=slots, path=f"{tmp_path}/mix")
+    mixed, taken = corpus.collect(), docs.collect()
+    texts = defaultdict(list)  # repeated rows are documents of their own
+    for i, t, s in rows:
+        texts[i, s].append(WORD.findall(t or ""))
+    seen, spread = defaultdict(set), defaultdict(int)
+    for r in mixed:
+        words, at = WORD.findall(r.text), 0
+        assert len(words) == r.n_words == sum(p.words for p in r.parts) and 0 < r.n_words <= block and 0 <= r.slot < slots
+        for p in r.parts:
+            piece = words[at : at + p.words]
+            assert any(piece == t[k : k + p.words] for t in texts[p.doc_id, r.source] for k in range(len(t) - p.words + 1))
+            at += p.words
+            spread[p.doc_id, r.source] += p.words
+        seen[r.source, r.block].add(r.text)
+    places = [(r.shard, r.slot) for r in mixed]
+    assert len(set(places)) == len(places) and sorted(r.shard * slots + r.slot for r in mixed) == list(range(len(mixed)))
+    assert all(len(t) == 1 for t in seen.values())  # a block is the same words each time
+    assert max(Counter((r.source, r.block) for r in mixed).values()) <= 3
+    given = defaultdict(int)
+    for r in taken:
+        given[r.doc_id, r.source] += r.taken
+    assert {k: n for k, n in given.items() if n} == dict(spread)
+    for f in df.sparkSession.read.parquet(f"{tmp_path}/mix").inputFiles():
+        part = [(r.shard, r.slot) for r in df.sparkSession.read.parquet(f).collect()]
+        assert part == sorted(part)
