@@ -86,17 +86,21 @@ def permute(index: np.ndarray, size: int | np.ndarray, key: int | np.ndarray) ->
 
 
 def shard_counts(shards: np.ndarray, slots: int, shares: np.ndarray, seed: int) -> np.ndarray:
-    """Source counts of full output shards: the whole part of each expected count, and a multinomial draw, seeded
-    by the shard's number, for the slots that the whole parts leave. Drawing only these keeps each source's total
-    near its share at any size."""
+    """Source counts of output shards of ``slots`` slots: the whole part of each expected count, and a systematic draw, seeded by the
+    shard's number, for the slots that the whole parts leave. A source gets less than one slot more or less than it
+    should, and on average what it should."""
     expected = shares * slots
-    whole = np.floor(expected)
-    left = expected - whole
+    whole = np.floor(expected * (1 + 1e-12) + 1e-9)
+    left = np.maximum(expected - whole, 0)
     n = slots - int(whole.sum())
     out = np.tile(whole.astype(np.int64), (len(shards), 1))
     if n > 0 and left.sum() > 0:
         for row, shard in zip(out, shards, strict=True):
-            row += np.random.default_rng([seed, int(shard)]).multinomial(n, left / left.sum())
+            rng = np.random.default_rng([seed, int(shard)])
+            order = rng.permutation(len(left))
+            upto = np.cumsum(left[order]) * (n / left.sum())
+            upto[-1] = n
+            row[order] += np.diff(np.floor(np.concatenate([[0], upto]) + rng.random()).astype(np.int64))
     return out
 
 
@@ -177,12 +181,16 @@ def mix_corpus(docs: DataFrame, source: str = "source", text: str = "text", doc_
 
 
 def slot_counts(sizes: list[int], targets: list[float], epochs: int, block: int, seed: int) -> np.ndarray:
-    """Slots of each source in the mix, none above ``epochs`` times its blocks."""
-    total = sum(sizes)
-    if not total:
+    """Slots of each source in the mix, none above ``epochs`` times its blocks: on average its target over the words that its
+    blocks hold on average, as the last block of a source is not full."""
+    size = np.array(sizes, np.int64)
+    numbers = -(-size // block)
+    expected = np.array(targets, np.float64) * numbers / np.maximum(size, 1)
+    total = int(np.ceil(expected.sum() - 1e-6))
+    if total <= 0:
         return np.zeros(len(sizes), np.int64)
-    numbers = -(-np.array(sizes, np.int64) // block)
-    return np.minimum(shard_counts(np.array([0]), -(-total // block), np.array(targets) / total, seed)[0], epochs * numbers)
+    shares = np.append(expected, max(0.0, total - expected.sum())) / total  # what is left of the last slot is nobody's
+    return np.minimum(shard_counts(np.array([0]), total, shares, seed)[0][:-1], epochs * numbers)
 
 
 def _pieces(texts: DataFrame, numbers: np.ndarray, counts: np.ndarray, epochs: int, block: int, seed: int) -> DataFrame:

@@ -95,3 +95,22 @@ def test_corpus_holds_the_documents_words(sourced, block, slots, tmp_path):
     for f in df.sparkSession.read.parquet(f"{tmp_path}/mix").inputFiles():
         part = [(r.shard, r.slot) for r in df.sparkSession.read.parquet(f).collect()]
         assert part == sorted(part)
+
+
+def test_small_sources_reach_their_targets(spark):
+    text = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
+    small = [(k, text(k, 70 if k % 2 else 10), f"s{k:03}") for k in range(60)] + [(99, text(99, 3), None)]
+    rows = rows_of(spark.createDataFrame([*small, (100, text(100, 20_000), "big")], "doc_id long, text string, source string"), block=64)
+    for i, _, size, _, target, taken in rows:  # three whole epochs of each small source
+        assert taken == pytest.approx(target, abs=64 if i == 100 else 1e-6) and (i == 100 or target == 3 * size)
+    alike = [(k, text(k, 70), f"s{k:03}") for k in range(300)]
+    rows = rows_of(spark.createDataFrame(alike, "doc_id long, text string, source string"), block=64)
+    for third in range(3):  # by weight
+        part = [r for r in rows if r[0] % 3 == third]
+        assert sum(r[5] for r in part) == pytest.approx(sum(r[4] for r in part), rel=0.2)
+
+
+def test_slot_counts_meet_targets_on_average():
+    sizes, targets = [10, 70, 130, 64, 0, 6400], [7.0, 100.0, 300.0, 192.0, 0.0, 5000.0]
+    mean = np.mean([M.slot_counts(sizes, targets, 3, 64, seed) for seed in range(2000)], 0)
+    assert mean == pytest.approx([0.7, 100 * 2 / 70, 300 * 3 / 130, 3, 0, 5000 / 64], abs=0.05)
