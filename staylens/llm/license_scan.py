@@ -31,6 +31,9 @@ NOTICES = {
 #: Tags (lower case) that a licence expression follows on the same line.
 TAGS = ("spdx-license-identifier:", "license-expression:")
 
+#: Licences and exceptions (lower case) that the policy accepts.
+ACCEPTED = frozenset({"mit", "mit-0", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "0bsd", "unlicense", "cc0-1.0", "cc-by-4.0", "zlib", "llvm-exception"})
+
 TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 LINE_END = re.compile(r"[\n\r]")
 OPERATORS = {"or": 1, "and": 2, "with": 3}
@@ -71,6 +74,25 @@ def parse(expression: str) -> list[str]:
     return output + stack[::-1]
 
 
+def longest(expression: str) -> tuple[list[str], bool]:
+    """The postfix order of an expression and whether it is complete. Of one that isn't, the longest complete part: it is read up to
+    the first token out of place, operators and parentheses that nothing follows go, open parentheses close at its end."""
+    try:
+        return parse(expression), True
+    except ValueError:
+        pass
+    tokens: list[str] = []
+    for token in TOKEN.findall(expression):
+        operand = not tokens or tokens[-1] == "(" or tokens[-1].lower() in OPERATORS
+        closes = token == ")" and tokens.count("(") > tokens.count(")")
+        if (token == ")" or token.lower() in OPERATORS) if operand else not (closes or token.lower() in OPERATORS):
+            break
+        tokens.append(token)
+    while tokens and (tokens[-1] == "(" or tokens[-1].lower() in OPERATORS):
+        tokens.pop()
+    return parse(" ".join(tokens + [")"] * (tokens.count("(") - tokens.count(")")))) if tokens else [], False
+
+
 def fold(postfix: list[str], leaf, join):
     """Evaluate a postfix expression: ``leaf(licence)`` and ``join(operator, left, right)``."""
     stack: list = []
@@ -96,7 +118,8 @@ def allowed(postfix: list[str], accepted: set[str]) -> bool:
 class Scanner:
     """The automata of one task."""
 
-    def __init__(self, base: dict[str, str], notices: dict[str, str], tags: tuple[str, ...]):
+    def __init__(self, base: dict[str, str], notices: dict[str, str], tags: tuple[str, ...], accepted: frozenset[str] = ACCEPTED):
+        self.accepted = accepted
         self.words = self._automaton({f" {p} ": (False, p, label) for p, label in notices.items()} | {f" {p} ": (True, p, label) for p, label in base.items()})
         self.tags = self._automaton({t: len(t) for t in tags})
 
@@ -108,8 +131,8 @@ class Scanner:
         out.make_automaton()
         return out
 
-    def scan(self, text: bytes) -> tuple[int, list[int], set[str], set[str], int]:
-        """(words, starts of base places in order, base labels, all labels, further places)."""
+    def scan(self, text: bytes) -> tuple[int, list[int], set[str], set[str], int, list[dict]]:
+        """(words, starts of base places in order, base labels, all labels, further evidence, expressions)."""
         words = alnum_words(text)
         line = f" {b' '.join(words).decode()} "
         base, labels, starts, more = set(), set(), [], 0
@@ -126,37 +149,45 @@ class Scanner:
             at, done = at + line.count(" ", done, start), start
             places.append(at)
         raw = text.lower().decode() if len(self.tags) else ""  # bytes.lower is ASCII only
+        found = []
         for end, _ in self.tags.iter(raw) if len(self.tags) else ():
             stop = LINE_END.search(raw, end + 1)
-            try:
-                labels |= licences(parse(raw[end + 1 : stop.start() if stop else len(raw)]))
-            except ValueError:
+            postfix, whole = longest(raw[end + 1 : stop.start() if stop else len(raw)])
+            if not postfix:
                 continue
-            more += 2
-        return len(words), places, base, labels, more
+            names = licences(postfix)
+            labels |= names if whole else set()
+            more += 2 if whole else 1
+            found.append({"postfix": " ".join(postfix), "licences": sorted(names), "complete": whole, "accepted": allowed(postfix, self.accepted) if whole else None})
+        return len(words), places, base, labels, more, found
 
 
 def scan_licences(docs: DataFrame, text: str = "text", base: dict[str, str] = BASE, notices: dict[str, str] = NOTICES,
-                  tags: tuple[str, ...] = TAGS) -> DataFrame:
+                  tags: tuple[str, ...] = TAGS, accepted: frozenset[str] = ACCEPTED) -> DataFrame:
     """``docs`` plus ``_n_words``, ``_places`` (word positions where a base phrase's words stand consecutively, in
     order, one for each phrase), ``_base`` and ``_labels`` (sorted distinct labels of the base phrases, and of
-    everything found) and ``_score`` (1 - 0.5 ** evidence; a place counts 1, a tag's expression 2).
+    everything found), ``_score`` (1 - 0.5 ** evidence; a place counts 1, a tag's expression 2, an incomplete one 1) and ``_expressions``
+    (of each tag, in the text's order: ``postfix``, ``licences``, ``complete``, and ``accepted``, whether accepting the
+    licences and exceptions ``accepted`` meets it).
 
     One pass over whole texts, no shuffle; the phrases go to the tasks with the code. Null texts are empty;
-    expressions that don't parse give no label; other columns are kept, ones named like the added are replaced.
+    an expression that is not complete on its line gives its longest complete part to ``_expressions`` (``accepted`` null), but no label; other columns are kept, ones named like the added are replaced.
     """
-    old = [c for c in docs.columns if c not in ("_n_words", "_places", "_base", "_labels", "_score")]
+    old = [c for c in docs.columns if c not in ("_n_words", "_places", "_base", "_labels", "_score", "_expressions")]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in old)
     made: list[Scanner] = []
 
     def block(rows: pa.RecordBatch, data: np.ndarray, at: np.ndarray) -> pa.Table:
-        scanner = made[0] if made else made.append(Scanner(base, notices, tags)) or made[0]
+        scanner = made[0] if made else made.append(Scanner(base, notices, tags, accepted)) or made[0]
         raw = data.tobytes()
         got = [scanner.scan(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
         names = pa.list_(pa.string())
+        shape = pa.list_(pa.struct([("postfix", pa.string()), ("licences", names), ("complete", pa.bool_()), ("accepted", pa.bool_())]))
         return pa.table({**{c: rows.column(c) for c in old}, "_n_words": pa.array([g[0] for g in got], pa.int64()),
                          "_places": pa.array([g[1] for g in got], pa.list_(pa.int64())),
                          "_base": pa.array([sorted(g[2]) for g in got], names), "_labels": pa.array([sorted(g[3]) for g in got], names),
-                         "_score": pa.array([1 - 0.5 ** (len(g[1]) + g[4]) for g in got], pa.float64())})
+                         "_score": pa.array([1 - 0.5 ** (len(g[1]) + g[4]) for g in got], pa.float64()),
+                         "_expressions": pa.array([g[5] for g in got], shape)})
 
-    return by_block(docs, schema + ", _n_words long, _places array<long>, _base array<string>, _labels array<string>, _score double", block, text)
+    return by_block(docs, schema + ", _n_words long, _places array<long>, _base array<string>, _labels array<string>, _score double, "
+                    "_expressions array<struct<postfix:string,licences:array<string>,complete:boolean,accepted:boolean>>", block, text)

@@ -48,3 +48,21 @@ def test_evaluation():
 
 def test_empty(spark):
     assert S.scan_licences(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+@pytest.mark.parametrize("text, postfix", [("(MIT OR Apache-2.0", "mit apache-2.0 or"), ("MIT OR", "mit"), ("a and (b or", "a b and"), ("((a or b) and c", "a b or c and"), ("a or and b", "a"),
+                                           ("a or )", "a"), ("(a) b (", "a"), ("(a b", "a"), ("or a", ""), ("()", ""), ("", "")])
+def test_longest_complete_part(text, postfix):
+    got, whole = S.longest(text)
+    assert " ".join(got) == postfix and whole == (text == "(a) b (")
+
+
+def test_expressions_are_evaluated(spark):
+    tag = "SPDX-License-Identifier: "
+    rows = [(1, f"{tag}MIT OR GPL-2.0-only"), (2, f"{tag}MIT AND GPL-2.0-only\n{tag}ISC"), (3, f"{tag}(MIT OR Apache-2.0\nx"), (4, f"{tag}OR"), (5, None),
+            (6, f"{tag}Apache-2.0 WITH LLVM-exception")]
+    got = {r.doc_id: r for r in S.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: [(e.postfix, e.complete, e.accepted) for e in r._expressions] for k, r in got.items()} == {
+        1: [("mit gpl-2.0-only or", True, True)], 2: [("mit gpl-2.0-only and", True, False), ("isc", True, True)],
+        3: [("mit apache-2.0 or", False, None)], 4: [], 5: [], 6: [("apache-2.0 llvm-exception with", True, True)]}
+    assert got[3]._expressions[0].licences == ["apache-2.0", "mit"] and got[3]._labels == [] and got[3]._score == 0.5 and got[4]._score == 0
