@@ -87,6 +87,22 @@ least AS (SELECT reach.r, min(doc_id) AS m FROM reach JOIN d ON d.r = t GROUP BY
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(m, doc_id) AS component_id FROM d LEFT JOIN n USING (r) LEFT JOIN least USING (r)
 """
 
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+  lambda x, b: list_reduce(list_prepend(xor(x, b), range(8)), lambda y, i: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)), 4294967295)"""
+OP11 = f"""
+WITH t AS (SELECT conv_id AS c, turn, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS x FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list(x ORDER BY turn NULLS FIRST, x.role, x.text) AS w FROM t GROUP BY c),
+h AS (SELECT o.c, o.w, coalesce(b.w, []) AS base, {_CRC.replace('c::', 'o.c::')} % 4 AS h FROM own o LEFT JOIN own b ON b.c = o.c - o.c % 20),
+s AS (SELECT c, list_concat(base[1:h], w[h + 1:len(w)]) AS w FROM h),
+p AS (SELECT c, len(w) AS n, unnest(range(0, len(w) + 1)) AS d, w FROM s),
+n AS (SELECT d, w[1:d] AS k, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256 FROM p GROUP BY ALL),
+kids AS (SELECT d - 1 AS d, k[1:d - 1] AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+v AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN n.d > 0 THEN (n_convs - 1) * len(regexp_extract_all(n.k[n.d].text, '{BLANK}')) ELSE 0 END AS saved FROM n LEFT JOIN kids USING (d, k)),
+up AS (SELECT a AS d, k[1:a] AS k, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT k, n_children, saved, unnest(range(0, d + 1)) AS a FROM v) GROUP BY ALL)
+SELECT v.conv_id, v.d AS depth, m.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, v.ends_sha256
+FROM v JOIN up USING (d, k) LEFT JOIN n m ON m.d = v.d - 1 AND m.k = v.k[1:v.d - 1]
+"""
+
 _TOKEN = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
 OP12 = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_TOKEN}') AS w, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
@@ -102,4 +118,4 @@ FROM p
 """
 
 ORACLES = {"op1_suffix_dedup": OP1, "op2_embedding_dedup": OP2, "op3_chat_format": OP3, "op4_decontaminate": OP4, "op6_url_filter": OP6, "op10_ngram_join": OP10,
-           "op12_fill_in_middle": OP12}
+           "op11_prefix_trie": OP11, "op12_fill_in_middle": OP12}

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, embedding_dedup, fill_in_middle, language_id, license_scan, lm_score, ngram_join, source_mix, suffix_dedup, url_filter
+from . import chat_format, decontaminate, embedding_dedup, fill_in_middle, language_id, license_scan, lm_score, ngram_join, prefix_trie, source_mix, suffix_dedup, url_filter
 from .common import show_code, table
 from .oracles import ORACLES  # noqa: F401
 
@@ -112,6 +112,12 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("_t", "_group")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each with its family's first turns."""
+    numbered = prefix_trie.number_turns(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(*prefix_trie.share_heads(numbered, family=20, most=4))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in fill-in-middle form, and read back."""
     made = fill_in_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -132,4 +138,4 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: _query(f) for f in (
     op1_suffix_dedup, op2_embedding_dedup, op3_chat_format, op4_decontaminate, op5_language_id, op6_url_filter, op7_license_scan, op8_lm_score, op9_source_mix, op10_ngram_join,
-    op12_fill_in_middle)}
+    op11_prefix_trie, op12_fill_in_middle)}
