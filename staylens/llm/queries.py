@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, embedding_dedup, fill_in_middle, language_id, license_scan, lm_score, ngram_join, prefix_trie, source_mix, suffix_dedup, url_filter
+from . import chat_format, decontaminate, embedding_dedup, fill_in_middle, language_id, license_scan, lm_score, ngram_join, prefix_trie, simhash, source_mix, suffix_dedup, url_filter
 from .common import show_code, table
 from .oracles import ORACLES  # noqa: F401
 
@@ -127,6 +127,11 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(fill_in_middle.restore(fim, form), 256).alias("restored_sha256"))
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their edited texts, and the groups of near fingerprints."""
+    return simhash.near_groups(simhash.compare_edited(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         show_code(spark)
@@ -138,4 +143,4 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: _query(f) for f in (
     op1_suffix_dedup, op2_embedding_dedup, op3_chat_format, op4_decontaminate, op5_language_id, op6_url_filter, op7_license_scan, op8_lm_score, op9_source_mix, op10_ngram_join,
-    op11_prefix_trie, op12_fill_in_middle)}
+    op11_prefix_trie, op12_fill_in_middle, op13_simhash)}
