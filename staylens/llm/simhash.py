@@ -24,8 +24,8 @@ WORD_WEIGHT, SHINGLE_WEIGHT = 1, 2
 RADIUS = 4
 #: Fingerprints of one block of a table's bucket; buckets of more are compared block by block.
 BLOCK = 1 << 14
-#: Term hashes whose bits a task holds at once.
-STEP = 1 << 16
+#: Bytes of text, and term hashes with their bits, that a task holds at once.
+TEXT_BYTES, STEP = 1 << 20, 1 << 13
 
 
 def fingerprints(data: np.ndarray, at: np.ndarray, words: int = WORDS) -> np.ndarray:
@@ -85,7 +85,7 @@ def fingerprint(docs: DataFrame, text: str = "text", words: int = WORDS) -> Data
     def block(rows: pa.RecordBatch, data: np.ndarray, at: np.ndarray) -> pa.Table:
         return pa.table({**{c: rows.column(c) for c in rows.schema.names}, "_fingerprint": _hex(fingerprints(data, at, words))})
 
-    return by_block(docs, schema, block, text)
+    return by_block(docs, schema, block, text, TEXT_BYTES)
 
 
 def half_edited(text: str, following: str) -> str:
@@ -124,7 +124,7 @@ def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = held = None  # the task's first text; the id, text and print that wait for the next
         for batch in batches:
-            for lo, hi, data, at in byte_blocks(batch.column("_text")):
+            for lo, hi, data, at in byte_blocks(batch.column("_text"), TEXT_BYTES):
                 ids, texts, prints = batch.column("_id").slice(lo, hi - lo), batch.column("_text").slice(lo, hi - lo).to_pylist(), fingerprints(data, at, words)
                 first = texts[0] if first is None else first
                 if held is not None:
