@@ -108,13 +108,18 @@ def scalars(df: DataFrame, blocks: list[str], by: list[str] | None = None, appro
     names = [name for b in blocks for name, _ in table[b]]
     exprs = [e.alias(name) for b in blocks for name, e in table[b] if approx or name not in MEDIANS]
     out = df.groupBy(*by).agg(*exprs) if by else df.agg(*exprs)
-    for name in [] if approx else [n for n in names if n in MEDIANS]:
-        mid = linear_quantiles(df, MEDIANS[name], {name: 0.5}, by)
+    medians = [] if approx else [n for n in names if n in MEDIANS]
+    if medians:  # all of them in one chain, as one long column
+        values = F.array(*[F.struct(F.lit(n).alias("what"), F.col(MEDIANS[n]).cast("double").alias("value")) for n in medians])
+        long = df.select(*by, F.explode(F.filter(values, lambda v: v["value"].isNotNull())).alias("v")).select(*by, "v.what", "v.value")
+        mid = linear_quantiles(long, "value", {"q": 0.5}, [*by, "what"])
+        wide = [F.max(F.when(F.col("what") == n, F.col("q"))).alias(n) for n in medians]
         if by:
-            keys = mid.select(*[F.col(k).alias(f"_{k}") for k in by], name)
+            keys = mid.groupBy(*[F.col(k).alias(f"_{k}") for k in by]).agg(*wide)
             out = out.join(keys, all_of([F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by]), "left").drop(*[f"_{k}" for k in by])
         else:
-            out = out.withColumn(name, mid.scalar())
+            one = mid.agg(F.struct(*wide)).scalar()
+            out = out.withColumns({n: one.getField(n) for n in medians})
     return out.select(*by, *names)
 
 
