@@ -7,12 +7,16 @@ change application itself runs through ``operators.changes``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import changes as A
 from ..operators.topk import recent
+from ..session import shared_path
 from ..sources.tables import read_table
+from ..streaming.change_stream import apply_batch, latest_snapshot, update_log
 from .catalog import bk, register, rounded
 from .sqltext import clean_ctes
 
@@ -115,8 +119,11 @@ _SNAP_SELECT = """SELECT CAST(id AS BIGINT) AS id, hotel, ROUND(adr, 6) AS adr,
 
 
 def _snapshot(spark, sf_dir, ops) -> DataFrame:
-    res = A.apply_changes(bk(spark, sf_dir), change_feed(spark, sf_dir, ops), now=CHANGE_STAMP)
-    snap = res["snapshot"].select("id", "hotel", "adr", "days_in_waiting_list", "total_of_special_requests",
+    return _shown(A.apply_changes(bk(spark, sf_dir), change_feed(spark, sf_dir, ops), now=CHANGE_STAMP)["snapshot"])
+
+
+def _shown(snapshot: DataFrame) -> DataFrame:
+    snap = snapshot.select("id", "hotel", "adr", "days_in_waiting_list", "total_of_special_requests",
                                   "booking_changes", "total_guests", F.round("revenue", 4).alias("revenue"), "waitlist_category",
                                   "has_special_requests")
     return rounded(snap)
@@ -150,6 +157,38 @@ def q_apply_changes(spark, sf_dir):
     return _snapshot(spark, sf_dir, ("add", "update", "delete"))
 
 
+#: Batches of the replayed feed; the table is compacted after COMPACT of them, so later ones are deltas on rewritten buckets.
+BATCHES, COMPACT = 3, 2
+
+
+def _replayed(spark, sf_dir) -> tuple[str, str]:
+    """(table, base) after the feed has gone through the merge-on-read table in BATCHES runs of ``seq``, the last batch twice."""
+    base, root = (shared_path(spark, f"feed-{n}-{uuid.uuid4().hex}") for n in ("base", "table"))
+    bk(spark, sf_dir).write.parquet(base)
+    feed = change_feed(spark, sf_dir)
+    lo, hi = feed.agg(F.min("seq"), F.max("seq")).first()
+    batch = F.least(F.floor((F.col("seq") - lo) * BATCHES / ((hi or 0) - (lo or 0) + 1)), F.lit(BATCHES - 1))
+    for k in [*range(BATCHES), BATCHES - 1]:
+        apply_batch(spark, root, base, feed.where(batch == k), k, CHANGE_STAMP, compact_after=COMPACT)
+    return root, base
+
+
+@register("change_table", _snap_sql(("add", "update", "delete")))
+def q_change_table(spark, sf_dir):
+    """T1 + A5: the feed replayed in three batches into a merge-on-read table (deltas, tombstones, one compaction)."""
+    return _shown(latest_snapshot(spark, *_replayed(spark, sf_dir)))
+
+
+@register("change_table_log", clean_ctes() + ", " + _feed_sql(("add", "update", "delete")) + """
+SELECT CAST(st.seq AS BIGINT) AS id, CASE st.op WHEN 'add' THEN 'add_booking' WHEN 'update' THEN 'update_booking' ELSE 'delete_booking' END AS operation,
+  CASE st.op WHEN 'add' THEN 'Added booking for Unknown' WHEN 'update' THEN 'Updated booking ID ' || CAST(st.id AS VARCHAR)
+       ELSE 'Deleted booking ID ' || CAST(st.id AS VARCHAR) END AS details
+FROM (SELECT seq, op, id, applied FROM st UNION ALL SELECT seq, op, id, true FROM ch WHERE op = 'add') st WHERE st.applied""")
+def q_change_table_log(spark, sf_dir):
+    """The whole log of the replayed feed; the batch that ran twice is there once."""
+    return update_log(spark, _replayed(spark, sf_dir)[0]).select("id", "operation", "details")
+
+
 @register("change_status", clean_ctes() + ", " + _feed_sql(("add", "update", "delete"))
           + "SELECT op, applied, CAST(count(*) AS BIGINT) AS n FROM (SELECT op, applied FROM st "
             "UNION ALL SELECT op, true FROM ch WHERE op = 'add') GROUP BY op, applied")

@@ -1,12 +1,10 @@
 """Change feed as a stream — file source of change records -> ``apply_changes`` per micro-batch.
 
-Each micro-batch is applied with ``foreachBatch`` and has a folder of its own: its
-changes (written once, so every later read sees the same rows), the new snapshot,
-its audit rows, and, last, the mark that makes it count, with the high-water id. A batch
-replayed after a failure (``foreachBatch`` is at-least-once) starts its folder anew if
-the mark is missing and is skipped if it is there, so nothing is applied or logged
-twice. Only a missing marks folder means that no batch was applied; a failing read
-is an error. Snapshots before the last ``KEEP`` are deleted.
+Each micro-batch reads the rows it names, applies its changes to them and commits the rows it made as a delta
+of a merge-on-read table (``sources.change_store``), so its work follows the batch, not the table. Its changes are written
+first, so every later read sees the same rows; its audit rows have a folder of their own; the commit comes last, with the
+high-water id. A batch replayed after a failure (``foreachBatch`` is at-least-once) is skipped if it is committed and
+done anew if not, so nothing is applied or logged twice.
 """
 
 from __future__ import annotations
@@ -15,58 +13,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.changes import apply_changes
+from ..operators.changes import DELETE, apply_changes
 from ..session import shared_path
-
-
-KEEP = 2
-
-
-def _path(spark: SparkSession, path: str):
-    """(file system, path) of the store that holds ``path``."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def _latest(spark: SparkSession, root: str) -> tuple[int, str, int] | None:
-    """(batch id, snapshot, high-water id) of the newest applied batch; None if no batch was applied."""
-    fs, marks = _path(spark, f"{root}/_applied")
-    if not fs.exists(marks):
-        return None
-    row = spark.read.parquet(f"{root}/_applied").agg(F.max(F.struct("batch_id", "path", "high_water")).alias("m")).first()
-    return tuple(row["m"]) if row["m"] is not None else None
+from ..sources import change_store as S
+from ..sources.schema import UPDATE_LOG_SCHEMA
 
 
 def apply_batch(spark: SparkSession, root: str, base_path: str, batch: DataFrame, batch_id: int,
-                now: str | None = None) -> None:
-    """Apply one micro-batch idempotently (skip a batch id already applied)."""
-    latest = _latest(spark, root)
-    if latest is not None and batch_id <= latest[0]:
+                now: str | None = None, compact_after: int = S.COMPACT_AFTER) -> None:
+    """Apply one micro-batch idempotently (skip a batch id already applied); the first one starts the table from ``base_path``."""
+    st = S.state(spark, root) or S.create(spark, root, spark.read.parquet(base_path))
+    if batch_id <= st.batch:
         return
     mine = f"{root}/batches/{batch_id:010d}"
     batch.write.mode("overwrite").parquet(f"{mine}/changes")
     changes = spark.read.schema(batch.schema).parquet(f"{mine}/changes")
-    current = spark.read.parquet(latest[1] if latest else base_path)
-    res = apply_changes(current, changes, high_water=latest[2] if latest else None, now=now)
-    res["snapshot"].write.mode("overwrite").parquet(f"{mine}/snapshot")
-    res["audit"].write.mode("overwrite").parquet(f"{mine}/update_log")
-    mark = res["high_water"].select(F.lit(batch_id).cast("long").alias("batch_id"), F.lit(f"{mine}/snapshot").alias("path"), F.col("id").alias("high_water"))
-    mark.coalesce(1).write.mode("append").parquet(f"{root}/_applied")
-    _expire(spark, root, batch_id)
-
-
-def _expire(spark: SparkSession, root: str, batch_id: int) -> None:
-    """Delete the snapshots (not the logs) of batches before the last KEEP applied ones."""
-    old = spark.read.parquet(f"{root}/_applied").where(F.col("batch_id") <= batch_id).orderBy(F.desc("batch_id")).select("path").collect()[KEEP:]
-    for r in old:
-        fs, p = _path(spark, r["path"])
-        fs.delete(p, True)
+    S.lookup(spark, root, changes.where(F.col("id").isNotNull()).select("id")).write.mode("overwrite").parquet(f"{mine}/targets")
+    targets = spark.read.schema(st.schema).parquet(f"{mine}/targets")
+    res = apply_changes(targets, changes, high_water=st.mark, now=now)
+    gone = res["status"].where(F.col("applied") & (F.col("op") == DELETE)).select("id")
+    S.append_once(res["audit"], root, batch_id)
+    S.merge(spark, root, batch_id, res["snapshot"], gone, res["high_water"].first()["id"], compact_after)
 
 
 def update_log(spark: SparkSession, root: str) -> DataFrame:
     """The audit rows of all applied batches."""
-    marks = [r["path"].removesuffix("snapshot") + "update_log" for r in spark.read.parquet(f"{root}/_applied").select("path").collect()]
-    return spark.read.parquet(*marks)
+    return S.read_log(spark, root, UPDATE_LOG_SCHEMA)
 
 
 def start_change_stream(spark: SparkSession, changes_dir: str, schema: T.StructType, base_path: str,
@@ -81,5 +53,5 @@ def start_change_stream(spark: SparkSession, changes_dir: str, schema: T.StructT
 
 
 def latest_snapshot(spark: SparkSession, root: str, base_path: str) -> DataFrame:
-    latest = _latest(spark, root)
-    return spark.read.parquet(latest[1] if latest else base_path)
+    """The table after the last applied batch."""
+    return S.read(spark, root) if S.state(spark, root) else spark.read.parquet(base_path)
