@@ -3,7 +3,7 @@
 Conditions are ``{column: value}`` (equality) or ``{column: {"gt"|"lt"|"eq": v, ...}}``;
 everything is AND-ed (the service's SQL path), so ``{"gt": a, "lt": b}`` is a
 range. Values become literals in a Column expression (never pasted into SQL
-text), so Parquet predicate pushdown applies to plain comparisons.
+text), so Parquet predicate pushdown applies to plain comparisons. Tables of cases: ``case_filters``.
 """
 
 from __future__ import annotations
@@ -46,13 +46,3 @@ def condition(conditions: dict[str, Any] | None, columns: list[str], on_unknown:
 def filter_bookings(df: DataFrame, conditions: dict[str, Any] | None, on_unknown: str = "error") -> DataFrame:
     """Rows meeting every condition (no conditions -> all rows)."""
     return df.where(condition(conditions, df.columns, on_unknown))
-
-
-def filter_specs_condition(specs: DataFrame) -> DataFrame:
-    """Normalise a ``filter_specs`` table (case_id, column, op, value) to one row per case.
-
-    Returned as (case_id, conds ARRAY<STRUCT<column, op, value>>) for callers that
-    apply per-case filters; used by the batch analytics path.
-    """
-    return specs.groupBy("case_id").agg(
-        F.array_sort(F.collect_list(F.struct("column", "op", "value"))).alias("conds"))

@@ -153,8 +153,9 @@ def token_hash_encoder(df: DataFrame, text: str, out: str = "embedding", dims: i
     """V1 offline encoder that plain SQL can repeat: a token counts in the dimension that the first four hex digits
     of its MD5 name (modulo ``dims``); L2-normalised by the scorers."""
     place = F.transform(tokens(text), lambda t: F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int") % dims)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter("_place", lambda p: p == d)).cast("double"))
-    return df.withColumn("_place", place).withColumn(out, counts).drop("_place")
+    count = lambda places: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(places, lambda p: p == d)).cast("double"))
+    # bound to a lambda variable, the places of a text are computed once, not once per dimension
+    return df.withColumn(out, F.element_at(F.transform(F.array(place), count), 1))
 
 
 def pandas_encoder(df: DataFrame, text: str, encode: Callable, dims: int, out: str = "embedding") -> DataFrame:

@@ -9,7 +9,7 @@ from ..operators import clean as C
 from ..operators import questions as Q
 from ..operators import report as R
 from ..operators import vectors as V
-from ..operators.filters import condition
+from ..operators.case_filters import match_cases
 from ..sources.tables import read_table
 from .catalog import bk, describe_sql, register, rounded
 from .fixtures import PAIRS, STRUCTURED_CASES, expected_df, questions_df, questions_values_sql
@@ -232,14 +232,36 @@ def q_keyword_accuracy(spark, sf_dir):
 # Structured analytics (F1/F2 + F18): filters and metric names per case
 # --------------------------------------------------------------------------
 
-def structured_frame(df: DataFrame, cases=STRUCTURED_CASES) -> DataFrame:
-    """Rows tagged with every case whose filter they satisfy, in ONE scan (no union, no join).
-
-    Each row carries an array of matching case ids (one predicate per case),
-    exploded into ``gid``; a row matching several cases appears once per case.
-    """
-    ids = F.array(*[F.when(condition(conds, df.columns, "ignore"), F.lit(i)) for i, (conds, _) in enumerate(cases, 1)])
-    return df.select("*", F.explode(F.filter(ids, lambda x: x.isNotNull())).alias("gid"))
+def case_tables(spark, cases=STRUCTURED_CASES) -> tuple[DataFrame, DataFrame]:
+    """The cases (gid) and their conditions (gid, column, op, value)."""
+    conds = [(i, c, op, str(v)) for i, (given, _) in enumerate(cases, 1) for c, x in given.items() for op, v in (x.items() if isinstance(x, dict) else [("eq", x)])]
+    return (spark.createDataFrame([(i,) for i in range(1, len(cases) + 1)], "gid int"),
+            spark.createDataFrame(conds, "gid int, column string, op string, value string"))
+
+
+@register("case_filter", clean_ctes() + """, m AS (SELECT unnest(['ignore', 'empty']) AS mode)
+SELECT mode, CAST(n_nationkey AS INT) AS case_id, CAST(count(*) AS BIGINT) AS n, ROUND(SUM(revenue), 4) AS revenue FROM m, nation JOIN bk ON country = n_name
+  AND CASE n_nationkey % 3 WHEN 0 THEN hotel = 'Resort Hotel' WHEN 1 THEN lead_time > n_nationkey * 10 ELSE adr < 1000 AND total_of_special_requests > 1 END GROUP BY ALL
+UNION ALL SELECT mode, CAST(100 + r_regionkey AS INT), CAST(count(*) AS BIGINT), ROUND(SUM(revenue), 4) FROM m, region JOIN bk ON lead_time > r_regionkey * 100 AND lead_time < r_regionkey * 100 + 150
+WHERE mode = 'ignore' OR r_regionkey <> 0 GROUP BY ALL""")
+def q_case_filter(spark, sf_dir):
+    """F4 + F18: cases from a table (one per nation: equality and ranges; one per region: ranges, one on an unknown column), in two modes."""
+    nation, region = (read_table(spark, sf_dir, t) for t in ("nation", "region"))
+    k = F.col("n_nationkey").cast("int")
+    text = lambda c: c.cast("string")
+    cond = lambda column, op, value: F.struct(F.lit(column).alias("column"), F.lit(op).alias("op"), value.alias("value"))
+    more = (F.when(k % 3 == 0, F.array(cond("hotel", "eq", F.lit("Resort Hotel")))).when(k % 3 == 1, F.array(cond("lead_time", "gt", text(k * 10))))
+            .otherwise(F.array(cond("adr", "lt", F.lit("1000")), cond("total_of_special_requests", "gt", F.lit("1")))))
+    by_nation = nation.select(k.alias("case_id"), F.explode(F.concat(F.array(cond("country", "eq", F.col("n_name"))), more)).alias("c"))
+    r = F.col("r_regionkey").cast("int")
+    by_region = region.select((100 + r).alias("case_id"), F.explode(F.concat(
+        F.array(cond("lead_time", "gt", text(r * 100)), cond("lead_time", "lt", text(r * 100 + 150))),
+        F.when(r == 0, F.array(cond("colour", "eq", F.lit("red")))).otherwise(F.array().cast("array<struct<column:string,op:string,value:string>>")))).alias("c"))
+    specs = by_nation.union(by_region).select("case_id", "c.*")
+    rows = bk(spark, sf_dir)
+    met = [match_cases(rows, specs.select("case_id").distinct(), specs, mode).groupBy(F.lit(mode).alias("mode"), "case_id").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("revenue"), 4).alias("revenue")) for mode in ("ignore", "empty")]
+    return rounded(met[0].union(met[1]))
 
 
 _CASES_SQL = """(SELECT 1 AS qid, * FROM bk WHERE arrival_date_month = 'July' AND arrival_date_year = 1997
@@ -254,7 +276,7 @@ SELECT qid AS case_id, metric, sub, key, ROUND(value, 6) AS value, CAST(ord AS I
   UNION ALL SELECT qid, m, NULL, NULL, CAST(count(*) AS DOUBLE), 0 FROM t, (VALUES ('total_records'), ('filtered_records')) AS x(m) GROUP BY qid, m)""")
 def q_structured_analytics(spark, sf_dir):
     """the six structured cases, each its filter + the blocks its metric names trigger."""
-    frame = structured_frame(bk(spark, sf_dir))
+    frame = match_cases(bk(spark, sf_dir), *case_tables(spark), "ignore", "gid")
     cases = spark.createDataFrame([(i, " ".join(m)) for i, (_, m) in enumerate(STRUCTURED_CASES, 1)],
                                   "qid int, text string")
     blocks = Q.question_blocks(cases)

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..operators import changes as A
+from ..operators import clean as C
+from ..operators import text_index as X
+from ..operators import vector_cells as W
 from ..operators import vectors as V
+from ..session import shared_path
+from ..sources import change_store as S
 from ..sources.tables import read_table
-from .catalog import register, rounded
+from .catalog import REGISTRY, bk, describe_sql, register, rounded
+from .catalog_changes import _UPD_COLS, CHANGE_STAMP, _feed_sql, change_feed
 from .fixtures import questions_df, questions_values_sql
+from .oracle_questions import encoded_ctes
+from .sqltext import clean_ctes
 
 _UNNEST = ("u AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x, "
            "generate_subscripts(embedding, 1) AS i FROM embeddings)")
@@ -43,6 +54,39 @@ def q_vector_topk_batch(spark, sf_dir):
     return rounded(out.select("qid", F.col("id").alias("vec_id"), "score", F.col("rank").cast("int").alias("rank")))
 
 
+@register("vector_cells_topk", REGISTRY["vector_topk_batch"].oracle)
+def q_vector_cells_topk(spark, sf_dir):
+    """V3 + V4: the same top-5 from a stored cell index, reading only cells whose bound reaches the fifth score."""
+    emb = read_table(spark, sf_dir, "embeddings")
+    queries = V.centroids(emb, "embedding", ["label"]).select(F.col("label").alias("qid"), F.col("centroid").alias("query"))
+    ix = W.build_index(emb.select(F.col("vec_id").alias("id"), "embedding"))
+    out = W.topk(spark, ix, queries, 5)[0]
+    return rounded(out.select("qid", F.col("id").alias("vec_id"), "score", F.col("rank").cast("int").alias("rank")))
+
+
+_REFRESH_SQL = clean_ctes() + ", " + _feed_sql(("update", "delete")) + """, snap2 AS (SELECT b.* REPLACE (
+""" + ",\n".join(f"    CASE WHEN f.{c}_s THEN f.{c}_v ELSE b.{c} END AS {c}" for c in _UPD_COLS) + """)
+  FROM bk b LEFT JOIN fold f USING (id) WHERE NOT COALESCE(f.deleted, false)), texts AS (""" + describe_sql("text").replace("FROM bk", "FROM snap2") + "),\n" + encoded_ctes("texts", "dv", "id") + """
+SELECT id, CAST(sum(c) AS BIGINT) AS n_tokens, CAST(sum(c * place) AS BIGINT) AS place_sum FROM dv GROUP BY id"""
+
+
+@register("index_refresh", _REFRESH_SQL)
+def q_index_refresh(spark, sf_dir):
+    """V7: a stored vector index of all bookings after a feed of updates and deletes; only changed rows are encoded and only their buckets read."""
+    base, root = (shared_path(spark, f"index-{n}-{uuid.uuid4().hex}") for n in ("base", "vectors"))
+    bk(spark, sf_dir).write.parquet(base)
+    rows = spark.read.parquet(base)
+    encode = lambda df: V.token_hash_encoder(C.describe(df), "description").select("id", "embedding")
+    S.create(spark, root, encode(rows))
+    res = A.apply_changes(rows, change_feed(spark, sf_dir, ("update", "delete")), now=CHANGE_STAMP)
+    done = res["status"].where("applied")
+    changed = res["snapshot"].join(done.where(F.col("op") == A.UPDATE).select("id").distinct(), "id", "left_semi")
+    S.merge(spark, root, 0, encode(changed), done.where(F.col("op") == A.DELETE).select("id").distinct())
+    places = F.zip_with("embedding", F.sequence(F.lit(0), F.size("embedding") - 1), lambda c, i: c * i)
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x).cast("long")
+    return S.read(spark, root).select("id", total("embedding").alias("n_tokens"), total(places).alias("place_sum"))
+
+
 _TOK = "'[\\p{L}\\p{N}]+'"
 
 
@@ -63,7 +107,7 @@ s AS (SELECT dp.qid, dp.doc_id, CASE WHEN dn.dn * qn.qn = 0 THEN 0.0 ELSE dp.dp
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY ROUND(score, 9) DESC, doc_id) AS rank FROM s)
 SELECT qid, doc_id, ROUND(score, 6) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5""")
 def q_text_topk(spark, sf_dir):
-    """V1 (corpus TF-IDF) + V4: top-5 whole documents for each fixed question."""
+    """V1 (corpus TF-IDF) + V4: top-5 whole documents for each fixed question, from a stored inverted index with block maxima."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = V.tfidf_topk(docs, questions_df(spark), 5)
+    out = X.search(spark, X.build_index(docs), questions_df(spark), 5)
     return rounded(out.select("qid", "doc_id", "score", F.col("rank").cast("int").alias("rank")))

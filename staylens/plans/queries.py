@@ -5,3 +5,4 @@ from . import catalog_questions  # noqa: F401
 from . import catalog_vectors  # noqa: F401
 from . import catalog_changes  # noqa: F401
 from . import catalog_history  # noqa: F401
+from . import catalog_io  # noqa: F401

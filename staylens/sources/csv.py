@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .json_array import read_elements
 from .schema import CSV_NULL_TOKENS, RAW_FIELDS
 
 
@@ -48,10 +49,7 @@ def read_payload(spark: SparkSession, path: str, layout: str = "lines", fields=R
     if layout == "lines":
         text = spark.read.text(path).where(F.length(F.trim("value")) > 0)
     elif layout == "array":
-        files = spark.read.option("wholetext", True).text(path)
-        items = F.from_json("value", T.ArrayType(T.StringType()))
-        # a file that is no array is one invalid row
-        text = files.select(F.explode(F.coalesce(items, F.array("value"))).alias("value"))
+        text = read_elements(spark, path)  # a file that is no array is one invalid row
     else:
         raise ValueError(f"unknown layout {layout!r}")
     as_map = F.from_json("value", T.MapType(T.StringType(), T.StringType()))

@@ -32,3 +32,30 @@ def test_json_sinks(spark, tmp_path):
     sinks.append_log(df.select("id", "s"), str(tmp_path / "log"))
     sinks.append_log(df.select("id", "s"), str(tmp_path / "log"))
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+
+
+def test_a_failed_write_is_never_seen_and_scans_skip_files(spark, monkeypatch):
+    import uuid
+
+    import pytest
+
+    from staylens.session import shared_path
+    from staylens.sources import snapshots as N
+
+    root = shared_path(spark, f"snap-{uuid.uuid4().hex}")
+    rows = spark.range(1000).select("id", (F.col("id") % 7).cast("int").alias("lead_time"), F.when(F.col("id") % 2 == 0, "A b%+:é").otherwise("B").alias("hotel"),
+                                    (2000 + F.col("id") / 100).cast("int").alias("arrival_date_year"), F.lit(None).cast("double").alias("adr"))
+    N.publish(rows, root)
+    with monkeypatch.context() as m:  # killed between its data files and its manifest
+        m.setattr(N, "versions", lambda *a: (_ for _ in ()).throw(OSError("killed")))
+        with pytest.raises(OSError):
+            N.publish(rows.where("id < 5"), root)
+    assert N.scan(spark, root).count() == 1000 and len(N.versions(spark, root)) == 1
+    bounds = {"arrival_date_year": (2003, 2004), "lead_time": (2, None)}
+    got = sorted(r["id"] for r in N.scan(spark, root, bounds).collect())
+    assert got == sorted(r["id"] for r in rows.where("arrival_date_year BETWEEN 2003 AND 2004 AND lead_time >= 2").collect())
+    all_files, some = N.files(spark, N.versions(spark, root)[-1]), N.files(spark, N.versions(spark, root)[-1], bounds)
+    assert 0 < some.count() < all_files.count()
+    assert N.scan(spark, root, {"id": (5000, None)}).collect() == [] and N.scan(spark, root, {"adr": (0.0, None)}).collect() == []
+    N.publish(rows.where("id < 5"), root)
+    assert N.scan(spark, root).count() == 5 and N.scan(spark, root, version=0).count() == 1000
