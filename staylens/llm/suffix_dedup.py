@@ -9,6 +9,7 @@ string of LENGTH bytes around its anchor can cover: LENGTH - GRAM bytes before i
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ from .hashing import prefix_sums
 
 LENGTH = 200
 GRAM = 64
-#: Buckets of more contexts than this are split; what a part can't settle alone is settled over all tasks.
+#: Buckets of more contexts than this are divided by how much of a string lies before the anchor.
 WIDE = 2048
 #: Bytes of text whose hashes a task holds at once.
 ANCHOR_BYTES = _SPAN = 1 << 20
@@ -120,40 +121,52 @@ def repeats(suffixes: list[tuple[bytes, bytes]], length: int) -> tuple[list[tupl
 
 
 def _anchored(rows: DataFrame, id_type: str, length: int, gram: int) -> DataFrame:
-    """(h, c, _id, loc) of each anchor; loc holds a 32-bit hash of the row's text and the place."""
+    """(h, c, _id, _t, loc) of each anchor; loc holds the row's ``_u`` and the place."""
 
     def block(part: pa.RecordBatch, data: np.ndarray, at: np.ndarray) -> pa.Table | None:
         place, doc, h, c = anchors(data, at, length, gram)
         if not len(place):
             return None
-        loc = part.column("_t").to_numpy().astype(np.int64)[doc] << 32 | (place - at[doc])
-        return pa.table({"h": h.view(np.int64), "c": c.view(np.int64), "_id": part.column("_id").take(pa.array(doc)), "loc": loc})
+        loc = part.column("_u").to_numpy().astype(np.int64)[doc] << 32 | (place - at[doc])
+        row = pa.array(doc)
+        return pa.table({"h": h.view(np.int64), "c": c.view(np.int64), "_id": part.column("_id").take(row), "_t": part.column("_t").take(row), "loc": loc})
 
-    return by_block(rows, f"h long, c long, _id {id_type}, loc long", block, "_text", ANCHOR_BYTES)
+    return by_block(rows, f"h long, c long, _id {id_type}, _t long, loc long", block, "_text", ANCHOR_BYTES)
+
+
+#: What names a row: its id and 96 bits of hashes of its text (rows alike in both have the same spans).
+_ROW = ["_id", "_t", "_u"]
+
+
+def _named(text: str) -> tuple:
+    return F.xxhash64(text).alias("_t"), F.hash(text).alias("_u")
+
+
+def _same_row(a: str, b: str):
+    return F.col(f"{a}._t").eqNullSafe(F.col(f"{b}._t")) & F.col(f"{a}._u").eqNullSafe(F.col(f"{b}._u")) & F.col(f"{a}._id").eqNullSafe(F.col(f"{b}._id"))
 
 
 def repeat_occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, wide: int = WIDE,
                        groups: bool = False) -> DataFrame:
-    """(_id, _t, start, stop, and with ``groups`` group) of covered byte ranges, a row per anchor and range; they overlap.
+    """(_id, _t, _u, start, stop, and with ``groups`` group) of covered byte ranges, a row per anchor and range; they overlap.
 
     With ``groups``, a row is an occurrence of a maximal repeat as far as an anchor's context shows it: ``group`` names the repeat,
-    and all its occurrences are there. Buckets of over ``wide`` contexts are split, and their groups are those of a part (null
-    across parts).
+    and all its occurrences are there. In buckets of over ``wide`` contexts a repeat is shown as far as its range of the bucket shows it.
     """
     id_type = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(F.col(doc_id).alias("_id"), F.hash(text).alias("_t"), F.col(text).alias("_text")).where(F.octet_length("_text") >= length)
+    rows = docs.select(F.col(doc_id).alias("_id"), *_named(text), F.col(text).alias("_text")).where(F.octet_length("_text") >= length)
     found = _anchored(rows, id_type, length, gram)
     before = length - gram
     shared = found.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("m > 1")
     shared = stage(shared.select("h", (F.col("c0") == F.col("c1")).alias("one")), "suffix-shared")  # staged: a hot h is then split in the join
     hits = stage(found.join(shared, "h"), "suffix-hits")
+    text_hash = F.shiftright("loc", 32).cast("int").alias("_u")
     # contexts of buckets that hold several, each with its weight and one place
-    several = hits.where("not one").groupBy("h", "c").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.col("_id").isNull().alias("z"), "_id", "loc")).alias("r"))
-    several = stage(several.select("h", "c", "m", F.col("r._id").alias("_id"), (F.shiftright("r.loc", 32)).cast("int").alias("_t"),
-                                   F.col("r.loc").bitwiseAND(0xFFFFFFFF).alias("at")), "suffix-contexts")
-    wanted = several.groupBy("_id", "_t").agg(F.collect_list(F.struct("h", "c", "m", "at")).alias("w"))
-    texts = (rows.alias("d").join(wanted.alias("w"), F.col("d._t").eqNullSafe(F.col("w._t")) & F.col("d._id").eqNullSafe(F.col("w._id")))
-             .select(F.col("d._text").alias("_text"), F.col("w.w").alias("w")))
+    several = hits.where("not one").groupBy("h", "c").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.col("_id").isNull().alias("z"), "_id", "_t", "loc")).alias("r"))
+    several = stage(several.select("h", "c", "m", "r._id", "r._t", "r.loc").select("h", "c", "m", "_id", "_t", text_hash, F.col("loc").bitwiseAND(0xFFFFFFFF).alias("at")),
+                    "suffix-contexts")
+    wanted = several.groupBy(*_ROW).agg(F.collect_list(F.struct("h", "c", "m", "at")).alias("w"))
+    texts = rows.alias("d").join(wanted.alias("w"), _same_row("d", "w")).select(F.col("d._text").alias("_text"), F.col("w.w").alias("w"))
 
     def cut(part: pa.RecordBatch, data: np.ndarray, at: np.ndarray) -> pa.Table:
         raw = data.tobytes()
@@ -171,44 +184,110 @@ def repeat_occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     contexts = by_block(texts, "h long, c long, m long, l binary, r binary", cut, "_text")
     sizes = several.groupBy("h").agg(F.count(F.lit(1)).alias("k"))
     contexts = stage(contexts.join(sizes.hint("merge"), "h").dropDuplicates(["h", "c"]), "suffix-cut")
-    buckets = max(partitions(docs.sparkSession), blocks_for(several.count() * 2 * length, 32 << 20))
-    schema = "h long, c long, group long, a int, b int"
+    narrow = contexts.where(F.col("k") <= wide).select("h", F.col("h").alias("key"), "c", "m", "l", "r")
+    covers = [stage(_trees(narrow, blocks_for(several.count() * 2 * length, 32 << 20), length, gram, groups), "suffix-covers").drop("key")]
+    covers += _divided(contexts.where(F.col("k") > wide), length, gram, wide, groups)
+    covers = functools.reduce(DataFrame.unionByName, covers)
+    if not groups:
+        covers = covers.groupBy("h", "c").agg(F.max("a").alias("a"), F.max("b").alias("b")).withColumn("group", F.lit(None).cast("long"))
+    place = F.col("loc").bitwiseAND(0xFFFFFFFF)
+    whole = hits.where("one").select("_id", "_t", text_hash, F.greatest(place - before, F.lit(0)).alias("start"), (place + length).alias("stop"), F.col("c").alias("group"))
+    part = (hits.where("not one").join(covers.hint("merge"), ["h", "c"])
+            .select("_id", "_t", text_hash, (place - F.col("a")).alias("start"), (place + F.col("b")).alias("stop"), "group"))
+    return whole.union(part)
+
+
+def _trees(members: DataFrame, buckets: int, length: int, gram: int, groups: bool) -> DataFrame:
+    """(h, key, c, group, a, b): how far before and behind the anchor each member (h, key, c, m, l, r) of a bucket (h, key) is covered;
+    with ``groups`` a row for each maximal repeat it is in. Buckets meet in tasks by hash, whole."""
+    schema = "h long, key long, c long, group long, a int, b int"
 
     def tree(group: pa.Table) -> pa.Table:
-        order = np.lexsort((group.column("salt").to_numpy(), group.column("h").to_numpy()))
+        order = np.lexsort((group.column("key").to_numpy(), group.column("h").to_numpy()))
         group = group.combine_chunks().take(pa.array(order))
-        h, c, m, salt = (group.column(x).to_numpy() for x in ("h", "c", "m", "salt"))
+        h, key, c, m = (group.column(x).to_numpy() for x in ("h", "key", "c", "m"))
         left, right = group.column("l").to_pylist(), group.column("r").to_pylist()
         out: list[tuple] = []
-        new = np.flatnonzero((h[1:] != h[:-1]) | (salt[1:] != salt[:-1])) + 1
-        cuts = np.concatenate([[0], new, [len(h)]])
+        cuts = np.concatenate([[0], np.flatnonzero((h[1:] != h[:-1]) | (key[1:] != key[:-1])) + 1, [len(h)]])
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             cover, found = repeats(list(zip(left[lo:hi], right[lo:hi], strict=True)), length)
             if groups:
                 for a, b, members in found:
                     s = members[0]
                     if (name := _name(left[lo + s][:a][::-1] + right[lo + s][:b], a, length, gram)) is not None:
-                        out += [(h[lo], c[lo + k], name, a, b) for k in members]
+                        out += [(h[lo], key[lo], c[lo + k], name, a, b) for k in members]
             for k in range(lo, hi):
                 a, b = cover[k - lo]
                 if m[k] > 1 and len(left[k]) + len(right[k]) >= length:  # the whole context occurs again
                     a, b = len(left[k]), len(right[k])
                     if groups and (name := _name(left[k][::-1] + right[k], a, length, gram)) is not None:
-                        out.append((h[k], c[k], name, a, b))
+                        out.append((h[k], key[k], c[k], name, a, b))
                 if a + b and not groups:
-                    out.append((h[k], c[k], None, a, b))
+                    out.append((h[k], key[k], c[k], None, a, b))
         return pa.table({n: pa.array([o[k] for o in out], t) for k, (n, t) in enumerate(
-            (("h", pa.int64()), ("c", pa.int64()), ("group", pa.int64()), ("a", pa.int32()), ("b", pa.int32())))})
-
-    salt = F.pmod(F.xxhash64("c"), F.ceil(F.col("k") / wide))
-    parted = contexts.withColumn("salt", salt).withColumn("bucket", F.pmod(F.xxhash64("h", "salt"), F.lit(buckets)))
-    covers = stage(parted.groupBy("bucket").applyInArrow(tree, schema), "suffix-covers")
-    covers = covers.union(_across(contexts.where(F.col("k") > wide), covers, length))
-    place, text_hash = F.col("loc").bitwiseAND(0xFFFFFFFF), F.shiftright("loc", 32).cast("int").alias("_t")
-    whole = hits.where("one").select("_id", text_hash, F.greatest(place - before, F.lit(0)).alias("start"), (place + length).alias("stop"), F.col("c").alias("group"))
-    part = (hits.where("not one").join(covers.hint("merge"), ["h", "c"])
-            .select("_id", text_hash, (place - F.col("a")).alias("start"), (place + F.col("b")).alias("stop"), "group"))
-    return whole.union(part)
+            (("h", pa.int64()), ("key", pa.int64()), ("c", pa.int64()), ("group", pa.int64()), ("a", pa.int32()), ("b", pa.int32())))})
+
+    n = max(partitions(members.sparkSession), buckets)
+    return members.withColumn("bucket", F.pmod(F.xxhash64("h", "key"), F.lit(n))).groupBy("bucket").applyInArrow(tree, schema)
+
+
+def halves(lo: int, hi: int) -> list[tuple[int, int]]:
+    return [(lo, (lo + hi) // 2), ((lo + hi) // 2 + 1, hi)]
+
+
+def _divided(contexts: DataFrame, length: int, gram: int, wide: int, groups: bool) -> list[DataFrame]:
+    """Covers (h, c, group, a, b) of buckets of over ``wide`` contexts.
+
+    A string of ``length`` bytes has n bytes before the anchor, 0 <= n <= length - gram. All strings with lo <= n <= hi share the lo bytes
+    before the anchor and the length - hi from it on, so equal ones meet in the bucket of these bytes; and only hi bytes before and
+    length - lo behind matter there, so contexts that agree on those are one class. The range of n is halved until a bucket has few
+    classes, which then go through the tree; at the latest when lo = hi, where a bucket is one class. So each round makes two
+    rows for a context of a bucket still wide, and every bucket is whole.
+    """
+    out: list[DataFrame] = []
+    rows = contexts.select("h", "c", "m", "l", "r", F.lit(0).alias("lo"), F.lit(length - gram).alias("hi"))
+    schema = "h long, c long, m long, lo int, hi int, key long, cls long, a int, b int"
+
+    def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in schema.split(", ")]
+        for batch in batches:
+            got: list[list] = [[] for _ in names[3:]]
+            who = []
+            for k, (left, right, lo, hi) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("l", "r", "lo", "hi")), strict=True)):
+                for a, b in halves(lo, hi):
+                    if len(left) < a or len(right) < length - b:
+                        continue
+                    mine, to = left[:b], right[: length - a]
+                    key, cls = (int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), signed=True)
+                                for x in (left[:a] + right[: length - b], len(mine).to_bytes(4) + mine + to))
+                    who.append(k)
+                    for column, value in zip(got, (a, b, key, cls, len(mine), len(to)), strict=True):
+                        column.append(value)
+            take = pa.array(who, pa.int64())
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x).take(take) for x in names[:3]), *(pa.array(g, t) for g, t in zip(got, kinds, strict=True))], names)
+
+    bucket = ["h", "lo", "hi", "key"]
+    while not rows.isEmpty():
+        parts = stage(rows.mapInArrow(halve, schema), "suffix-halves")
+        classes = parts.groupBy(*bucket, "cls").agg(F.sum("m").alias("m"), F.min("c").alias("rep"), F.max("a").alias("a"), F.max("b").alias("b"))
+        classes = stage(classes, "suffix-classes")
+        sizes = stage(classes.groupBy(*bucket).agg(F.count(F.lit(1)).alias("k"), F.sum("m").alias("n")).where("n > 1"), "suffix-sizes")
+        sized = stage(classes.join(sizes.where(F.col("k") <= wide), bucket), "suffix-few")
+        # classes alone in their bucket share all of it; the others need the tree, on the bytes of one of their contexts
+        alone = sized.where("k = 1 and a + b >= " + str(length)).select(*bucket, "cls", F.lit(None).cast("long").alias("group"), "a", "b")
+        texts = contexts.select("h", F.col("c").alias("rep"), "l", "r")
+        name = F.xxhash64("lo", "hi", "key")
+        trees = (sized.where("k > 1").join(texts.hint("merge"), ["h", "rep"])
+                 .select("h", name.alias("key"), F.col("cls").alias("c"), "m", F.expr("substring(l, 1, hi)").alias("l"), F.expr(f"substring(r, 1, {length} - lo)").alias("r")))
+        trees = _trees(trees, 1, length, gram, groups).withColumnsRenamed({"c": "cls", "key": "name"})
+        found = stage(alone.withColumn("name", name).select("h", "name", "cls", "group", "a", "b").unionByName(trees), "suffix-found")
+        if groups:  # a class alone is a repeat of its own
+            found = found.withColumn("group", F.coalesce("group", F.xxhash64("h", "cls")))
+        out.append(parts.select("h", "c", "cls", name.alias("name")).join(found.hint("merge"), ["h", "name", "cls"]).select("h", "c", "group", "a", "b"))
+        still = parts.join(sizes.where(F.col("k") > wide), bucket).select("h", "c", "lo", "hi")
+        rows = contexts.select("h", "c", "m", "l", "r").join(stage(still, "suffix-open").hint("merge"), ["h", "c"])
+    return out
 
 
 def _name(text: bytes, at: int, length: int, gram: int) -> int | None:
@@ -219,46 +298,14 @@ def _name(text: bytes, at: int, length: int, gram: int) -> int | None:
     return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), signed=True)
 
 
-def _across(contexts: DataFrame, covers: DataFrame, length: int) -> DataFrame:
-    """Covers that contexts of split buckets get from other parts: every string of ``length`` bytes is a node of depth
-    ``length`` of the interval tree; nodes meet by their hash, counted in the tasks first, and only those that no
-    part has covered are joined with the counts, so no bucket is ever in one task."""
-
-    def nodes(batches):
-        for batch in batches:
-            for lo in range(0, len(batch), 512):
-                part = batch.slice(lo, 512)
-                left, right = part.column("l").to_pylist(), part.column("r").to_pylist()
-                size = np.array([len(a) + len(b) for a, b in zip(left, right, strict=True)], np.int64)
-                data = np.frombuffer(b"".join(a[::-1] + b for a, b in zip(left, right, strict=True)), np.uint8)
-                h, down = prefix_sums(data)
-                n = np.maximum(size - length + 1, 0)
-                who = np.repeat(np.arange(len(size)), n)
-                s = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                at = (np.cumsum(size) - size)[who] + s
-                key = mix64((h[at + length] - h[at]) * down[at])
-                before = np.array([len(a) for a in left], np.int64)[who] - s
-                a, b = (part.column(x).to_numpy()[who] for x in "ab")
-                take = pa.array(who)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(part.column(c).take(take) for c in ("h", "c", "m")), pa.array(before.astype(np.int32)),
-                                                  pa.array((length - before).astype(np.int32)), pa.array((before > a) | (length - before > b))],
-                                                 ["w", "h", "c", "m", "a", "b", "open"])
-
-    known = covers.groupBy("h", "c").agg(F.max("a").alias("a"), F.max("b").alias("b"))
-    rows = contexts.join(known.hint("merge"), ["h", "c"], "left").select("h", "c", "m", "l", "r", *(F.coalesce(x, F.lit(0)).alias(x) for x in "ab"))
-    found = rows.mapInArrow(nodes, "w long, h long, c long, m long, a int, b int, open boolean")
-    # a string that occurs again has the same anchor at the same place; it may hold others, which must not count it twice
-    node = ["w", "h", "a"]
-    again = found.groupBy(*node).agg(F.sum("m").alias("n"), F.max("open").alias("o")).where("n > 1 and o").select(*node)
-    return (found.where("open").join(again.hint("merge"), node).groupBy("h", "c").agg(F.max("a").alias("a"), F.max("b").alias("b"))
-            .select("h", "c", F.lit(None).cast("long").alias("group"), "a", "b"))
-
-
 def with_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """``docs`` plus ``_spans``: the places of ``repeat_occurrences`` in each row's text (null if none)."""
     found = repeat_occurrences(docs, doc_id, text, length)
-    per_doc = found.groupBy("_id", "_t").agg(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))).alias("_spans"))
-    cond = F.col(f"d.`{doc_id}`").eqNullSafe(F.col("s._id")) & F.hash(F.col(f"d.`{text}`")).eqNullSafe(F.col("s._t"))
+    per_doc = found.groupBy(*_ROW).agg(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))).alias("_spans"))
+    named, hashed = F.col(f"d.`{text}`"), (F.xxhash64, F.hash)
+    cond = F.col(f"d.`{doc_id}`").eqNullSafe(F.col("s._id"))
+    for column, f in zip(_ROW[1:], hashed, strict=True):
+        cond &= f(named).eqNullSafe(F.col(f"s.{column}"))
     return docs.alias("d").join(per_doc.hint("merge").alias("s"), cond, "left").select("d.*", F.col("s._spans").alias("_spans"))
 
 

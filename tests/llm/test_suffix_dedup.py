@@ -2,6 +2,9 @@ import hashlib
 import random
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 from staylens.llm import suffix_dedup as S
 
 
@@ -36,10 +39,31 @@ def test_equals_brute_force(corpus, corpus_df):
     assert any(w[3] for w in want)
 
 
-def test_wide_buckets_equal_narrow_ones(corpus_df, monkeypatch):
-    narrow = got(corpus_df)
-    monkeypatch.setattr(S.repeat_occurrences, "__defaults__", ("doc_id", "text", S.LENGTH, S.GRAM, 1, False))
-    assert got(corpus_df) == narrow
+@pytest.mark.parametrize("wide", [1, 4])
+def test_wide_buckets_equal_brute_force(spark, corpus, corpus_df, monkeypatch, wide):
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    core, variants = text(260), []
+    for k in range(40):  # one passage, whole or cut, between texts of their own: many contexts of the same grams
+        a, b = rng.choice([(0, 260), (0, 199), (30, 260), (20, 221), (61, 260)])
+        variants.append((3000 + k, text(rng.randint(0, 300)) + core[a:b] + text(rng.randint(0, 300))))
+    rows = corpus + variants
+    monkeypatch.setattr(S.repeat_occurrences, "__defaults__", ("doc_id", "text", S.LENGTH, S.GRAM, wide, False))
+    want = sorted((i is None, i, *p) for (i, _), p in zip(rows, plain(rows, S.LENGTH), strict=True))
+    assert got(corpus_df.union(spark.createDataFrame(variants, "doc_id long, text string"))) == want
+
+
+def test_rows_of_one_id_and_like_hashes_keep_their_own_spans(spark, monkeypatch):
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    shared = text(288)
+    rows = [(None, shared + text(64)), (None, text(900)), (None, text(40) + shared), (None, text(500))]
+    monkeypatch.setattr(S, "_named", lambda t: (F.xxhash64(t).alias("_t"), F.lit(7).alias("_u")))  # 32 bits that are alike
+    monkeypatch.setattr(S, "_same_row", lambda a, b: F.col(f"{a}._t").eqNullSafe(F.col(f"{b}._t")) & F.col(f"{a}._id").eqNullSafe(F.col(f"{b}._id")))
+    found = S.repeat_occurrences(spark.createDataFrame(rows, "doc_id long, text string")).select("_t", "start", "stop").collect()
+    assert len({r._t for r in found}) == 2
+    monkeypatch.undo()
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == sorted((True, None, *p) for p in plain(rows, S.LENGTH))
 
 
 def test_intervals_and_maximal_repeats():
