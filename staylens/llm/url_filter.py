@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh_name
+
 PREFIX_HEX = 8
 
 
@@ -32,7 +34,7 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, url: str = "url", default:
     ``default``). Rules with a null part or an empty host are ignored, repeated rules count once; null and
     malformed urls fit no rule; repeated rows each get their row; an empty rule table gives ``default``
     everywhere. Verdicts are computed once per distinct url, so a url that fills a third of the rows is one
-    row until the last join, whose skewed side AQE splits.
+    row until the last join, whose skewed side AQE splits. Columns named like the added ones are replaced, all others are kept.
     """
     rules = (rules.select("host", "path", "action").where("host is not null and path is not null and action is not null and host != ''").distinct()
              .select(F.concat("host", "path").alias("rule"), "action", F.sha2(F.concat_ws("\x01", "host", "path"), 256).alias("digest"),
@@ -54,6 +56,7 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, url: str = "url", default:
     hits = (keyed.join(best, F.substring("_digest", 1, PREFIX_HEX) == F.col("short"))
             .where(F.col("_digest") == F.col("digest")).groupBy("_url").agg(F.max("best").alias("_best")))
     host, path = url_parts(F.col(url))
-    return (pages.withColumn("_url", F.coalesce(F.col(url), F.lit(""))).join(hits, "_url", "left")
-            .withColumns({"_host": host, "_path": path, "_rule": F.col("_best.r"), "_verdict": F.coalesce("_best.a", F.lit(default))})
-            .drop("_url", "_best"))
+    key, best = fresh_name(pages, "_url"), fresh_name(pages, "_best")
+    return (pages.withColumn(key, F.coalesce(F.col(url), F.lit(""))).join(hits.withColumnsRenamed({"_url": key, "_best": best}), key, "left")
+            .withColumns({"_host": host, "_path": path, "_rule": F.col(f"{best}.r"), "_verdict": F.coalesce(f"{best}.a", F.lit(default))})
+            .drop(key, best))

@@ -40,3 +40,10 @@ def test_query_is_native(spark, sf_small):
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
     pages = spark.read.parquet(f"{sf_small}/pages.parquet").collect()
     assert sorted(tuple(r) for r in out.collect()) == sorted((p.page_id, *plain(p.url, URL_RULES)) for p in pages)
+
+
+def test_clashing_columns_are_kept(spark):
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    pages = spark.createDataFrame([(1, "http://x.net/es/", "mine", 4, "old")], "page_id long, url string, _url string, _best int, _rule string")
+    r = U.url_verdicts(pages, rules).collect()[0]
+    assert (r._url, r._best, r._rule, r._verdict) == ("mine", 4, "net/es/", "block")
