@@ -43,6 +43,11 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, exactly, so that no square or product of theirs overflows or vanishes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1]) if x.size else x
+
+
 def valid(embedding: Column) -> Column:
     """Not null, not zero, no null or non-finite component."""
     fine = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -58,7 +63,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     row that bears it.
 
     Equal vectors are one class with a weight, so copies are never compared. Spherical k-means on at most
-    ``sample`` classes (the first by hash) gives about sqrt(classes) cells, at most sample / 16; every class
+    ``sample`` classes (drawn by hash) gives about sqrt(classes) cells, at most sample / 16; every class
     is assigned its own cell and visits the next ``probes`` cells; a pair is compared where one of the two is
     at home, once. A cell of more than ``block`` rows is split into blocks and each pair of blocks is a group of
     its own, so a cell of any size spreads over tasks. A group returns, per class, the weight of its links and
@@ -91,7 +96,10 @@ def _cells(classes: DataFrame, probes: int, sample: int, block: int) -> DataFram
     """(unit, cell, at, cid, w, visits, _e): each class in every pair of blocks (unit) of its cell and visited cells."""
     spark = classes.sparkSession
     total = classes.count()
-    drawn = classes.select("_e").orderBy(F.xxhash64("_e")).limit(sample).toArrow().column("_e").combine_chunks()
+    drawn = classes.select("_e")
+    if total > sample:  # about ``sample`` of them by hash, whatever the number of tasks
+        drawn = drawn.where(F.pmod(F.xxhash64("_e"), F.lit(1 << 30)) < int(sample / total * (1 << 30)))
+    drawn = drawn.toArrow().column("_e").combine_chunks()
     sizes = np.array([len(x) for x in drawn], np.int64)
     centres: dict[int, tuple[int, np.ndarray]] = {}
     first = 0
@@ -134,7 +142,7 @@ def _compare(units: DataFrame, threshold: float, block: int) -> DataFrame:
         group = group.combine_chunks()
         col = {c: group.column(c).to_numpy() for c in ("cid", "w", "at")}
         cell, i, j = (group.column(c)[0].as_py() for c in ("cell", "i", "j"))
-        x = matrix(group.column("_e").combine_chunks())
+        x = scaled(matrix(group.column("_e").combine_chunks()))
         visits = group.column("visits").combine_chunks()
         visits = visits.flatten().to_numpy().reshape(len(x), -1)
         home = visits[:, 0]

@@ -62,3 +62,9 @@ def test_given_table(spark, sf_small):
 
 def test_empty(spark):
     assert rows_of(spark.createDataFrame([], "vec_id long, embedding array<float>")) == []
+
+
+def test_extreme_magnitudes_and_clashing_columns(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1.01e200]), (3, [1e-200, 1e-200]), (4, [1e-300, -1e-300]), (5, [1.0, -1.0]), (6, [5e-324, 0.0])]
+    df = spark.createDataFrame([(i, v, 7, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, n_links int, _e string, cid int")
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in E.near_duplicates(df).collect()) == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 1, 4), (5, 1, 4), (6, 0, 6)]
