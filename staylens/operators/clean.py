@@ -78,26 +78,32 @@ def impute(df: DataFrame, columns: list[str] | None = None, exclude: tuple[str,
         if f.nullable and f.name not in exclude and (_is_numeric(f.dataType) or isinstance(f.dataType, T.StringType))]
     if not todo:
         return df
-    # one pass: every value of every column is counted (in the tasks first), so no task holds a column's values
-    pairs = F.array(*[F.struct(F.lit(i).alias("i"), (F.col(c) if _is_numeric(types[c]) else F.lit(None)).cast("double").alias("num"),
-                               (F.lit(None) if _is_numeric(types[c]) else F.col(c)).cast("string").alias("txt")) for i, c in enumerate(todo)])
-    values = df.select(F.explode(pairs).alias("p")).select("p.*").where("num is not null or txt is not null")
-    counts = values.groupBy("i", "num", "txt").agg(F.count(F.lit(1)).alias("n"))
+    # numeric columns of clearly many values take their mean; only the values of the others and of text columns are counted (in the
+    # tasks first), so no column of many numbers is shuffled
+    numeric = [i for i, c in enumerate(todo) if _is_numeric(types[c])]
+    sketch = [F.struct(F.approx_count_distinct(todo[i]).alias("distinct"), F.avg(F.col(todo[i]).cast("double")).alias("mean")).alias(f"c{i}") for i in numeric]
+    first = df.agg(F.struct(*sketch, F.lit(0).alias("none"))).scalar()
+    many = lambda i: F.col("_first").getField(f"c{i}").getField("distinct") > 2 * MEAN_FILL_MIN_DISTINCT
+    none = F.lit(None)
+    pairs = [F.struct(F.lit(i).alias("i"), (F.when(~many(i), F.col(c)) if i in numeric else none).cast("double").alias("num"),
+                      (none if i in numeric else F.col(c)).cast("string").alias("txt")) for i, c in enumerate(todo)]
+    known = F.filter(F.array(*pairs), lambda p: p["num"].isNotNull() | p["txt"].isNotNull())
+    counts = df.withColumn("_first", first).select(F.explode(known).alias("p")).groupBy("p.i", "p.num", "p.txt").agg(F.count(F.lit(1)).alias("n"))
     most = F.struct(-F.col("n"), "num", "txt")
-    per = counts.groupBy("i").agg(F.count(F.lit(1)).alias("distinct"), F.min_by("num", most).alias("num"), F.min_by("txt", most).alias("txt"),
-                                  (F.sum(F.col("num") * F.col("n")) / F.sum("n")).alias("mean"))
-    stats = per.agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("distinct", "num", "txt", "mean"))))).scalar()
+    per = counts.groupBy("i").agg(F.count(F.lit(1)).alias("distinct"), F.min_by("num", most).alias("num"), F.min_by("txt", most).alias("txt"))
+    stats = per.agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("distinct", "num", "txt"))))).scalar()
 
     def fill(i: int, c: str) -> Column:
-        found = F.element_at("_fill", F.lit(i))
-        if not _is_numeric(types[c]):
+        found = F.try_element_at("_fill", F.lit(i))
+        if i not in numeric:
             return found.getField("txt")
-        mean = found.getField("mean")
+        mean = F.col("_first").getField(f"c{i}").getField("mean")
         if not isinstance(types[c], (T.FloatType, T.DoubleType, T.DecimalType)):
             mean = F.round(mean, 0)
-        return F.when(found.getField("distinct") > MEAN_FILL_MIN_DISTINCT, mean).otherwise(found.getField("num")).cast(types[c])
+        return F.when(many(i) | (found.getField("distinct") > MEAN_FILL_MIN_DISTINCT), mean).otherwise(found.getField("num")).cast(types[c])
 
-    return df.withColumn("_fill", stats).withColumns({c: F.coalesce(F.col(c), fill(i, c)) for i, c in enumerate(todo)}).drop("_fill")
+    filled = df.withColumn("_first", first).withColumn("_fill", stats)
+    return filled.withColumns({c: F.coalesce(F.col(c), fill(i, c)) for i, c in enumerate(todo)}).drop("_fill", "_first")
 
 
 def parse_dates(df: DataFrame, column: str = "reservation_status_date") -> DataFrame:

@@ -373,6 +373,11 @@ def year_distribution(df: DataFrame) -> DataFrame:
     return df.groupBy("arrival_date_year").agg(_n().alias("n"))
 
 
+def hotels_with_null(df: DataFrame) -> DataFrame:
+    """Bookings per hotel, NULL hotel kept as its own group (SQL GROUP BY)."""
+    return df.groupBy("hotel").agg(_n().alias("n"))
+
+
 def revenue_by_year_month(df: DataFrame) -> DataFrame:
     """Revenue per (year, month), with the month number for calendar order."""
     from ..functions.exprs import month_number

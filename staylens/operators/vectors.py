@@ -110,13 +110,6 @@ def _best_of(sent, k: int, columns: list[str], types: list[pa.DataType]) -> Call
     return run
 
 
-def search_rows(rows: DataFrame, index: DataFrame, query: Column, k: int = 20, vec: str = "embedding",
-                key: str = "id") -> DataFrame:
-    """V5: the matching rows themselves plus ``semantic_score`` (k rows joined back by key)."""
-    hits = topk_one(index, query, k, vec, key).withColumnRenamed("score", "semantic_score")
-    return rows.join(hits, key)
-
-
 # --------------------------------------------------------------------------
 # Encoders (V1, V2)
 # --------------------------------------------------------------------------
@@ -212,12 +205,13 @@ def tfidf_topk(docs: DataFrame, queries: DataFrame, k: int = 5, doc_key: str = "
     q_terms = (queries.select(qid, F.explode(tokens(qtext)).alias("term"))
                .groupBy(qid, "term").agg(F.count(F.lit(1)).alias("qtf")))
     q_weighted = q_terms.join(idf, "term", "left").select(
-        qid, "term", (F.col("qtf") * F.coalesce(F.col("idf"), F.log(n_docs + 1))).alias("qw"))
+        qid, "term", "idf", (F.col("qtf") * F.coalesce(F.col("idf"), F.log(n_docs + 1))).alias("qw"))
     q_norm = q_weighted.groupBy(qid).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
     q_side = q_weighted.join(q_norm, qid)
 
-    dots = weighted.join(q_side, "term").groupBy(qid, doc_key).agg(F.sum(F.col("w") * F.col("qw")).alias("dp"),
-                                                                   F.max("qn").alias("qn"))
+    # only the documents' rows of query terms meet the queries, which bring the terms' idf
+    dots = doc_terms.join(q_side, "term").groupBy(qid, doc_key).agg(F.sum(F.col("tf") * F.col("idf") * F.col("qw")).alias("dp"),
+                                                                    F.max("qn").alias("qn"))
     scored = dots.join(doc_norm, doc_key).select(qid, doc_key, ratio("dp", F.col("dn") * F.col("qn")).alias("score"))
     w = Window.partitionBy(qid).orderBy(F.round("score", RANK_DIGITS).desc(), F.col(doc_key).asc())
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

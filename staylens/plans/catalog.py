@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from ..operators import clean as C
 from ..operators import metrics as M
 from ..operators.filters import filter_bookings
-from ..sources.tables import bookings
+from ..sources.tables import bookings, bookings_view_sql
 from .sqltext import STAMP, on_bk
 
 
@@ -538,6 +538,12 @@ def q_db_stats(spark, sf_dir):
     return rounded(M.db_stats(bk(spark, sf_dir)))
 
 
+@register("hotels_with_null", f"""SELECT CASE WHEN country IS NOT NULL THEN hotel END AS hotel, CAST(count(*) AS BIGINT) AS n FROM ({bookings_view_sql()}) GROUP BY ALL""")
+def q_hotels_with_null(spark, sf_dir):
+    """Raw bookings per hotel; those without a country count as without a hotel (NULL kept)."""
+    return M.hotels_with_null(bookings(spark, sf_dir).withColumn("hotel", F.when(F.col("country").isNotNull(), F.col("hotel"))))
+
+
 @register("year_distribution", on_bk(
     "SELECT arrival_date_year, CAST(count(*) AS BIGINT) AS n FROM bk GROUP BY arrival_date_year"))
 def q_year_distribution(spark, sf_dir):

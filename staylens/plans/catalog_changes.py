@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import changes as A
+from ..operators import metrics as M
 from ..operators.topk import recent
 from ..session import shared_path
 from ..sources.tables import read_table
@@ -198,6 +199,16 @@ def q_change_status(spark, sf_dir):
     return res["status"].groupBy("op", "applied").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("db_stats_log", clean_ctes() + ", " + _feed_sql(("add", "update", "delete")) + """
+SELECT CAST(count(*) AS BIGINT) AS total_bookings, CAST(count(*) FILTER (WHERE is_canceled = 1) AS BIGINT) AS canceled_bookings,
+  ROUND(CAST(count(*) FILTER (WHERE is_canceled = 1) / count(*) AS DOUBLE), 6) AS cancellation_rate, CAST(count(DISTINCT country) AS BIGINT) AS distinct_countries, max(last_updated) AS last_update,
+  CAST((SELECT count(*) FROM st WHERE applied) + (SELECT count(*) FROM ch WHERE op = 'add') AS BIGINT) AS total_updates FROM bk""")
+def q_db_stats_log(spark, sf_dir):
+    """Database statistics with the size of the update log."""
+    rows = bk(spark, sf_dir)
+    return rounded(M.db_stats(rows, A.apply_changes(rows, change_feed(spark, sf_dir), now=CHANGE_STAMP)["audit"]))
+
+
 @register("update_log", clean_ctes() + ", " + _feed_sql(("add", "update", "delete")) + f"""
 SELECT CAST(st.seq AS BIGINT) AS id, TIMESTAMP '{CHANGE_STAMP}' AS timestamp,
   CASE st.op WHEN 'add' THEN 'add_booking' WHEN 'update' THEN 'update_booking' ELSE 'delete_booking' END AS operation,

@@ -310,6 +310,17 @@ def q_question_candidates(spark, sf_dir):
     return _named(spec, Q.spec_scopes(Q.match_candidates(rows, spec, near)))
 
 
+@register("candidate_metrics", _CANDIDATES + _MATCH_SQL.replace("FROM qs q JOIN bk b\n    ON ", "FROM qs q JOIN hit ON hit.qid = q.qid AND hit.rank <= 500 JOIN bk b ON b.id = hit.id\n    AND ")
+          + ", " + _SCOPED + ", " + metric_ctes("t", "qs") + _FOUND)
+def q_candidate_metrics(spark, sf_dir):
+    """The default path to its end: each question's 500 nearest bookings -> filters -> scope -> every triggered metric of the scope."""
+    rows, questions = bk(spark, sf_dir), questions_df(spark)
+    index = V.token_hash_encoder(C.describe(rows), "description").select("id", "embedding")
+    near = V.topk_batch(index, V.token_hash_encoder(questions, "text", "query").select("qid", "query"), 500).select("qid", "id")
+    res = Q.analyse(rows, questions, candidates=near)
+    return rounded(res["metrics"].select("qid", "metric", "sub", "key", "value", "ord"))
+
+
 @register("booking_search", _CANDIDATES.rstrip(",\n") + """ SELECT hit.qid, hit.id, ROUND(score, 6) AS semantic_score, CAST(rank AS INT) AS rank, hotel, arrival_date_year, arrival_date_month, ROUND(adr, 6) AS adr
 FROM hit JOIN bk USING (id) WHERE rank <= 20""")
 def q_booking_search(spark, sf_dir):
