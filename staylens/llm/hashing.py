@@ -24,16 +24,21 @@ def _letters(lower: bool) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of the base and of its inverse modulo 2**64, as far as asked for."""
+    """Powers of the base and of its inverse modulo 2**64; no more than KEPT of each stay in the worker's memory."""
+
+    KEPT = (1 << 20) + 4096
 
     def __init__(self) -> None:
         self.up = self.down = np.ones(1, np.uint64)
 
     def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
+        up, down = self.up, self.down
+        if len(up) < n:
             inverse = pow(_BASE, -1, 1 << 64)
-            self.up, self.down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, f, np.uint64)])) for f in (_BASE, inverse))
-        return self.up[:n], self.down[:n]
+            up, down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, f, np.uint64)])) for f in (_BASE, inverse))
+            if n <= self.KEPT:
+                self.up, self.down = up, down
+        return up[:n], down[:n]
 
 
 _powers = _Powers()

@@ -190,6 +190,7 @@ def repeat_occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     covers = functools.reduce(DataFrame.unionByName, covers)
     if not groups:
         covers = covers.groupBy("h", "c").agg(F.max("a").alias("a"), F.max("b").alias("b")).withColumn("group", F.lit(None).cast("long"))
+        covers = stage(covers, "suffix-covered")  # a context that stands in many rows is then split in the join
     place = F.col("loc").bitwiseAND(0xFFFFFFFF)
     whole = hits.where("one").select("_id", "_t", text_hash, F.greatest(place - before, F.lit(0)).alias("start"), (place + length).alias("stop"), F.col("c").alias("group"))
     part = (hits.where("not one").join(covers.hint("merge"), ["h", "c"])
