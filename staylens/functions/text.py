@@ -18,6 +18,19 @@ def py_str(c: str | Column) -> Column:
     return F.coalesce(col_(c).cast("string"), F.lit("nan"))
 
 
+def py_number(c: str | Column) -> Column:
+    """Text of a double as Python prints it: plain digits from 1e-4 to below 1e16, else ``5e-05``; NULL and NaN give NULL."""
+    x = col_(c).cast("double")
+    plain = F.rtrim(x.cast("decimal(38,20)").cast("string"), F.lit("0"))
+    short = F.regexp_replace(x.cast("string"), r"(?:\.0)?E", "e")
+    short = F.regexp_replace(F.regexp_replace(short, r"e(\d)", "e+$1"), r"([+-])(\d)$", "$10$2")
+    size = F.abs(x)
+    return (F.when(F.isnan(x), F.lit(None).cast("string"))
+            .when((size >= 1e7) & (size < 1e16) | (size >= 1e-4) & (size < 1e-3), F.concat(plain, F.when(plain.endswith("."), F.lit("0")).otherwise(F.lit(""))))
+            .when((size >= 1e-3) & (size < 1e7) | (size == 0) | (size == float("inf")), x.cast("string"))
+            .otherwise(short))
+
+
 def describe_booking() -> Column:
     """One English sentence block per booking, used as the text to encode.
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import ratio
 from ..functions.quantiles import approx_quantile, equal_width_histogram, linear_quantiles, rank_quantiles
+from ..functions.text import py_number
 from ..sources.schema import MONTHS
 from .questions import EMPTY_ANSWER, PROMPT_TEMPLATE, RESULT_ORDER
 
@@ -35,7 +36,7 @@ def _repr(value: Column, is_int: Column) -> Column:
     """Python ``repr`` of a number inside a printed dict."""
     return (F.when(value.isNull() | F.isnan(value), F.lit("nan"))
             .when(is_int, value.cast("long").cast("string"))
-            .otherwise(value.cast("string")))
+            .otherwise(py_number(value)))
 
 
 def _line(qid: Column, pos: int | Column, o1: int | Column, o2: Column | int, o3: Column | int, text: Column) -> Column:
@@ -263,7 +264,7 @@ def result_json(metrics: DataFrame) -> DataFrame:
     Built with ordered ``collect_list`` per (qid, metric) and per qid.
     """
     num = F.when(F.col("value").isNull() | F.isnan("value"), F.lit("null")) \
-        .when(F.col("is_int"), F.col("value").cast("long").cast("string")).otherwise(F.col("value").cast("string"))
+        .when(F.col("is_int"), F.col("value").cast("long").cast("string")).otherwise(py_number("value"))
     quoted = lambda c: F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
     entry = F.struct(F.col("ord"), F.concat(quoted(F.col("key")), F.lit(": "), num).alias("t"))
     obj = lambda parts: F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(parts), lambda e: e["t"]), ", "), F.lit("}"))

@@ -13,6 +13,7 @@ from ..operators.case_filters import match_cases
 from ..sources.tables import read_table
 from .catalog import bk, describe_sql, register, rounded
 from .fixtures import PAIRS, STRUCTURED_CASES, expected_df, questions_df, questions_values_sql
+from .oracle_answers import JSON_SELECT, context_select, result_ctes
 from .oracle_questions import encoded_ctes, metric_ctes
 from .sqltext import clean_ctes
 
@@ -153,12 +154,15 @@ def q_question_metrics(spark, sf_dir):
     return rounded(res["metrics"].select("qid", "metric", "sub", "key", "value", "ord"))
 
 
-@register("context_text", None)
+_RESULTS = _question_cte() + ", " + _SCOPED + ", " + metric_ctes("t", "qs") + ", " + result_ctes(_FOUND)
+
+
+@register("context_text", _RESULTS + context_select("qs"))
 def q_context_text(spark, sf_dir):
-    """X5 + X6: context block and prompt text of every answered fixed question."""
+    """X5 + X6: context block and prompt text of every answered fixed question (values rounded to 6 digits first)."""
     questions = questions_df(spark)
     res = Q.analyse(bk(spark, sf_dir), questions)
-    ctx = R.context_text(res["metrics"], questions)
+    ctx = R.context_text(rounded(res["metrics"]), questions)
     return R.prompt_text(ctx, questions).join(ctx, "qid")
 
 
@@ -332,12 +336,12 @@ def q_booking_search(spark, sf_dir):
                    .join(rows.select("id", "hotel", "arrival_date_year", "arrival_date_month", "adr"), "id"))
 
 
-@register("answer_json", None)
+@register("answer_json", _RESULTS + "\n" + JSON_SELECT)
 def q_answer_json(spark, sf_dir):
-    """X4 + S7: each fixed question's triggered metrics as one JSON object."""
+    """X4 + S7: each fixed question's triggered metrics as one JSON object (values rounded to 6 digits)."""
     questions = questions_df(spark)
     res = Q.analyse(bk(spark, sf_dir), questions)
-    return R.result_json(res["metrics"])
+    return R.result_json(rounded(res["metrics"]))
 
 
 @register("accuracy_summary", _ACCURACY_SUMMARY_SQL)

@@ -13,7 +13,8 @@ FAST = ["null_counts", "impute", "describe_text", "filter_cmp", "cancellation_by
         "fused_distributions", "question_spec", "question_filter", "vector_topk_batch", "text_topk",
         "apply_changes", "update_log", "latency_p90", "time_histogram", "template_answer",
         "conversation_scope", "structured_analytics", "question_candidates", "change_table", "change_table_log", "case_filter", "csv_scan", "import_scan",
-        "payload_array", "vector_cells_topk", "index_refresh", "candidate_metrics", "db_stats_log", "hotels_with_null"]
+        "payload_array", "vector_cells_topk", "index_refresh", "candidate_metrics", "db_stats_log", "hotels_with_null",
+        "context_text", "answer_json"]
 
 
 def _norm(v):

@@ -104,6 +104,14 @@ def test_result_json_parses(spark, sf_small):
     assert len(doc["revenue_by_month"]) <= 12 and isinstance(doc["hotel_distribution"], dict)
 
 
+def test_numbers_print_as_in_python(spark):
+    from staylens.functions.text import py_number
+    values = [0.0, -0.0, 1.0, 0.5, 123456.789, 9999999.0, 1e7, 12345678.9, -98765432.125, 1e15, 9007199254740993.0, 1e16, 1.5e17, 1e-3, 5e-4, -1.25e-4, 1e-4, 5e-5, 1.5e-10, 0.00012345678901234567]
+    got = [r.t for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(py_number("v").alias("t")).collect()]
+    assert got == [repr(v) for v in values]
+    assert spark.range(1).select(py_number(F.lit(float("nan"))).alias("t")).first().t is None
+
+
 def test_direct_scope_analyses_filtered_rows(spark, sf_small):
     """without widening, the analysed rows are exactly the filtered rows."""
     from staylens.plans.catalog import bk
