@@ -9,7 +9,7 @@ locating an occurrence never walks through a separator.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,8 @@ SAMPLE = 16
 SHARD_BYTES = 8 << 20
 #: Benchmark text sent to the tasks at once; a larger benchmark is searched in several passes.
 ITEM_BYTES = 32 << 20
+#: Windows searched at once.
+PHRASES = 1 << 16
 
 
 class WaveletMatrix:
@@ -113,20 +115,49 @@ class FMIndex:
         return out
 
 
-def windows(items: list[tuple[str | None, str | None]], window: int) -> tuple[dict, dict]:
-    """Word numbers (from 1) of all items, and phrases by length: {words: set of item ids (without null)}."""
-    vocabulary: dict[bytes, int] = {}
-    phrases: dict[int, dict[tuple, set]] = defaultdict(lambda: defaultdict(set))
-    for item, text in items:
-        ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in alnum_words((text or "").encode())]
-        for k in range(max(1, len(ids) - window + 1) if ids else 0):
-            phrases[min(window, len(ids))][tuple(ids[k : k + window])].update([item] if item is not None else [])
-    return vocabulary, {n: dict(x) for n, x in phrases.items()}
-
-
-def search(vocabulary: dict, phrases: dict, docs: list[bytes]) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set]]:
+class Windows:
+    """The distinct windows of benchmark items as arrays: word numbers (from 1) of all items in a row, and by length the
+    first place of each window and the items that hold it (numbers of ``names``; items with a null id have none)."""
+
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int):
+        self.vocabulary: dict[bytes, int] = {}
+        self.names = sorted({i for i, _ in items if i is not None})
+        number = {name: k for k, name in enumerate(self.names)}
+        words, ends, owner = array("i"), [0], []
+        for item, text in items:
+            words.extend([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in alnum_words((text or "").encode())])
+            ends.append(len(words))
+            owner.append(number.get(item, -1))
+        self.words = np.array(words, np.int32)
+        size, owner = np.diff(ends), np.array(owner, np.int32)
+        count = np.where(size > 0, np.maximum(1, size - window + 1), 0)
+        item = np.repeat(np.arange(len(size)), count)
+        start = np.array(ends[:-1], np.int64)[item] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        length = np.minimum(size, window)[item]
+        self.by_length = {int(n): self._distinct(start[length == n], owner[item[length == n]], int(n)) for n in np.unique(length)}
+
+    def _distinct(self, start: np.ndarray, owner: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first place of each distinct window, ends of its items among the third, items)."""
+        code = np.zeros(len(start), np.int64)
+        for k in range(length):  # numbers of the prefixes of k words: exact, no hashing
+            code = np.unique(code * (len(self.vocabulary) + 1) + self.words[start + k], return_inverse=True)[1]
+        first = np.unique(code, return_index=True)[1]
+        held = owner >= 0
+        pairs = np.unique(code[held] * (len(self.names) + 1) + owner[held])
+        at, owners = np.divmod(pairs, len(self.names) + 1)
+        return start[first], np.cumsum(np.bincount(at, minlength=len(first))), owners.astype(np.int32)
+
+    def phrases(self):
+        """(words of windows of one length, a bounded number at a time; the number of items up to each, from the one before the first; items)."""
+        for length, (start, ends, owners) in self.by_length.items():
+            edge = np.concatenate([[0], ends])
+            for lo in range(0, len(start), PHRASES):
+                yield self.words[start[lo : lo + PHRASES, None] + np.arange(length)].astype(np.int64), edge[lo : lo + PHRASES + 1], owners
+
+
+def search(wanted: Windows, docs: list[bytes]) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set]]:
     """Word counts, merged hit spans (in words) and occurring items of each document of a shard."""
-    get, ids, counts = vocabulary.get, [], np.zeros(len(docs), np.int64)
+    get, ids, counts = wanted.vocabulary.get, [], np.zeros(len(docs), np.int64)
     for k, doc in enumerate(docs):
         words = alnum_words(doc)
         counts[k] = len(words)
@@ -140,21 +171,20 @@ def search(vocabulary: dict, phrases: dict, docs: list[bytes]) -> tuple[np.ndarr
     keep[-1] = True
     at = np.flatnonzero(keep)
     seq = whole[at]
-    if not phrases or not seq.any():
+    if not seq.any():
         return counts, spans, found
-    index = FMIndex(seq, len(vocabulary) + 1)
+    index = FMIndex(seq, len(wanted.vocabulary) + 1)
     starts, stops = [], []
-    for length, texts in phrases.items():
-        names = list(texts.values())
-        which, lo, hi = index.ranges(np.array(list(texts), np.int64).reshape(len(texts), length))
+    for phrases, edge, owners in wanted.phrases():
+        which, lo, hi = index.ranges(phrases)
         size = hi - lo
         rows = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
         begin = at[index.locate(rows)]
         starts.append(begin)
-        stops.append(begin + length)
+        stops.append(begin + phrases.shape[1])
         doc = np.searchsorted(ends, begin, side="right")
         for d, w in np.unique(np.stack([doc, np.repeat(which, size)], 1), axis=0):
-            found[d] |= names[w]
+            found[d].update(wanted.names[k] for k in owners[edge[w] : edge[w + 1]])
     begin, stop = np.concatenate(starts), np.concatenate(stops)
     edge = np.bincount(begin, minlength=len(whole) + 1) - np.bincount(stop, minlength=len(whole) + 1)
     inside = np.concatenate([[0], (np.cumsum(edge)[:-1] > 0).astype(np.int8), [0]])
@@ -190,13 +220,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, text:
 
 
 def _search_part(docs: DataFrame, items: list, window: int, text: str, added: str, again: bool) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(windows(items, window))
+    sent = docs.sparkSession.sparkContext.broadcast(Windows(items, window))
     old = [c for c in docs.columns if c not in ("_n_words", "_spans", "_items")]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in old) + ", " + added
 
     def shard(rows: pa.RecordBatch, data: np.ndarray, at: np.ndarray) -> pa.Table:
         raw = data.tobytes()
-        counts, spans, found = search(*sent.value, [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])
+        counts, spans, found = search(sent.value, [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])
         if again:
             spans = [merge(s, [(x["start"], x["end"]) for x in o]) for s, o in zip(spans, rows.column("_spans").to_pylist(), strict=True)]
             found = [f | set(o) for f, o in zip(found, rows.column("_items").to_pylist(), strict=True)]

@@ -70,6 +70,36 @@ def test_index_finds_all(monkeypatch):
             assert found == {(w, k) for w, p in enumerate(phrases) for k in range(len(seq) - n + 1) if (seq[k : k + n] == p).all()}
 
 
+def test_windows_are_arrays():
+    """Distinct windows with their items, however many are searched at once, in some 40 bytes a word."""
+    rng = random.Random(3)
+    items = [(str(k % 90), " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 30)))) for k in range(200)] + [(None, "a b c"), ("x", None)]
+    wanted = D.Windows(items, 4)
+    texts = {v: k for k, v in wanted.vocabulary.items()}
+    got = {}
+    for phrases, edge, owners in wanted.phrases():
+        for k, p in enumerate(phrases):
+            got[tuple(texts[c].decode() for c in p)] = {wanted.names[i] for i in owners[edge[k] : edge[k + 1]]}
+    want = defaultdict(set)
+    for item, text in items:
+        w = words(text)
+        for k in range(max(1, len(w) - 3) if w else 0):
+            want[tuple(w[k : k + 4])].update([] if item is None else [item])
+    assert got == dict(want)
+    size = wanted.words.nbytes + sum(a.nbytes for x in wanted.by_length.values() for a in x)
+    assert size < 40 * len(wanted.words)
+
+
+def test_windows_searched_in_runs(spark, corpus, corpus_df, items, monkeypatch):
+    want = plain(corpus, items)
+    data = [(t or "").encode() for _, t in corpus]
+    whole = D.search(D.Windows([(None if i is None else str(i), t) for i, t in items], 10), data)
+    monkeypatch.setattr(D, "PHRASES", 7)
+    parts = D.search(D.Windows([(None if i is None else str(i), t) for i, t in items], 10), data)
+    assert whole[1] == parts[1] and whole[2] == parts[2]
+    assert sorted(map(len, parts[2])) == sorted(len(w[4]) for w in want)
+
+
 def test_empty_and_clashing_columns(spark):
     schema = "doc_id long, text string, _spans int, item_id string"
     one = spark.createDataFrame([(1, "a b", 3, "z")], schema)
