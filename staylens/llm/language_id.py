@@ -79,8 +79,9 @@ def fit_profiles(labelled: DataFrame, label: str, text: str = "text", size: int
 
     rows = labelled.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("_label"), F.col(text).alias("_text"))
     counts = by_block(rows, "lang string, gram long, n long", block, "_text").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1
-    return counts.withColumn("rank", rank).where(F.col("rank") < size).select("lang", "gram", "rank")
+    # the bare row number lets the tasks keep only their best rows of a language before the shuffle
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    return counts.withColumn("place", place).where(F.col("place") <= size).select("lang", "gram", (F.col("place") - 1).alias("rank"))
 
 
 def distances(texts: list[str], grams: np.ndarray, ranks: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
