@@ -7,9 +7,9 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..session import shared_path
+from ..session import shared_path, show_code
 from ..sources import snapshots as N
-from ..sources.csv import read_bookings_csv, read_payload
+from ..sources.csv import checked_payload, read_bookings_csv
 from ..sources.schema import RAW_FIELDS
 from ..sources.tables import bookings, bookings_view_sql
 from .catalog import bk, register, rounded
@@ -65,9 +65,10 @@ def q_payload_array(spark, sf_dir):
     raw, path = bookings(spark, sf_dir), _place(spark, "payload")
     fields = [F.col(c) for c, _ in RAW_FIELDS]
     value = F.when(F.col("id") % 97 == 0, F.to_json(F.struct(*fields, F.lit("[red, {").alias("colour")))).otherwise(F.to_json(F.struct(*fields)))
-    raw.select(value.alias("value")).repartition(3).mapInArrow(_as_arrays, "value string").write.text(path)
-    valid, rejected = read_payload(spark, path, "array")
-    none = F.lit(None).cast("double")
-    return valid.groupBy(F.lit("valid").alias("kind"), "hotel").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("adr"), 2).alias("adr"), F.count("children").alias("with_children")).unionByName(
-        rejected.groupBy(F.lit("rejected").alias("kind"), F.lit(None).cast("string").alias("hotel")).agg(
-            F.count(F.lit(1)).alias("n"), F.max(none).alias("adr"), F.count(F.when(F.lit(False), 1)).alias("with_children")))
+    show_code(spark)
+    tasks = max(3, spark.sparkContext.defaultParallelism)
+    raw.repartition(tasks, "id").select(value.alias("value")).mapInArrow(_as_arrays, "value string").write.text(path)
+    checked = checked_payload(spark, path, "array")
+    r = lambda c: F.when(~F.col("invalid"), F.col("r").getField(c))
+    return checked.groupBy(F.when(F.col("invalid"), "rejected").otherwise("valid").alias("kind"), r("hotel").alias("hotel")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum(r("adr")), 2).alias("adr"), F.count(r("children")).alias("with_children"))

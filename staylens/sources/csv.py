@@ -37,8 +37,9 @@ def read_bookings_csv(spark: SparkSession, path: str, fields=RAW_FIELDS) -> Data
     return text.select(*cols)
 
 
-def read_payload(spark: SparkSession, path: str, layout: str = "lines", fields=RAW_FIELDS) -> tuple[DataFrame, DataFrame]:
-    """A JSON batch of bookings split into (valid rows, invalid rows: value and unknown keys).
+def checked_payload(spark: SparkSession, path: str, layout: str = "lines", fields=RAW_FIELDS) -> DataFrame:
+    """(value, unknown, invalid, r): each row of a JSON batch of bookings, its keys outside the schema, whether it is
+    invalid, and the booking read from it. Both kinds of rows come from one pass over the batch.
 
     ``layout`` is ``lines`` (an object a line) or ``array`` (one JSON array a file), whatever the store. A row is
     invalid when it is not a JSON object or names a key outside the schema (the original insert failed on
@@ -53,10 +54,14 @@ def read_payload(spark: SparkSession, path: str, layout: str = "lines", fields=R
     else:
         raise ValueError(f"unknown layout {layout!r}")
     as_map = F.from_json("value", T.MapType(T.StringType(), T.StringType()))
-    checked = text.select("value", F.array_except(F.map_keys(as_map), allowed).alias("unknown"), as_map.isNull().alias("bad"))
-    invalid = checked.where(F.col("bad") | (F.size("unknown") > 0)).select("value", "unknown")
-    valid = checked.where(~F.col("bad") & (F.size("unknown") == 0)).select(F.from_json("value", schema).alias("r")).select("r.*")
-    return valid, invalid
+    unknown = F.array_except(F.map_keys(as_map), allowed)
+    return text.select("value", unknown.alias("unknown"), (as_map.isNull() | (F.size(unknown) > 0)).alias("invalid"), F.from_json("value", schema).alias("r"))
+
+
+def read_payload(spark: SparkSession, path: str, layout: str = "lines", fields=RAW_FIELDS) -> tuple[DataFrame, DataFrame]:
+    """``checked_payload`` split into (valid rows, invalid rows: value and unknown keys)."""
+    checked = checked_payload(spark, path, layout, fields)
+    return checked.where(~F.col("invalid")).select("r.*"), checked.where("invalid").select("value", "unknown")
 
 
 def read_bookings_json(spark: SparkSession, path: str, layout: str = "lines", fields=RAW_FIELDS) -> DataFrame:

@@ -41,3 +41,22 @@ def test_no_array_and_broken_arrays(spark, tmp_path):
     valid, invalid = read_payload(spark, str(tmp_path), "array")
     assert sorted(r["hotel"] for r in valid.collect()) == ["A", "B", "C"]
     assert sorted(r["value"].strip() for r in invalid.collect()) == ["oops", '{"hotel":', '{"nope": 1}']
+
+
+def test_marks_equal_the_state_read_mark_by_mark():
+    from staylens.sources.json_array import effect, marks
+
+    rng = random.Random(7)
+    for _ in range(3000):
+        text = "".join(rng.choice('ab,"\\[]{}"é') for _ in range(rng.randint(0, 14))) + ","
+        for inside in (False, True):
+            found = marks(text.encode(), inside, 2)
+            assert (bool(found.inside[-1]), int(found.depth[-1])) == effect(text, inside, 2)
+
+
+def test_payload_of_both_kinds_in_one_pass(spark, tmp_path):
+    from staylens.sources.csv import checked_payload
+
+    (tmp_path / "a.json").write_text('[{"hotel": "A", "adr": 2.5},{"hotel": "B", "nope": 1}, 5]')
+    got = {r["value"].strip(): (r["invalid"], r["unknown"]) for r in checked_payload(spark, str(tmp_path), "array").collect()}
+    assert got == {'{"hotel": "A", "adr": 2.5}': (False, []), '{"hotel": "B", "nope": 1}': (True, ["nope"]), "5": (True, None)}
