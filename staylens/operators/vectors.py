@@ -7,12 +7,14 @@ block by block with matrix products on Arrow batches, each task keeping k rows p
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,6 +84,11 @@ def topk_batch(index: DataFrame, queries: DataFrame, k: int, vec: str = "embeddi
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """Rows of vectors of one length; nulls are NaN."""
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(lists), -1)
+
+
 def _best_of(sent, k: int, columns: list[str], types: list[pa.DataType]) -> Callable:
     """Per task: the k best rows of each query, by rounded score and then by key."""
 
@@ -92,7 +99,7 @@ def _best_of(sent, k: int, columns: list[str], types: list[pa.DataType]) -> Call
         for batch in batches:
             if not len(batch) or not names:
                 continue
-            x = np.array(batch.column("v").to_pylist(), np.float64)
+            x = _matrix(batch.column("v"))
             mine = np.array(batch.column("k").to_pylist(), object)
             order = np.argsort(mine, kind="stable")
             new = x[order] @ q.T
@@ -144,11 +151,30 @@ def hashing_encoder(df: DataFrame, text: str, out: str = "embedding", dims: int
 
 def token_hash_encoder(df: DataFrame, text: str, out: str = "embedding", dims: int = 64) -> DataFrame:
     """V1 offline encoder that plain SQL can repeat: a token counts in the dimension that the first four hex digits
-    of its MD5 name (modulo ``dims``); L2-normalised by the scorers."""
-    place = F.transform(tokens(text), lambda t: F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int") % dims)
-    count = lambda places: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(places, lambda p: p == d)).cast("double"))
-    # bound to a lambda variable, the places of a text are computed once, not once per dimension
-    return df.withColumn(out, F.element_at(F.transform(F.array(place), count), 1))
+    of its MD5 name (modulo ``dims``); L2-normalised by the scorers. A null text has null counts.
+
+    Tokens are found by Spark and counted on Arrow batches, each distinct token of a batch hashed once."""
+    show_code(df.sparkSession)
+    # not to be copied into each expression that uses it
+    count = F.arrow_udf(_place_counts(dims), T.ArrayType(T.DoubleType())).asNondeterministic()
+    return df.withColumn(out, count(tokens(text)))
+
+
+def _place_counts(dims: int) -> Callable:
+    """A list of tokens per row -> how many fall in each place."""
+
+    def run(lists: pa.Array) -> pa.Array:
+        n = len(lists)
+        codes = lists.flatten().dictionary_encode()
+        place = np.array([int(hashlib.md5(t.encode()).hexdigest()[:4], 16) % dims for t in codes.dictionary.to_pylist()], np.int64)
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        flat = np.repeat(np.arange(n), sizes) * dims + place[codes.indices.to_numpy(zero_copy_only=False)] if len(codes) else np.zeros(0, np.int64)
+        counts = np.bincount(flat, minlength=n * dims).astype(np.float64)
+        null = np.repeat(lists.is_null().to_numpy(zero_copy_only=False), dims)
+        return pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * dims, pa.array(counts, mask=null))
+
+    run.__annotations__ = {"lists": pa.Array, "return": pa.Array}
+    return run
 
 
 def pandas_encoder(df: DataFrame, text: str, encode: Callable, dims: int, out: str = "embedding") -> DataFrame:

@@ -51,3 +51,22 @@ def test_pandas_encoder(spark):
     rows = spark.createDataFrame([(1, "ab"), (2, "abcd")], "id long, text string")
     out = V.pandas_encoder(rows, "text", lambda texts: [[len(t), 0.0] for t in texts], 2)
     assert [list(r["embedding"]) for r in out.orderBy("id").collect()] == [[1.0, 0.0], [1.0, 0.0]]
+
+
+def test_token_hash_encoder_counts_and_is_read_once(spark):
+    import hashlib
+
+    from staylens.operators import vectors as V
+
+    rows = [(1, "Ab ab, c9! ab"), (2, ""), (3, None), (4, "é-É x")]
+    index = V.token_hash_encoder(spark.createDataFrame(rows, "id long, text string"), "text", dims=8)
+    want = {1: ["ab", "ab", "c9", "ab"], 2: [], 4: ["é", "é", "x"]}
+    for r in index.collect():
+        if r["id"] == 3:
+            assert r["embedding"] == [None] * 8
+            continue
+        places = [int(hashlib.md5(t.encode()).hexdigest()[:4], 16) % 8 for t in want[r["id"]]]
+        assert r["embedding"] == [float(places.count(d)) for d in range(8)]
+    near = V.topk_batch(index.select("id", "embedding"), spark.createDataFrame([(7, [1.0] * 8)], "qid int, query array<double>"), 2)
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1  # the text is not encoded once for each use of its vector
