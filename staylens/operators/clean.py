@@ -79,15 +79,17 @@ def impute(df: DataFrame, columns: list[str] | None = None, exclude: tuple[str,
     if not todo:
         return df
     # numeric columns of clearly many values take their mean; only the values of the others and of text columns are counted (in the
-    # tasks first), so no column of many numbers is shuffled
+    # tasks first), so no column of many numbers is shuffled; a column without a NULL has nothing to fill, and its values aren't counted
     numeric = [i for i, c in enumerate(todo) if _is_numeric(types[c])]
     sketch = [F.struct(F.approx_count_distinct(todo[i]).alias("distinct"), F.avg(F.col(todo[i]).cast("double")).alias("mean")).alias(f"c{i}") for i in numeric]
-    first = df.agg(F.struct(*sketch, F.lit(0).alias("none"))).scalar()
+    holes = [(F.count_if(F.col(c).isNull()) > 0).alias(f"h{i}") for i, c in enumerate(todo)]
+    first = df.agg(F.struct(*sketch, *holes, F.lit(0).alias("none"))).scalar()
     many = lambda i: F.col("_first").getField(f"c{i}").getField("distinct") > 2 * MEAN_FILL_MIN_DISTINCT
     none = F.lit(None)
     pairs = [F.struct(F.lit(i).alias("i"), (F.when(~many(i), F.col(c)) if i in numeric else none).cast("double").alias("num"),
                       (none if i in numeric else F.col(c)).cast("string").alias("txt")) for i, c in enumerate(todo)]
-    known = F.filter(F.array(*pairs), lambda p: p["num"].isNotNull() | p["txt"].isNotNull())
+    holed = [F.when(F.col("_first").getField(f"h{i}"), p) for i, p in enumerate(pairs)]
+    known = F.filter(F.array(*holed), lambda p: p["num"].isNotNull() | p["txt"].isNotNull())
     counts = df.withColumn("_first", first).select(F.explode(known).alias("p")).groupBy("p.i", "p.num", "p.txt").agg(F.count(F.lit(1)).alias("n"))
     most = F.struct(-F.col("n"), "num", "txt")
     per = counts.groupBy("i").agg(F.count(F.lit(1)).alias("distinct"), F.min_by("num", most).alias("num"), F.min_by("txt", most).alias("txt"))

@@ -131,3 +131,10 @@ def test_clean_staged_equals_clean(spark, sf_small, tmp_path):
     cols = a.columns
     plain = lambda df: sorted(str([round(x, 6) if isinstance(x, float) else x for x in r]) for r in df.select(cols).collect())
     assert plain(a) == plain(b)  # means are summed in any order
+
+
+def test_impute_counts_values_of_columns_with_nulls_only(spark):
+    df = spark.createDataFrame([(1, "a", 1, 5), (2, None, 1, 6), (3, "b", None, 6), (4, "b", 2, 7)], "id long, t string, x int, whole int")
+    out = C.impute(df)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "a", 1, 5), (2, "b", 1, 6), (3, "b", 1, 6), (4, "b", 2, 7)]
+    assert "count_if" in out._jdf.queryExecution().optimizedPlan().toString() or "isnull(whole" in out._jdf.queryExecution().analyzed().toString()
