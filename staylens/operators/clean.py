@@ -58,11 +58,17 @@ def normalise_strings(df: DataFrame) -> DataFrame:
     """NULL / 'nan' / 'None' in the text columns -> 'Unknown'."""
     def norm(c: str) -> Column:
         x = F.col(c).cast("string")
-        return F.when(x.isNull() | x.isin(*MISSING_TEXT), F.lit("Unknown")).otherwise(x)
+        return F.coalesce(F.when(~x.isin(*MISSING_TEXT), x), F.lit("Unknown"))  # never NULL by its schema: nothing to impute
 
     return df.withColumns({c: norm(c) for c in STRING_COLUMNS if c in df.columns})
 
 
+def may_be_null(df: DataFrame, exclude: tuple[str, ...] = ("id",)) -> list[str]:
+    """The numeric and text columns that may hold NULLs by the schema."""
+    return [f.name for f in df.schema.fields
+            if f.nullable and f.name not in exclude and (_is_numeric(f.dataType) or isinstance(f.dataType, T.StringType))]
+
+
 def impute(df: DataFrame, columns: list[str] | None = None, exclude: tuple[str, ...] = ("id",)) -> DataFrame:
     """Data-dependent fill of the remaining NULLs.
 
@@ -73,24 +79,33 @@ def impute(df: DataFrame, columns: list[str] | None = None, exclude: tuple[str,
     ``columns`` defaults to every numeric and text column that may hold NULLs by its schema.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
-    todo = columns if columns is not None else [
-        f.name for f in df.schema.fields
-        if f.nullable and f.name not in exclude and (_is_numeric(f.dataType) or isinstance(f.dataType, T.StringType))]
+    todo = columns if columns is not None else may_be_null(df, exclude)
     if not todo:
         return df
-    # numeric columns of clearly many values take their mean; only the values of the others and of text columns are counted (in the
-    # tasks first), so no column of many numbers is shuffled; a column without a NULL has nothing to fill, and its values aren't counted
+    # a value sets the bit of 64 that its hash names, so more than MEAN_FILL_MIN_DISTINCT bits are as many values for certain: such a numeric
+    # column takes its mean. Only the values of the other columns with a NULL are counted (in the tasks first), a row for each of these
+    # columns and no other, so no column of many numbers is shuffled
     numeric = [i for i, c in enumerate(todo) if _is_numeric(types[c])]
-    sketch = [F.struct(F.approx_count_distinct(todo[i]).alias("distinct"), F.avg(F.col(todo[i]).cast("double")).alias("mean")).alias(f"c{i}") for i in numeric]
+    number = lambda c: F.col(c).cast("double") + F.lit(0.0)  # noqa: E731  (-0.0 is 0.0)
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))
+    bits = [F.bit_or(F.when(F.col(todo[i]).isNotNull(), bit(number(todo[i])))).alias(f"b{i}") for i in numeric]
+    means = [F.avg(F.col(todo[i]).cast("double")).alias(f"m{i}") for i in numeric]
     holes = [(F.count_if(F.col(c).isNull()) > 0).alias(f"h{i}") for i, c in enumerate(todo)]
-    first = df.agg(F.struct(*sketch, *holes, F.lit(0).alias("none"))).scalar()
-    many = lambda i: F.col("_first").getField(f"c{i}").getField("distinct") > 2 * MEAN_FILL_MIN_DISTINCT
-    none = F.lit(None)
-    pairs = [F.struct(F.lit(i).alias("i"), (F.when(~many(i), F.col(c)) if i in numeric else none).cast("double").alias("num"),
-                      (none if i in numeric else F.col(c)).cast("string").alias("txt")) for i, c in enumerate(todo)]
-    holed = [F.when(F.col("_first").getField(f"h{i}"), p) for i, p in enumerate(pairs)]
-    known = F.filter(F.array(*holed), lambda p: p["num"].isNotNull() | p["txt"].isNotNull())
-    counts = df.withColumn("_first", first).select(F.explode(known).alias("p")).groupBy("p.i", "p.num", "p.txt").agg(F.count(F.lit(1)).alias("n"))
+    found = df.agg(*bits, *means, *holes)
+    many = lambda i: F.coalesce(F.bit_count(f"b{i}") > MEAN_FILL_MIN_DISTINCT, F.lit(False))
+    counted = F.array_compact(F.array(*[F.when(F.col(f"h{i}") & ~many(i) if i in numeric else F.col(f"h{i}"), F.lit(i)) for i in range(len(todo))]))
+    first = found.select(F.struct(counted.alias("counted"), *[F.struct(many(i).alias("many"), F.col(f"m{i}").alias("mean")).alias(f"c{i}") for i in numeric])).scalar()
+
+    def value(of: list[int], dtype: str) -> Column:
+        out = F.lit(None).cast(dtype)
+        for i in of:
+            out = F.when(F.col("_i") == i, F.col(todo[i]).cast(dtype)).otherwise(out)
+        return out
+
+    text = [i for i in range(len(todo)) if i not in numeric]
+    each = df.select(*todo).withColumn("_first", first).select(*todo, F.explode("_first.counted").alias("_i"))
+    known = each.select(F.col("_i").alias("i"), value(numeric, "double").alias("num"), value(text, "string").alias("txt")).where("num IS NOT NULL OR txt IS NOT NULL")
+    counts = known.groupBy("i", "num", "txt").agg(F.count(F.lit(1)).alias("n"))
     most = F.struct(-F.col("n"), "num", "txt")
     per = counts.groupBy("i").agg(F.count(F.lit(1)).alias("distinct"), F.min_by("num", most).alias("num"), F.min_by("txt", most).alias("txt"))
     stats = per.agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("distinct", "num", "txt"))))).scalar()
@@ -102,7 +117,8 @@ def impute(df: DataFrame, columns: list[str] | None = None, exclude: tuple[str,
         mean = F.col("_first").getField(f"c{i}").getField("mean")
         if not isinstance(types[c], (T.FloatType, T.DoubleType, T.DecimalType)):
             mean = F.round(mean, 0)
-        return F.when(many(i) | (found.getField("distinct") > MEAN_FILL_MIN_DISTINCT), mean).otherwise(found.getField("num")).cast(types[c])
+        many = F.col("_first").getField(f"c{i}").getField("many")
+        return F.when(many | (found.getField("distinct") > MEAN_FILL_MIN_DISTINCT), mean).otherwise(found.getField("num")).cast(types[c])
 
     filled = df.withColumn("_first", first).withColumn("_fill", stats)
     return filled.withColumns({c: F.coalesce(F.col(c), fill(i, c)) for i, c in enumerate(todo)}).drop("_fill", "_first")
@@ -181,7 +197,7 @@ def clean_staged(df: DataFrame, staging_path: str, style: str = "service", now:
     """
     staged = normalise_strings(cast_flags(fill_constants(df, style)))
     staged.write.mode("errorifexists").parquet(staging_path)
-    out = impute(df.sparkSession.read.parquet(staging_path))
+    out = impute(df.sparkSession.read.schema(staged.schema).parquet(staging_path), may_be_null(staged))  # files tell no column as never NULL
     out = parse_dates(out)
     out = derive(out)
     return stamp(out, now)
