@@ -153,27 +153,55 @@ def token_hash_encoder(df: DataFrame, text: str, out: str = "embedding", dims: i
     """V1 offline encoder that plain SQL can repeat: a token counts in the dimension that the first four hex digits
     of its MD5 name (modulo ``dims``); L2-normalised by the scorers. A null text has null counts.
 
-    Tokens are found by Spark and counted on Arrow batches, each distinct token of a batch hashed once."""
+    Tokens of ASCII texts are found in the bytes of an Arrow batch, those of other texts by Spark; each distinct token of a batch is hashed once."""
     show_code(df.sparkSession)
+    t = F.col(text)
+    plain = F.octet_length(t) == F.char_length(t)
     # not to be copied into each expression that uses it
     count = F.arrow_udf(_place_counts(dims), T.ArrayType(T.DoubleType())).asNondeterministic()
-    return df.withColumn(out, count(tokens(text)))
+    return df.withColumn(out, count(F.when(plain, t), F.when(~plain, tokens(text))))
+
+
+#: ASCII letters and digits in lower case, 0 for every other byte.
+_ASCII_TOKEN = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 else 0 for b in range(256)], np.uint8)
+
+
+def _ascii_tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(row, token) of every run of letters and digits, in lower case; nulls have none."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    low = _ASCII_TOKEN[np.frombuffer(data, np.uint8)[at[0] : at[-1]]] if data is not None else np.zeros(0, np.uint8)
+    at = at - at[0]
+    inside = low > 0
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    firsts = at[:-1][at[:-1] < len(low)]
+    begins[firsts] = inside[firsts]  # a text's first byte is no later part of the text before
+    begin = np.flatnonzero(begins)
+    kept = np.concatenate([[0], np.cumsum(inside)]).astype(np.int64)
+    ends = np.concatenate([kept[begin], kept[-1:]])
+    found = pa.Array.from_buffers(pa.large_string(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(low[inside])])
+    return np.searchsorted(at, begin, side="right") - 1, found
 
 
 def _place_counts(dims: int) -> Callable:
-    """A list of tokens per row -> how many fall in each place."""
+    """ASCII texts, or a list of tokens for other rows -> how many tokens of a row fall in each place."""
 
-    def run(lists: pa.Array) -> pa.Array:
-        n = len(lists)
-        codes = lists.flatten().dictionary_encode()
+    def places(row: np.ndarray, found: pa.Array) -> np.ndarray:
+        codes = found.dictionary_encode()
         place = np.array([int(hashlib.md5(t.encode()).hexdigest()[:4], 16) % dims for t in codes.dictionary.to_pylist()], np.int64)
+        return row * dims + place[codes.indices.to_numpy(zero_copy_only=False)] if len(codes) else np.zeros(0, np.int64)
+
+    def run(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        n = len(texts)
         sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-        flat = np.repeat(np.arange(n), sizes) * dims + place[codes.indices.to_numpy(zero_copy_only=False)] if len(codes) else np.zeros(0, np.int64)
+        flat = np.concatenate([places(*_ascii_tokens(texts)), places(np.repeat(np.arange(n), sizes), lists.flatten())])
         counts = np.bincount(flat, minlength=n * dims).astype(np.float64)
-        null = np.repeat(lists.is_null().to_numpy(zero_copy_only=False), dims)
+        null = np.repeat(texts.is_null().to_numpy(zero_copy_only=False) & lists.is_null().to_numpy(zero_copy_only=False), dims)
         return pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * dims, pa.array(counts, mask=null))
 
-    run.__annotations__ = {"lists": pa.Array, "return": pa.Array}
+    run.__annotations__ = {"texts": pa.Array, "lists": pa.Array, "return": pa.Array}
     return run
 
 

@@ -70,3 +70,21 @@ def test_token_hash_encoder_counts_and_is_read_once(spark):
     near = V.topk_batch(index.select("id", "embedding"), spark.createDataFrame([(7, [1.0] * 8)], "qid int, query array<double>"), 2)
     plan = near._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1  # the text is not encoded once for each use of its vector
+
+
+def test_ascii_and_other_texts_are_counted_alike(spark, monkeypatch):
+    import hashlib
+
+    from staylens.operators import vectors as V
+
+    texts = ["a b  A1-b", "", None, "café aéb", "x", "y z.", "--", "你好 7", "end"] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").coalesce(1)
+    place = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % 64
+    for r in V.token_hash_encoder(df, "t").select("t", "embedding", V.tokens("t").alias("words")).collect():
+        if r["t"] is not None:
+            want = [0.0] * 64
+            for w in r["words"]:
+                want[place(w)] += 1
+            assert r["embedding"] == want
+    rows, found = V._ascii_tokens(__import__("pyarrow").array(["Ab", "c d", None, "", "e"]).slice(1))  # texts side by side stay apart
+    assert rows.tolist() == [0, 0, 3] and found.to_pylist() == ["c", "d", "e"]
