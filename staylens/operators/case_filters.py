@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.exprs import all_of
+from .questions import _staged
+
 OPS = ("gt", "lt", "eq")
 #: Buckets of a ranged column.
 BUCKETS = 64
@@ -40,16 +43,22 @@ def match_cases(rows: DataFrame, cases: DataFrame, specs: DataFrame, on_unknown:
                                       F.when(~is_num, F.col("value")).alias("txt"), is_num.alias("is_num"))
     used = sorted(r["column"] for r in given.select("column").distinct().collect())  # at most the columns of the rows
     # a range is looked up by the first numeric column it has
-    ranged = [c for c in used if c in numeric]
+    with_range = {r["column"] for r in given.where(is_num & (F.col("op") != "eq")).select("column").distinct().collect()}
+    ranged = [c for c in used if c in with_range]
     cuts = _cuts(rows, ranged)
-    bucket = lambda c, x: F.coalesce(*[F.when(c == n, F.size(F.filter(F.array(*[F.lit(v) for v in cuts[n]]).cast("array<double>"), lambda v: v < x))) for n in ranged], F.lit(0)) if ranged else F.lit(0)
+    bucket = lambda c, x: F.coalesce(*[F.when(c == n, sum((F.when(x > v, 1).otherwise(0) for v in cuts[n]), F.lit(0))) for n in ranged], F.lit(0)) if ranged else F.lit(0)
     text_of = F.coalesce(F.col("num").cast("string"), F.col("txt"))
+    # a case's conditions on column k of ``used``, as what holds for all of them: it equals e and f (the least and the greatest value asked for),
+    # lies above g and below l. No lambda runs on the rows
+    operand = lambda c: F.col("num" if c in numeric else "txt")
+    of = lambda f, c, op: f(F.when((F.col("column") == c) & (F.col("op") == op), operand(c)))
+    limits = [of(f, c, op).alias(f"_{n}{k}") for k, c in enumerate(used) for n, f, op in (("e", F.min, "eq"), ("f", F.max, "eq"), ("g", F.max, "gt"), ("l", F.min, "lt"))]
     per_case = given.groupBy(case_id).agg(
-        F.collect_list(F.struct("column", "op", "num", "txt", "is_num")).alias("conds"),
+        *limits, F.collect_list(F.struct("column", "op", "num")).alias("conds"), F.bool_or(F.col("num").isNull() & F.col("txt").isNull()).alias("never"),
         F.array_sort(F.collect_set(F.when(F.col("op") == "eq", F.col("column")))).alias("eq"),
         F.array_sort(F.collect_set(F.when(F.col("op") == "eq", F.struct("column", text_of.alias("v"))))).alias("values"),
         F.min(F.when((F.col("op") != "eq") & F.col("is_num"), F.col("column"))).alias("range"))
-    per_case = cases.select(case_id).join(per_case, case_id, "left")
+    per_case = cases.select(case_id).join(per_case, case_id, "left").where("never IS NULL OR NOT never")
     sign = F.when(F.size("eq") > 0, F.concat(F.lit("="), F.array_join("eq", ","))).when(F.col("range").isNotNull(), F.concat(F.lit("<"), F.col("range"))).otherwise("")
     bound = lambda op, f: f(F.transform(F.filter("conds", lambda c: (c["column"] == F.col("range")) & (c["op"] == op)), lambda c: c["num"]))
     lo, hi = bound("gt", F.array_max), bound("lt", F.array_min)
@@ -57,7 +66,9 @@ def match_cases(rows: DataFrame, cases: DataFrame, specs: DataFrame, on_unknown:
     keys = (F.when(F.size("eq") > 0, F.array(F.array_join(F.transform("values", lambda v: v["v"]), "\x1f")))
             .when(F.col("range").isNotNull(), F.when(first <= last, F.transform(F.sequence(first, F.greatest(first, last)), lambda b: b.cast("string"))).otherwise(F.array().cast("array<string>")))
             .otherwise(F.array(F.lit(""))))
-    asked = per_case.select(case_id, F.coalesce("conds", F.array().cast(per_case.schema["conds"].dataType)).alias("_conds"), sign.alias("_sign"), F.explode(keys).alias("_key"))
+    limited = [f"_{n}{k}" for k in range(len(used)) for n in "efgl"]
+    asked = per_case.select(case_id, *[F.col(c) for c in limited], sign.alias("_sign"), F.explode(keys).alias("_key"))
+    asked = _staged(asked, "asked")  # of known size: a small table of cases goes to the rows, whatever one key (that of all rows) holds
     signs = sorted(r["_sign"] for r in asked.select("_sign").distinct().collect())  # the sets of equality columns in use
     as_text = lambda c: F.coalesce(F.col(c).cast("double").cast("string") if c in numeric else F.col(c).cast("string"))
 
@@ -71,15 +82,15 @@ def match_cases(rows: DataFrame, cases: DataFrame, specs: DataFrame, on_unknown:
     if not signs:
         return rows.limit(0).withColumn(case_id, F.lit(None).cast(cases.schema[case_id].dataType))
     places = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), key_of(s).alias("k")) for s in signs])).alias("_at")
-    nums = F.map_from_arrays(F.array(*[F.lit(c) for c in ranged]).cast("array<string>"), F.array(*[F.col(c).cast("double") for c in ranged]).cast("array<double>"))
-    words = [c for c in used if c not in numeric]
-    texts = F.map_from_arrays(F.array(*[F.lit(c) for c in words]).cast("array<string>"), F.array(*[F.col(c).cast("string") for c in words]).cast("array<string>"))
-    put = rows.select("*", nums.alias("_nums"), texts.alias("_texts"), places)
+    put = rows.select("*", places)
     met = put.join(asked, (F.col("_at.s") == F.col("_sign")) & (F.col("_at.k") == F.col("_key")))
-    holds = lambda x, y, op: F.when(op == "eq", x == y).when(op == "gt", x > y).otherwise(x < y)
-    test = lambda c: F.coalesce(F.when(c["is_num"], holds(F.try_element_at("_nums", c["column"]), c["num"], c["op"]))
-                                .otherwise(holds(F.try_element_at("_texts", c["column"]), c["txt"], c["op"])), F.lit(False))
-    return met.where(F.forall("_conds", test)).select(*rows.columns, case_id)
+    tests = []
+    for k, c in enumerate(used):
+        x = F.col(c).cast("double" if c in numeric else "string")
+        given_by = {n: F.col(f"_{n}{k}") for n in "efgl"}
+        holds = {"e": x == given_by["e"], "f": x == given_by["f"], "g": x > given_by["g"], "l": x < given_by["l"]}
+        tests += [given_by[n].isNull() | F.coalesce(holds[n], F.lit(False)) for n in "efgl"]
+    return (met.where(all_of(tests)) if tests else met).select(*rows.columns, case_id)
 
 
 def _cuts(rows: DataFrame, columns: list[str]) -> dict[str, list[float]]:
