@@ -18,8 +18,10 @@ Semantics (one change at a time, in ``seq`` order, like the row-by-row service):
 So a feed gives the same rows however it is cut into batches.
 
 Work: ids for the adds, one aggregate of the changes per id, one left join of
-the base table and the added rows with that (change-sized) table. Spark chooses
-the joins from the sizes.
+the base table and the added rows with that (change-sized) table. A feed can be
+as large as the table, and the columns needed of its packed files look smaller
+than their rows are, so none of these joins is left to become a broadcast; only
+the offsets of the ids (one row per partition) are sent.
 """
 
 from __future__ import annotations
@@ -40,13 +42,13 @@ def change_status(base: DataFrame, changes: DataFrame, added: DataFrame) -> Data
     The base table is only scanned for the changed ids; an added id exists from its ``seq`` on.
     """
     ud = changes.where(F.col("op").isin(UPDATE, DELETE)).select("seq", "op", "id")
-    old = base.select("id").join(ud.select("id").distinct(), "id", "left_semi").select("id", F.lit(None).cast("long").alias("_since"))
+    old = base.select("id").join(ud.select("id").distinct().hint("merge"), "id", "left_semi").select("id", F.lit(None).cast("long").alias("_since"))
     there = old.unionByName(added.select("id", F.col("seq").alias("_since"))).withColumn("_there", F.lit(True))
-    ud = ud.join(there, "id", "left")
+    ud = ud.join(there.hint("merge"), "id", "left")
     exists = F.coalesce(F.col("_there") & (F.col("_since").isNull() | (F.col("_since") < F.col("seq"))), F.lit(False))
     ud = ud.withColumn("_exists", exists)
     first_del = ud.where((F.col("op") == DELETE) & F.col("_exists")).groupBy("id").agg(F.min("seq").alias("_del_seq"))
-    ud = ud.join(first_del, "id", "left")
+    ud = ud.join(first_del.hint("merge"), "id", "left")
     applied = F.col("_exists") & F.when(F.col("op") == UPDATE, F.col("_del_seq").isNull() | (F.col("seq") < F.col("_del_seq"))).otherwise(
         F.col("seq") == F.col("_del_seq"))
     adds = added.select("seq", F.lit(ADD).alias("op"), F.lit(None).cast("long").alias("id"), F.lit(True).alias("applied"))
@@ -56,7 +58,7 @@ def change_status(base: DataFrame, changes: DataFrame, added: DataFrame) -> Data
 def fold_updates(changes: DataFrame, status: DataFrame, columns: list[str]) -> DataFrame:
     """Per id: for each column the latest applied value that set it (struct, NULL = untouched), and delete flag."""
     ok = status.where(F.col("applied") & (F.col("op") != ADD)).select("seq")
-    applied = changes.join(ok, "seq", "left_semi").where(F.col("op").isin(UPDATE, DELETE))
+    applied = changes.join(ok.hint("merge"), "seq", "left_semi").where(F.col("op").isin(UPDATE, DELETE))
     sets = lambda c: F.when((F.col("op") == UPDATE)
                             & F.coalesce(F.array_contains(F.col("changed_columns"), F.lit(c)), F.lit(False)), F.col("seq"))
     return applied.groupBy("id").agg(
@@ -89,7 +91,7 @@ def assign_ids(adds: DataFrame, high_water: Column | int, order: str = "seq", pa
     offsets = counts.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_off"))
     local = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
     hw = high_water if isinstance(high_water, Column) else F.lit(high_water)
-    return (local.join(offsets, "_p")  # one row per partition
+    return (local.join(F.broadcast(offsets), "_p")  # one row per partition; unasked, Spark may send the added rows instead
             .withColumn("id", (hw + F.col("_off") + F.col("_r")).cast("long"))
             .drop("_p", "_off", "_r"))
 
@@ -120,7 +122,7 @@ def apply_changes(base: DataFrame, changes: DataFrame, high_water: int | Column
 
     status = change_status(base, changes, added)
     folded = fold_updates(changes, status, columns)
-    joined = base.unionByName(new_rows.select(*base.columns)).join(folded, "id", "left")
+    joined = base.unionByName(new_rows.select(*base.columns)).join(folded.hint("merge"), "id", "left")
     touched = F.col("_deleted").isNotNull()
     kept = joined.where(~F.coalesce(F.col("_deleted"), F.lit(False)))
     values = {c: F.when(F.col(f"_u_{c}").isNotNull(), F.col(f"_u_{c}.v")).otherwise(F.col(c)) for c in columns}
@@ -140,7 +142,7 @@ def audit_rows(changes: DataFrame, status: DataFrame, stamp: Column) -> DataFram
     ok = status.where("applied").select("seq", "op", F.col("id").alias("_target"))
     country = changes.select("seq", (F.coalesce(F.col("country"), F.lit("Unknown")) if "country" in changes.columns
                                      else F.lit("Unknown")).alias("_country"))
-    rows = ok.join(country, "seq", "left")
+    rows = ok.join(country.hint("merge"), "seq", "left")
     details = (F.when(F.col("op") == ADD, F.concat(F.lit("Added booking for "), F.col("_country")))
                .when(F.col("op") == UPDATE, F.concat(F.lit("Updated booking ID "), F.col("_target").cast("string")))
                .otherwise(F.concat(F.lit("Deleted booking ID "), F.col("_target").cast("string"))))

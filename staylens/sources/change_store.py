@@ -112,7 +112,9 @@ def _deltas(spark: SparkSession, root: str, st: State) -> DataFrame:
 
 
 def read(spark: SparkSession, root: str, only: list[int] | None = None, at: State | None = None) -> DataFrame:
-    """The table's rows, of all buckets or some: base rows without a newer version, and the newest live versions."""
+    """The table's rows, of all buckets or some: base rows without a newer version, and the newest live versions.
+
+    The ids of the deltas stay in the tasks: a merge join, however small their files look."""
     st = at or state(spark, root)
     paths = [p for b, p in st.files.items() if only is None or b in only]
     base = spark.read.schema(st.schema).parquet(*paths) if paths else spark.createDataFrame([], st.schema)
@@ -121,14 +123,14 @@ def read(spark: SparkSession, root: str, only: list[int] | None = None, at: Stat
     new = _deltas(spark, root, st)
     new = new if only is None else new.where(F.col("_bucket").isin(only))
     newest = new.groupBy("id").agg(F.max_by(F.struct(*new.columns), "_batch").alias("r")).select("r.*")
-    return base.join(newest.select("id"), "id", "left_anti").unionByName(newest.where("not _deleted").select(*base.columns))
+    return base.join(newest.select("id").hint("merge"), "id", "left_anti").unionByName(newest.where("not _deleted").select(*base.columns))
 
 
 def lookup(spark: SparkSession, root: str, ids: DataFrame) -> DataFrame:
     """The rows of the given ids; only their buckets are read."""
     st = state(spark, root)
     touched = [r["b"] for r in ids.select(bucket_of("id", st.buckets).alias("b")).distinct().collect()]  # at most the buckets
-    return read(spark, root, touched, st).join(ids.select("id").distinct(), "id", "left_semi")
+    return read(spark, root, touched, st).join(ids.select("id").distinct().hint("merge"), "id", "left_semi")
 
 
 def merge(spark: SparkSession, root: str, batch_id: int, upserts: DataFrame, deletes: DataFrame | None = None, mark: int | None = None,
