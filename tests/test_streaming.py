@@ -1,5 +1,6 @@
 """Change feed as a stream, applied per micro-batch, replay-safe."""
 
+import re
 import uuid
 
 import pytest
@@ -97,3 +98,20 @@ def test_empty_table_and_empty_batch(spark):
     S.create(spark, root, empty)
     S.merge(spark, root, 0, empty, compact_after=1)
     assert S.read(spark, root).collect() == [] and S.state(spark, root).batch == 0
+
+
+def test_no_table_of_ids_goes_to_the_driver(spark, monkeypatch):
+    base, kind, plans = _base(spark), type(spark.range(0)), []
+    write = kind.write.fget
+    show = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    base_path, root = (shared_path(spark, f"t1-{n}-{uuid.uuid4().hex}") for n in ("base", "root"))
+    base.write.parquet(base_path)
+    with monkeypatch.context() as m:
+        m.setattr(kind, "write", property(lambda df: show(df) or write(df)))
+        for k, c in enumerate(BATCHES):
+            apply_batch(spark, root, base_path, spark.createDataFrame([c], SCHEMA), k, compact_after=2)
+        show(latest_snapshot(spark, root, base_path))
+        show(update_log(spark, root))
+    sent = re.findall(r"BroadcastHashJoin .*", "\n".join(plans))
+    assert sum("SortMergeJoin" in p for p in plans) > 8
+    assert sent and all(re.search(r"\[_p#\d+\], \[_p#\d+\], Inner, BuildRight", x) for x in sent)  # the offsets: one row per partition
